@@ -36,12 +36,9 @@ def as_log_lines(events: DataFrame) -> DataFrame:
 
     ip = F.concat(F.lit("10.0."), F.floor(u / 256).cast("string"), F.lit("."), (u % 256).cast("string"))
     user = F.when(u % 3 == 0, F.concat(F.lit("u"), u.cast("string"))).otherwise("-")
-    clock = F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss")
-    stamp = (
-        F.when(e % 50 == 7, clock)
-        .when(e % 50 == 9, F.concat(clock, F.lit(" +0530")))
-        .when(e % 50 == 11, "bad-stamp")
-        .otherwise(F.concat(clock, F.lit(" +0000")))
+    offset = F.when(e % 50 == 7, "").when(e % 50 == 9, " +0530").otherwise(" +0000")
+    stamp = F.when(e % 50 == 11, "bad-stamp").otherwise(
+        F.concat(F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"), offset)
     )
     method = F.when(kind.isin(*_POST), "POST").otherwise("GET")
     status = (
@@ -57,15 +54,15 @@ def as_log_lines(events: DataFrame) -> DataFrame:
         .when(e % 89 == 0, "abc")
         .otherwise((e * 37 % 4096).cast("string"))
     )
+    mark = F.when(e % 100 == 77, "# ").otherwise("")
     text = F.lit
     record = F.concat(
-        ip, text(" - "), user, text(" ["), stamp, text('] "'), method, text(" /"), kind, text("/"),
-        (e % 20).cast("string"), text(' HTTP/1.1" '), status, text(" "), size,
+        mark, ip, text(" - "), user, text(" ["), stamp, text('] "'), method, text(" /"), kind,
+        text("/"), (e % 20).cast("string"), text(' HTTP/1.1" '), status, text(" "), size,
     )
     line = (
-        F.when(e % 100 == 3, F.concat(F.lit("# comment "), e.cast("string")))
+        F.when(e % 100 == 3, F.concat(text("# comment "), e.cast("string")))
         .when(e % 100 == 53, "")
-        .when(e % 100 == 77, F.concat(F.lit("# "), record))
         .otherwise(record)
     )
     return events.select("event_id", line.alias("value"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_REPLACEMENT = "�"
+_REPLACEMENT = "\ufffd"
 
 
 def scan_lines(spark: SparkSession, path: str, drop_invalid_bytes: bool = False) -> DataFrame:

@@ -1,0 +1,202 @@
+from __future__ import annotations
+
+import random
+import re
+from datetime import datetime, timezone
+
+import pytest
+from pyspark.sql import functions as F
+
+from clftally import parse_access_log, parse_timestamps, valid_lines
+from clftally.functions import clf
+from clftally.sources.parsed import PARSED_SCHEMA
+from tests.samples import LINES, RECORDS, line, rows
+
+FIELDS = ("ip", "client", "user", "ts_raw", "request", "status", "size")
+
+
+def parse_one(lines_of, text, **options):
+    return parse_access_log(lines_of([text]), **options).first().asDict()
+
+
+def utc(*parts):
+    return datetime(*parts, tzinfo=timezone.utc)
+
+
+def epoch(frame, column="ts"):
+    return [row[0] for row in frame.select(F.unix_seconds(column)).collect()]
+
+
+def test_sample_rows_and_schema(lines_of):
+    parsed = parse_access_log(lines_of(LINES))
+    assert [(f.name, f.dataType) for f in parsed.schema] == [
+        (f.name, f.dataType) for f in PARSED_SCHEMA
+    ]
+    got = rows(parsed.filter("ok").select("ip", F.second("ts"), "request", "status", "size"))
+    assert got == RECORDS
+    assert rows(parsed.filter("not ok").drop("ts")) == [("", "", "", "", "", None, None, False)] * 2
+
+
+def test_bad_lines_do_not_fail_in_either_ansi_mode(spark, lines_of):
+    texts = LINES + [line(size="abc", stamp="bad-stamp")]
+    try:
+        for ansi in ("true", "false"):
+            spark.conf.set("spark.sql.ansi.enabled", ansi)
+            got = rows(parse_access_log(lines_of(texts)).select("ts", "status", "size", "ok"))
+            assert got[10:] == [(None, None, None, False)] * 2 + [(None, 200, None, True)]
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+
+
+# Text, and the address read from it when the record must be at the start, and when it may be anywhere.
+MATCHES = [
+    (line(), "1.1.1.1", "1.1.1.1"),
+    (" " + line(), "", "1.1.1.1"),
+    ("# " + line(), "", "1.1.1.1"),
+    ("x\n" + line(), "", "1.1.1.1"),
+    (line(ip="1\u00a01"), "1\u00a01", "1\u00a01"),
+    (line(status="\u0662\u0660\u0660"), "", ""),
+    (line(request="a\u0085b"), "", ""),
+    (line(request="a\u2028b"), "", ""),
+    (line(status="20"), "", ""),
+    ("", "", ""),
+]
+
+
+@pytest.mark.parametrize("anchored", [True, False])
+def test_which_lines_match(lines_of, anchored):
+    lines = lines_of([text for text, _, _ in MATCHES])
+    want = [at_start if anchored else anywhere for _, at_start, anywhere in MATCHES]
+    for columns in (("ip",), ("ip", "status"), FIELDS):
+        parsed = parse_access_log(lines, columns=columns, anchored=anchored)
+        assert rows(parsed.select("ip", "ok")) == [(ip, ip != "") for ip in want]
+    assert valid_lines(lines, anchored).count() == len([ip for ip in want if ip])
+
+
+def test_request_text(lines_of):
+    assert parse_one(lines_of, line(request='a" b'))["request"] == 'a" b'
+    empty = parse_one(lines_of, line(request=""))
+    assert (empty["request"], empty["ok"]) == ("", True)
+    combined = parse_one(lines_of, line() + ' "http://a/" "agent 1"\u0085\u2028tail')
+    assert (combined["request"], combined["size"], combined["ok"]) == ("GET / HTTP/1.1", 5, True)
+
+
+def test_empty_request_alone_still_tells_valid_from_malformed(lines_of):
+    parsed = parse_access_log(lines_of([line(request=""), "junk"]), columns=("request",))
+    assert rows(parsed) == [("", True), ("", False)]
+
+
+def test_size(lines_of):
+    sizes = {
+        "-": 0,
+        "0": 0,
+        "5000000000": 5_000_000_000,
+        "9223372036854775807": 2**63 - 1,
+        "9223372036854775808": None,
+        "-5": None,
+        "+5": None,
+        "5.0": None,
+        "5\u0001": None,
+        "abc": None,
+        "\u0665": None,
+    }
+    parsed = parse_access_log(lines_of([line(size=text) for text in sizes]))
+    assert rows(parsed.select("size", "ok")) == [(size, True) for size in sizes.values()]
+
+
+STAMPS = {
+    "10/Oct/2000:13:55:36 -0700": utc(2000, 10, 10, 20, 55, 36),
+    "08/Nov/2025:00:00:01 +0000": utc(2025, 11, 8, 0, 0, 1),
+    "08/Nov/2025:00:00:01 +0530": utc(2025, 11, 7, 18, 30, 1),
+    "08/Nov/2025:00:00:01": utc(2025, 11, 8, 0, 0, 1),
+    "08/nov/2025:00:00:01 +0000": utc(2025, 11, 8, 0, 0, 1),
+    "8/Nov/2025:00:00:01 +0000": None,
+    "30/Feb/2025:00:00:01 +0000": None,
+    "08/Nov/2025:00:00:01 ": None,
+    "bad-stamp": None,
+    "": None,
+}
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_stamps_do_not_depend_on_the_session_zone(spark, lines_of, zone):
+    try:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        parsed = parse_access_log(lines_of([line(stamp=stamp) for stamp in STAMPS]))
+        assert epoch(parsed) == [at and at.timestamp() for at in STAMPS.values()]
+        assert [row["ts_raw"] for row in parsed.collect()] == list(STAMPS)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_mixed_offsets_become_instants(lines_of):
+    stamps = ["08/Nov/2025:06:00:00 +0530", "08/Nov/2025:00:30:00", "07/Nov/2025:19:30:00 -0500"]
+    parsed = parse_timestamps(lines_of([line(stamp=s) for s in stamps] + ["junk"]))
+    assert parsed.columns == ["ts_raw", "ts"]
+    assert epoch(parsed) == [utc(2025, 11, 8, 0, 30).timestamp()] * 3
+
+
+def test_other_columns_stay_and_order_of_names_does_not_matter(spark):
+    lines = spark.createDataFrame([(7, line()), (8, None)], "id int, value string")
+    parsed = parse_access_log(lines, columns=("size", "ip"))
+    assert parsed.columns == ["id", "ip", "size", "ok"]
+    assert rows(parsed) == [(7, "1.1.1.1", 5, True), (8, "", None, False)]
+    assert parse_access_log(lines, columns=()).columns == ["id", "ok"]
+    with pytest.raises(ValueError, match="refer"):
+        parse_access_log(lines, columns=("ip", "refer"))
+
+
+def random_lines(count, seed):
+    """Records with random pieces damaged, dropped or swapped for awkward characters."""
+    draw = random.Random(seed)
+    pieces = ['"', " ", "[", "]", "-", "\u0001", "\u00a0", "\ufffd", "$1", "\\", "7", "\t", "é", ""]
+    texts = []
+    for _ in range(count):
+        text = list(
+            line(
+                ip=draw.choice(["1.2.3.4", "::1", "a\u0001b", "$1"]),
+                user=draw.choice(["-", "u1", "\u0001"]),
+                request=draw.choice(["GET / HTTP/1.1", 'a" 200 5', '] "x', "", "\u0001 $2"]),
+                status=draw.choice(["200", "404", "1234", "20"]),
+                size=draw.choice(["-", "17", "x", "", "5\u0001"]),
+            )
+        )
+        for _ in range(draw.choice([0, 0, 1, 2, 6])):
+            text[draw.randrange(len(text))] = draw.choice(pieces)
+        texts.append("".join(draw.choices(["", "# ", '1 2 3 [x] "y" '], [6, 1, 1])) + "".join(text))
+    return texts
+
+
+@pytest.mark.parametrize("anchored", [True, False])
+def test_single_pass_equals_one_extraction_per_field(lines_of, anchored):
+    """Against Spark's plain extraction, and against a different regex engine."""
+    texts = random_lines(4000, seed=anchored)
+    lines = lines_of(texts).coalesce(2)
+    pattern = clf.line_pattern(anchored)
+    groups = list(range(1, 8))
+    captured = clf.captured_groups(F.col("value"), groups, anchored)
+    got = rows(
+        lines.select(
+            "value",
+            F.when(F.size(captured) > 1, F.slice(captured, 2, 7)).alias("fields"),
+            F.when(
+                F.col("value").rlike(pattern),
+                F.array(*[F.regexp_extract("value", pattern, g) for g in groups]),
+            ).alias("plain"),
+        )
+    )
+    matcher = re.compile(clf.PATTERN, re.ASCII)
+    find = matcher.match if anchored else matcher.search
+    for value, fields, plain in got:
+        match = find(value)
+        assert fields == plain == (list(match.groups()) if match else None), repr(value)
+    assert sum(1 for _, fields, _ in got if fields) > 500
+    assert any("\u0001" in value and fields for value, fields, _ in got)
+
+
+def test_naming_fewer_columns_changes_nothing(lines_of):
+    lines = lines_of(random_lines(1000, seed=5)).coalesce(1)
+    whole = parse_access_log(lines)
+    for columns in (("ip",), ("request",), ("ts",), ("status", "size"), ("ts_raw", "ts")):
+        part = parse_access_log(lines, columns=columns)
+        assert rows(part) == rows(whole.select(*part.columns)), columns
