@@ -11,10 +11,10 @@ _REPLACEMENT = "\ufffd"
 def scan_lines(spark: SparkSession, path: str, drop_invalid_bytes: bool = False) -> DataFrame:
     """One row per text line, in column ``value``.
 
-    Bytes that are not UTF-8 arrive as U+FFFD; ``drop_invalid_bytes`` removes that character.
+    Bytes that are not UTF-8 show as U+FFFD; ``drop_invalid_bytes`` removes them from their lines.
     """
     lines = spark.read.text(path)
-    return _without_replacement(lines) if drop_invalid_bytes else lines
+    return _without_invalid_bytes(lines) if drop_invalid_bytes else lines
 
 
 def stream_lines(
@@ -25,7 +25,7 @@ def stream_lines(
 ) -> DataFrame:
     """The lines of a watched folder as a stream; each new file is picked up once."""
     lines = spark.readStream.option("maxFilesPerTrigger", max_files_per_trigger).text(folder)
-    return _without_replacement(lines) if drop_invalid_bytes else lines
+    return _without_invalid_bytes(lines) if drop_invalid_bytes else lines
 
 
 def chunk_lines(lines: DataFrame, folder: str, lines_per_file: int = 500) -> None:
@@ -37,5 +37,7 @@ def chunk_lines(lines: DataFrame, folder: str, lines_per_file: int = 500) -> Non
     lines.select("value").write.option("maxRecordsPerFile", lines_per_file).text(folder)
 
 
-def _without_replacement(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("value", F.replace("value", F.lit(_REPLACEMENT), F.lit("")))
+def _without_invalid_bytes(lines: DataFrame) -> DataFrame:
+    value = F.col("value")
+    repaired = F.replace(F.make_valid_utf8(value), F.lit(_REPLACEMENT), F.lit(""))
+    return lines.withColumn("value", F.when(F.is_valid_utf8(value), value).otherwise(repaired))

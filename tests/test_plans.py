@@ -1,0 +1,92 @@
+"""What the physical plans must, and must not, contain."""
+
+from __future__ import annotations
+
+import re
+
+import pytest
+
+import __spark_entry__ as registry
+
+SF = "/root/testdata/sf0.001"
+BATCH = [name for name in registry.queries() if not name.startswith("stream_")]
+
+
+def plan_of(frame) -> str:
+    """The plan before execution, with whole expressions."""
+    with_whole_text = "spark.sql.maxPlanStringLength"
+    session = frame.sparkSession
+    session.conf.set(with_whole_text, "1000000")
+    session.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        return frame._jdf.queryExecution().executedPlan().toString()
+    finally:
+        session.conf.unset(with_whole_text)
+        session.conf.unset("spark.sql.debug.maxToStringFields")
+
+
+@pytest.fixture(scope="module")
+def plans(spark):
+    return {name: plan_of(registry.queries()[name](spark, SF)) for name in BATCH}
+
+
+@pytest.mark.parametrize("name", BATCH)
+def test_no_python_no_pairwise_join(plans, name):
+    plan = plans[name]
+    assert not re.search(r"Python|Pandas|ArrowEval|MapIn", plan)
+    assert not re.search(r"CartesianProduct|BroadcastNestedLoopJoin", plan)
+
+
+@pytest.mark.parametrize("name", BATCH)
+def test_only_aggregated_rows_meet_in_one_partition(plans, name):
+    """Below a single-partition exchange there is always an aggregate."""
+    lines = plans[name].splitlines()
+    for place, text in enumerate(lines):
+        if "Exchange SinglePartition" in text:
+            assert "HashAggregate" in lines[place + 1], plans[name]
+
+
+@pytest.mark.parametrize("name", ["status_counts", "status_share", "ip_counts", "top_ips", "sql_top_ips"])
+def test_one_field_is_one_extraction(plans, name):
+    assert plans[name].count("regexp_extract(") == 1
+    assert "regexp_replace" not in plans[name] and "RLIKE" not in plans[name]
+
+
+@pytest.mark.parametrize("name", ["parse_access_log", "time_slice", "access_report", "hourly_volume"])
+def test_the_line_is_matched_once(plans, name):
+    """The pattern runs in one generator only; later filters and projections use its output."""
+    assert plans[name].count("regexp_replace(") == 1
+    assert len(re.findall(r"Generate explode\(array\(CASE WHEN Contains", plans[name])) == 1
+
+
+def test_the_stamp_is_parsed_once(plans):
+    for name in ("hourly_volume", "time_slice", "time_bounds", "slice_status_share"):
+        assert plans[name].count("gettimestamp(") == 1
+
+
+@pytest.mark.parametrize("name", ["top_ips", "top_requests", "slice_top_ips", "sql_top_ips"])
+def test_top_lists_are_not_sorted_globally(plans, name):
+    assert "TakeOrderedAndProject(limit=10" in plans[name]
+    assert "rangepartitioning" not in plans[name]
+
+
+def test_report_ranks_before_the_shuffle(plans):
+    plan = plans["access_report"]
+    assert plan.count("FileScan") == 1
+    assert re.search(r"WindowGroupLimit.*row_number\(\), 10, Partial", plan)
+
+
+@pytest.mark.parametrize("name", ["status_counts", "ip_counts", "avg_size_by_status", "hourly_volume"])
+def test_counts_are_combined_before_the_shuffle(plans, name):
+    assert re.search(r"Exchange hashpartitioning.*\n.*HashAggregate.*partial_", plans[name])
+
+
+def test_filled_volume_reads_the_log_once(spark):
+    frame = registry.queries()["volume_5m"](spark, SF)
+    frame.collect()
+    final = plan_of(frame).split("== Initial Plan ==")[0]
+    assert final.count("FileScan") == 1 and "ReusedExchange" in final
+
+
+def test_only_needed_columns_are_read(plans):
+    assert all("props" not in plan and "value:double" not in plan for plan in plans.values())
