@@ -37,21 +37,26 @@ def _on_lines(operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def _on_log(
-    operator: Callable[[DataFrame], DataFrame], *columns: str, anchored: bool = True
+    operator: Callable[[DataFrame], DataFrame], anchored: bool = True, with_time: bool = False
 ) -> Query:
-    """An operator over the parsed log, of which it needs the given columns."""
-    wanted = columns or parse.COLUMNS
+    """An operator over the parsed log."""
     return lambda spark, sf_dir: operator(
-        parse.parse_access_log(_lines(spark, sf_dir), wanted, anchored)
+        parse.parse_access_log(_lines(spark, sf_dir), anchored, with_time)
     )
 
 
-def _on_stream(build: Callable[[DataFrame], DataFrame], *columns: str) -> Query:
+def _on_times(operator: Callable[[DataFrame], DataFrame], anchored: bool = True) -> Query:
+    """An operator over the parsed log with its instants."""
+    return _on_log(operator, anchored, with_time=True)
+
+
+def _on_stream(build: Callable[[DataFrame], DataFrame], with_time: bool = False) -> Query:
     """A running result over the events table read as a stream, once all of it has been seen."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         stream = event_lines.stream_events(configure(spark), sf_dir)
-        parsed = parse.parse_access_log(event_lines.as_log_lines(stream), columns, anchored=False)
+        lines = event_lines.as_log_lines(stream)
+        parsed = parse.parse_access_log(lines, anchored=False, with_time=with_time)
         return jobs.run(spark, build(parsed), shared.fresh_folder(spark, "stream"))
 
     return query
@@ -63,17 +68,18 @@ def _without_zone(rows: DataFrame) -> DataFrame:
     return rows.withColumns({name: F.col(name).cast("timestamp_ntz") for name in instants})
 
 
-def _lines_per_file(total: int) -> int:
-    """500 lines, but no more than about 100,000 files however large the log is."""
-    return max(500, total // 100_000)
-
-
 def _write_chunks(spark: SparkSession, sf_dir: str) -> tuple[str, int]:
-    """The log lines as text files in a new shared folder; also roughly how many files."""
+    """The log lines as text files in a new shared folder, and how many files there are at most.
+
+    A small log is cut into files of 500 lines or more, 64 or so; a large one into files of a million
+    lines, or one per partition.
+    """
+    lines = _lines(spark, sf_dir)
     total = event_lines.read_events(spark, sf_dir).count()
-    lines_per_file, folder = _lines_per_file(total), shared.fresh_folder(spark, "lines")
-    text.chunk_lines(_lines(spark, sf_dir), folder, lines_per_file)
-    return folder, total // lines_per_file + 1
+    lines_per_file = min(max(500, total // 64), 1_000_000)
+    folder = shared.fresh_folder(spark, "lines")
+    text.chunk_lines(lines, folder, lines_per_file)
+    return folder, total // lines_per_file + lines.rdd.getNumPartitions()
 
 
 def _scan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +109,7 @@ def _parsed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_top_ips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report.register_view(parse.parse_access_log(_lines(spark, sf_dir), ("ip",)), "access_log")
+    report.register_view(parse.parse_access_log(_lines(spark, sf_dir), with_time=False), "access_log")
     return spark.sql(
         "SELECT ip, count(*) AS count FROM access_log WHERE ok "
         "GROUP BY ip ORDER BY count DESC, ip LIMIT 10"
@@ -111,10 +117,10 @@ def _sql_top_ips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Running status counts over a folder of text files, taken in about four micro-batches."""
+    """Running status counts over a folder of text files, taken in at most four micro-batches."""
     folder, files = _write_chunks(configure(spark), sf_dir)
     stream = text.stream_lines(spark, folder, max_files_per_trigger=files // 4 + 1)
-    parsed = parse.parse_access_log(stream, ("status",), anchored=False)
+    parsed = parse.parse_access_log(stream, anchored=False, with_time=False)
     return jobs.run(
         spark, results.running_status_counts(parsed), shared.fresh_folder(spark, "stream")
     )
@@ -124,7 +130,7 @@ def _stream_top_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running address and request counts by two queries at once, then the top 10 of each."""
     stream = event_lines.stream_events(configure(spark), sf_dir)
     parsed = parse.parse_access_log(
-        event_lines.as_log_lines(stream), ("ip", "request"), anchored=False
+        event_lines.as_log_lines(stream), anchored=False, with_time=False
     )
     running = {
         "ip": results.running_ip_counts(parsed),
@@ -140,16 +146,16 @@ def _stream_top_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ips.unionByName(requests)
 
 
-def _stream_top(build: Callable[[DataFrame], DataFrame], column: str) -> Query:
+def _stream_top(build: Callable[[DataFrame], DataFrame]) -> Query:
     """Top 10 of a running count, by SQL over its result table."""
-    whole = _on_stream(build, column)
+    whole = _on_stream(build)
     return lambda spark, sf_dir: results.top_rows(whole(spark, sf_dir), 10)
 
 
-def _slice(section: str, *columns: str) -> Query:
+def _slice(section: str) -> Query:
     """One table of the log viewer, for the time range."""
-    return _on_log(
-        lambda log: report.slice_report(log, *SLICE, sections=(section,))[section], "ts", *columns
+    return _on_times(
+        lambda log: report.slice_report(log, *SLICE, sections=(section,))[section]
     )
 
 
@@ -162,65 +168,59 @@ def queries() -> dict[str, Query]:
     return {
         "scan_lines": _scan_lines,
         "chunk_lines": _chunk_lines,
-        "parse_access_log": _on_log(_without_zone),
-        "parse_access_log_find": _on_log(_without_zone, anchored=False),
+        "parse_access_log": _on_times(_without_zone),
+        "parse_access_log_find": _on_times(_without_zone, anchored=False),
         "parsed_table": _parsed_table,
         "parse_timestamps": _on_lines(lambda lines: _without_zone(parse.parse_timestamps(lines))),
         "valid_lines": _on_lines(parse.valid_lines),
-        "time_slice": _on_log(lambda log: _without_zone(volume.time_slice(log, *SLICE))),
-        "parse_quality": _on_log(counts.parse_quality, "ts", "status", "size"),
-        "parse_quality_find": _on_log(
-            counts.parse_quality, "ts", "status", "size", anchored=False
-        ),
-        "status_counts": _on_log(counts.status_counts, "status"),
+        "time_slice": _on_times(lambda log: _without_zone(volume.time_slice(log, *SLICE))),
+        "parse_quality": _on_times(counts.parse_quality),
+        "parse_quality_find": _on_times(counts.parse_quality, anchored=False),
+        "status_counts": _on_log(counts.status_counts),
         "status_counts_raw": _on_log(
             lambda log: counts.status_counts(log, keep_malformed=True, by_count=True),
-            "status",
             anchored=False,
         ),
-        "status_share": _on_log(counts.status_share, "status"),
-        "ip_counts": _on_log(counts.ip_counts, "ip"),
+        "status_share": _on_log(counts.status_share),
+        "ip_counts": _on_log(counts.ip_counts),
         "ip_counts_raw": _on_log(
-            lambda log: counts.ip_counts(log, keep_malformed=True), "ip", anchored=False
+            lambda log: counts.ip_counts(log, keep_malformed=True), anchored=False
         ),
-        "request_counts": _on_log(counts.request_counts, "request"),
+        "request_counts": _on_log(counts.request_counts),
         "request_counts_raw": _on_log(
-            lambda log: counts.request_counts(log, keep_malformed=True), "request", anchored=False
+            lambda log: counts.request_counts(log, keep_malformed=True), anchored=False
         ),
-        "top_ips": _on_log(counts.top_ips, "ip"),
-        "top_requests": _on_log(counts.top_requests, "request"),
-        "avg_size_by_status": _on_log(counts.avg_size_by_status, "status", "size"),
+        "top_ips": _on_log(counts.top_ips),
+        "top_requests": _on_log(counts.top_requests),
+        "avg_size_by_status": _on_log(counts.avg_size_by_status),
         "avg_size_by_status_raw": _on_log(
-            lambda log: counts.avg_size_by_status(log, keep_malformed=True),
-            "status",
-            "size",
-            anchored=False,
+            lambda log: counts.avg_size_by_status(log, keep_malformed=True), anchored=False
         ),
-        "time_bounds": _on_log(lambda log: _without_zone(volume.time_bounds(log)), "ts"),
-        "hourly_volume": _on_log(volume.hourly_volume, "ts"),
-        "hourly_volume_raw": _on_log(
-            lambda log: volume.hourly_volume(log, keep_malformed=True), "ts", anchored=False
+        "time_bounds": _on_times(lambda log: _without_zone(volume.time_bounds(log))),
+        "hourly_volume": _on_times(volume.hourly_volume),
+        "hourly_volume_raw": _on_times(
+            lambda log: volume.hourly_volume(log, keep_malformed=True), anchored=False
         ),
-        "volume_1m": _on_log(lambda log: volume.volume(log, "1m"), "ts"),
-        "volume_5m": _on_log(lambda log: volume.volume(log, "5m"), "ts"),
-        "volume_15m": _on_log(lambda log: volume.volume(log, "15m"), "ts"),
-        "volume_1h": _on_log(lambda log: volume.volume(log, "1h"), "ts"),
-        "access_report": _on_log(report.report_table, "status", "ip", "request"),
+        "volume_1m": _on_times(lambda log: volume.volume(log, "1m")),
+        "volume_5m": _on_times(lambda log: volume.volume(log, "5m")),
+        "volume_15m": _on_times(lambda log: volume.volume(log, "15m")),
+        "volume_1h": _on_times(lambda log: volume.volume(log, "1h")),
+        "access_report": _on_log(report.report_table),
         "slice_volume": _slice("volume"),
-        "slice_status_share": _slice("status_share", "status"),
-        "slice_top_ips": _slice("top_ips", "ip"),
-        "slice_top_requests": _slice("top_requests", "request"),
+        "slice_status_share": _slice("status_share"),
+        "slice_top_ips": _slice("top_ips"),
+        "slice_top_requests": _slice("top_requests"),
         "sql_top_ips": _sql_top_ips,
         "stream_status_counts": _stream_status_counts,
-        "stream_ip_counts": _on_stream(results.running_ip_counts, "ip"),
-        "stream_top_ips": _stream_top(results.running_ip_counts, "ip"),
-        "stream_request_counts": _on_stream(results.running_request_counts, "request"),
-        "stream_top_requests": _stream_top(results.running_request_counts, "request"),
-        "stream_avg_size": _on_stream(results.running_mean_size, "status", "size"),
-        "stream_hourly_volume": _on_stream(results.running_hourly_volume, "ts"),
+        "stream_ip_counts": _on_stream(results.running_ip_counts),
+        "stream_top_ips": _stream_top(results.running_ip_counts),
+        "stream_request_counts": _on_stream(results.running_request_counts),
+        "stream_top_requests": _stream_top(results.running_request_counts),
+        "stream_avg_size": _on_stream(results.running_mean_size),
+        "stream_hourly_volume": _on_stream(results.running_hourly_volume, with_time=True),
         "stream_top_lists": _stream_top_lists,
         "stream_access_report": lambda spark, sf_dir: report.top_of_sections(
-            _on_stream(results.running_sections, *report.KEYS)(spark, sf_dir)
+            _on_stream(results.running_sections)(spark, sf_dir)
         ),
     }
 

@@ -1,21 +1,27 @@
-"""Column expressions for one line of Common Log Format text."""
+"""Column expressions for one line of Common Log Format text.
 
-from __future__ import annotations
+The regex runs once per line and gives the whole record; the fields are then cut out of the record with
+plain string functions. This is exact because a record has a fixed frame:
+
+    ip client user [ts_raw] "request" status size
 
-from collections.abc import Sequence
+The first three fields and the last two hold no space. ``ts_raw`` ends at the first ``] "`` after its
+bracket. Whatever is left between that and the end of the record's frame is the request.
+"""
+
+from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The line pattern, its groups in order, and the stamp format.
+# The line pattern, the names of its groups in order, and the stamp format.
 PATTERN = r'(\S+) (\S+) (\S+) \[(.*?)\] "(.*?)" (\d{3}) (\S+)'
-GROUPS = {"ip": 1, "client": 2, "user": 3, "ts_raw": 4, "request": 5, "status": 6, "size": 7}
+GROUPS = ("ip", "client", "user", "ts_raw", "request", "status", "size")
 STAMP_FORMAT = "dd/MMM/yyyy:HH:mm:ss Z"
 
-# Groups 4 and 5 are `.*?` and may be empty in a line that matches; the others never are.
-NEVER_EMPTY = frozenset({1, 2, 3, 6, 7})
-
-_SEP = "\u0001"
+_STAMP_END = '] "'
+# Length of the text around the size at the end of a record: `" `, three digits, a space.
+_STATUS_FRAME = len('" 200 ')
 
 
 def line_pattern(anchored: bool) -> str:
@@ -28,22 +34,32 @@ def matches_line(value: Column, anchored: bool = True) -> Column:
     return F.coalesce(value.rlike(line_pattern(anchored)), F.lit(False))
 
 
-def captured_groups(value: Column, groups: Sequence[int], anchored: bool) -> Column:
-    """All wanted groups from a single regex run, as an array.
-
-    A matching line gives ``len(groups) + 1`` elements, the first of them empty; any other line gives
-    one element (or NULL for NULL text). The matched line is rewritten to its groups, each behind a
-    separator, and split. Text that already contains the separator takes the slower route of one
-    extraction per group, so the result is exact for every input.
-    """
-    pattern = line_pattern(anchored)
-    whole_line = ("" if anchored else r"^(?s:.*?)") + pattern + r"(?s:.*)"
-    rewritten = F.regexp_replace(value, whole_line, "".join(f"{_SEP}${g}" for g in groups))
-    one_by_one = F.when(
-        value.rlike(pattern),
-        F.array(F.lit(""), *[F.regexp_extract(value, pattern, g) for g in groups]),
-    )
-    return F.when(F.contains(value, F.lit(_SEP)), one_by_one).otherwise(F.split(rewritten, _SEP))
+def record_of(value: Column, anchored: bool = True) -> Column:
+    """The log record in a line, without what comes before or after it; empty when there is none."""
+    return F.coalesce(F.regexp_extract(value, line_pattern(anchored), 0), F.lit(""))
+
+
+def record_fields(record: Column) -> dict[str, Column]:
+    """The text of every field of a record, by name; all empty for an empty record."""
+
+    def word(n: int) -> Column:
+        return F.substring_index(F.substring_index(record, " ", n), " ", -1)
+
+    size = F.substring_index(record, " ", -1)
+    # The record from behind the opening bracket on.
+    rest = F.substring(record, F.length(F.substring_index(record, " ", 3)) + 3, F.length(record))
+    ts_raw = F.substring_index(rest, _STAMP_END, 1)
+    behind_stamp = F.length(ts_raw) + len(_STAMP_END)
+    request_length = F.length(rest) - behind_stamp - _STATUS_FRAME - F.length(size)
+    return {
+        "ip": F.substring_index(record, " ", 1),
+        "client": word(2),
+        "user": word(3),
+        "ts_raw": ts_raw,
+        "request": F.substring(rest, behind_stamp + 1, request_length),
+        "status": F.substring_index(F.substring_index(record, " ", -2), " ", 1),
+        "size": size,
+    }
 
 
 def status_code(text: Column) -> Column:

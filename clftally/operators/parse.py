@@ -2,26 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clftally.functions import clf
 
-# The parsed columns in order, each with the group of the line pattern it is read from.
-_SOURCE_GROUP = {
-    "ip": "ip",
-    "client": "client",
-    "user": "user",
-    "ts_raw": "ts_raw",
-    "ts": "ts_raw",
-    "request": "request",
-    "status": "status",
-    "size": "size",
-}
-COLUMNS = tuple(_SOURCE_GROUP)
-
 
 def valid_lines(lines: DataFrame, anchored: bool = True) -> DataFrame:
     """Only the lines that hold a log record."""
@@ -29,40 +14,35 @@ def valid_lines(lines: DataFrame, anchored: bool = True) -> DataFrame:
 
 
 def parse_access_log(
-    lines: DataFrame, columns: Sequence[str] = COLUMNS, anchored: bool = True
+    lines: DataFrame, anchored: bool = True, with_time: bool = True
 ) -> DataFrame:
     """Parse the ``value`` column into typed columns plus ``ok``; other input columns are kept.
 
     No row is dropped: a line that does not match has ``ok`` false, empty strings, and NULL in ``ts``,
-    ``status`` and ``size``. Naming only the ``columns`` a job needs spares the others' work.
-    ``anchored`` demands the record at the start of the line; without it, a record anywhere counts.
+    ``status`` and ``size``. ``anchored`` demands the record at the start of the line; without it, a
+    record anywhere counts. Fields that a job does not use cost nothing, but for ``ts``: a job that has
+    no use for it leaves it out with ``with_time=False``.
     """
-    unknown = set(columns) - set(COLUMNS)
-    if unknown:
-        raise ValueError(f"unknown columns: {', '.join(sorted(unknown))}")
-    wanted = [name for name in COLUMNS if name in columns] or ["status"]
-    groups = sorted({clf.GROUPS[_SOURCE_GROUP[name]] for name in wanted})
-
-    rows, ok, text_of = _match_once(lines, groups, anchored)
-    if "ts" in wanted:
-        rows = evaluate_once(rows, clf.instant(text_of(clf.GROUPS["ts_raw"])), "_ts")
-    typed = {
-        "ts": lambda: F.col("_ts"),
-        "status": lambda: clf.status_code(text_of(clf.GROUPS["status"])),
-        "size": lambda: clf.size_in_bytes(text_of(clf.GROUPS["size"])),
+    rows = evaluate_once(lines, clf.record_of(F.col("value"), anchored), "_record")
+    text = clf.record_fields(F.col("_record"))
+    columns = {
+        **text,
+        "status": clf.status_code(text["status"]),
+        "size": clf.size_in_bytes(text["size"]),
+        "ok": F.col("_record") != "",
     }
-    parsed = [
-        (typed[name]() if name in typed else text_of(clf.GROUPS[name])).alias(name)
-        for name in wanted
-        if name in columns
-    ]
+    if with_time:
+        rows = evaluate_once(rows, clf.instant(text["ts_raw"]), "_ts")
+        columns["ts"] = F.col("_ts")
     others = [name for name in lines.columns if name != "value"]
-    return rows.select(*others, *parsed, ok.alias("ok"))
+    order = ["ip", "client", "user", "ts_raw", "ts", "request", "status", "size", "ok"]
+    return rows.select(*others, *[columns[name].alias(name) for name in order if name in columns])
 
 
 def parse_timestamps(lines: DataFrame, anchored: bool = True) -> DataFrame:
-    """Raw stamp and instant of every valid line."""
-    return keep_valid(parse_access_log(lines, ("ts_raw", "ts"), anchored)).drop("ok")
+    """Raw stamp and instant of every valid line, next to the columns it came with."""
+    others = [name for name in lines.columns if name != "value"]
+    return keep_valid(parse_access_log(lines, anchored)).select(*others, "ts_raw", "ts")
 
 
 def keep_valid(parsed: DataFrame, keep_malformed: bool = False) -> DataFrame:
@@ -78,18 +58,3 @@ def evaluate_once(rows: DataFrame, expression: Column, name: str) -> DataFrame:
     over a one-element array adds exactly one value per row and keeps the stage in generated code.
     """
     return rows.select("*", F.explode(F.array(expression)).alias(name))
-
-
-def _match_once(lines: DataFrame, groups: list[int], anchored: bool):
-    """Rows with the regex result, the ``ok`` column, and a getter for the text of a group."""
-    value = F.col("value")
-    if len(groups) == 1 and groups[0] in clf.NEVER_EMPTY:
-        pattern = clf.line_pattern(anchored)
-        rows = evaluate_once(lines, F.regexp_extract(value, pattern, groups[0]), "_text")
-        text = F.coalesce(F.col("_text"), F.lit(""))
-        return rows, text != "", lambda group: text
-
-    rows = evaluate_once(lines, clf.captured_groups(value, groups, anchored), "_groups")
-    ok = F.coalesce(F.size("_groups") > 1, F.lit(False))
-    place = {group: i + 1 for i, group in enumerate(groups)}
-    return rows, ok, lambda group: F.coalesce(F.get("_groups", F.lit(place[group])), F.lit(""))

@@ -75,7 +75,7 @@ def test_every_running_result_equals_its_batch_result(spark, stream, batch, tmp_
 
 def test_micro_batch_size_does_not_matter_and_progress_is_reported(spark, feed, batch, tmp_path):
     for files, batches in ((1, 7), (100, 1)):
-        parsed = parse_access_log(stream_lines(spark, feed, files), ("status",), anchored=False)
+        parsed = parse_access_log(stream_lines(spark, feed, files), anchored=False)
         query = jobs.start_running_result(
             results.running_status_counts(parsed), f"{tmp_path}/{files}", name=f"status_{files}"
         )
@@ -105,11 +105,11 @@ def test_closed_hours_equal_the_batch_hours_that_are_over(spark, lines, tmp_path
     # Shifted offsets would put lines out of order, so only lines stamped in UTC are used.
     steady = lines.filter("event_id % 50 NOT IN (7, 9, 11)")
     chunk_lines(steady.orderBy("event_id").coalesce(1), feed, lines_per_file=200)
-    parsed = parse_access_log(stream_lines(spark, feed, max_files_per_trigger=1), ("ts",))
+    parsed = parse_access_log(stream_lines(spark, feed, max_files_per_trigger=1))
     query = jobs.start_appending(results.closed_hours(parsed, "3 hours"), f"{tmp_path}/query")
     assert jobs.await_and_stop([query])
     got = dict(rows(spark.read.parquet(f"{tmp_path}/query/result")))
-    want = dict(rows(hourly_volume(parse_access_log(steady, ("ts",))).select("hour", "count")))
+    want = dict(rows(hourly_volume(parse_access_log(steady)).select("hour", "count")))
     last = max(want)
     assert set(want) - set(got) <= {hour for hour in want if (last - hour).total_seconds() <= 4 * 3600}
     assert got.items() <= want.items() and len(got) > 100
