@@ -50,18 +50,29 @@ def _on_times(operator: Callable[[DataFrame], DataFrame], anchored: bool = True)
     return _on_log(operator, anchored, with_time=True)
 
 
-def _on_stream(build: Callable[[DataFrame], DataFrame], with_time: bool = False) -> Query:
-    """A running result over the events table read as a stream, once all of it has been seen."""
+def _on_stream(
+    build: Callable[[DataFrame], DataFrame],
+    read: Callable[[DataFrame], DataFrame],
+    with_time: bool = False,
+) -> Query:
+    """A running result over the events table read as a stream, read once all of it has been seen."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        stream = event_lines.stream_events(configure(spark), sf_dir)
-        lines = event_lines.as_log_lines(stream)
-        parsed = parse.parse_access_log(lines, anchored=False, with_time=with_time)
-        return jobs.run(spark, build(parsed), shared.fresh_folder(spark, "stream"))
+        running = build(_parsed_stream(spark, sf_dir, with_time))
+        return read(jobs.run(spark, running, shared.fresh_folder(spark, "stream")))
 
     return query
 
 
+def _parsed_stream(spark: SparkSession, sf_dir: str, with_time: bool = False) -> DataFrame:
+    lines = event_lines.as_log_lines(event_lines.stream_events(configure(spark), sf_dir))
+    return parse.parse_access_log(lines, anchored=False, with_time=with_time)
+
+
+def _largest_first(measure: str, key: str) -> Callable[[DataFrame], DataFrame]:
+    return lambda table: table.orderBy(F.desc(measure), key)
+
+
 def _without_zone(rows: DataFrame) -> DataFrame:
     """Instants as UTC times without a zone, the type the tables themselves use."""
     instants = [name for name, kind in rows.dtypes if kind == "timestamp"]
@@ -118,23 +129,28 @@ def _sql_top_ips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stream_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running status counts over a folder of text files, taken in at most four micro-batches."""
-    folder, files = _write_chunks(configure(spark), sf_dir)
-    stream = text.stream_lines(spark, folder, max_files_per_trigger=files // 4 + 1)
-    parsed = parse.parse_access_log(stream, anchored=False, with_time=False)
-    return jobs.run(
-        spark, results.running_status_counts(parsed), shared.fresh_folder(spark, "stream")
-    )
+    feed, files = _write_chunks(configure(spark), sf_dir)
+    try:
+        stream = text.stream_lines(spark, feed, max_files_per_trigger=files // 4 + 1)
+        parsed = parse.parse_access_log(stream, anchored=False, with_time=False)
+        return jobs.run(
+            spark, results.running_status_counts(parsed), shared.fresh_folder(spark, "stream")
+        )
+    finally:
+        shared.remove_folder(spark, feed)
+
+
+def _stream_top(build: Callable[[DataFrame], DataFrame]) -> Query:
+    """Top 10 of a running count. The query keeps its result table down to these rows."""
+    return _on_stream(lambda log: results.top_rows(build(log)), results.top_rows)
 
 
 def _stream_top_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Running address and request counts by two queries at once, then the top 10 of each."""
-    stream = event_lines.stream_events(configure(spark), sf_dir)
-    parsed = parse.parse_access_log(
-        event_lines.as_log_lines(stream), anchored=False, with_time=False
-    )
+    """The top 10 addresses and request lines, by two queries that run at once."""
+    parsed = _parsed_stream(spark, sf_dir)
     running = {
-        "ip": results.running_ip_counts(parsed),
-        "request": results.running_request_counts(parsed),
+        "ip": results.top_rows(results.running_ip_counts(parsed)),
+        "request": results.top_rows(results.running_request_counts(parsed)),
     }
     tables = jobs.run_together(spark, running, shared.fresh_folder(spark, "stream"))
     ips, requests = (
@@ -146,12 +162,6 @@ def _stream_top_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ips.unionByName(requests)
 
 
-def _stream_top(build: Callable[[DataFrame], DataFrame]) -> Query:
-    """Top 10 of a running count, by SQL over its result table."""
-    whole = _on_stream(build)
-    return lambda spark, sf_dir: results.top_rows(whole(spark, sf_dir), 10)
-
-
 def _slice(section: str) -> Query:
     """One table of the log viewer, for the time range."""
     return _on_times(
@@ -212,16 +222,22 @@ def queries() -> dict[str, Query]:
         "slice_top_requests": _slice("top_requests"),
         "sql_top_ips": _sql_top_ips,
         "stream_status_counts": _stream_status_counts,
-        "stream_ip_counts": _on_stream(results.running_ip_counts),
+        "stream_ip_counts": _on_stream(
+            results.running_ip_counts, _largest_first("count", "ip")
+        ),
         "stream_top_ips": _stream_top(results.running_ip_counts),
-        "stream_request_counts": _on_stream(results.running_request_counts),
+        "stream_request_counts": _on_stream(
+            results.running_request_counts, _largest_first("count", "request")
+        ),
         "stream_top_requests": _stream_top(results.running_request_counts),
-        "stream_avg_size": _on_stream(results.running_mean_size),
-        "stream_hourly_volume": _on_stream(results.running_hourly_volume, with_time=True),
-        "stream_top_lists": _stream_top_lists,
-        "stream_access_report": lambda spark, sf_dir: report.top_of_sections(
-            _on_stream(results.running_sections)(spark, sf_dir)
+        "stream_avg_size": _on_stream(
+            results.running_mean_size, _largest_first("average_response_size", "status")
         ),
+        "stream_hourly_volume": _on_stream(
+            results.running_hourly_volume, lambda hours: hours.orderBy("hour"), with_time=True
+        ),
+        "stream_top_lists": _stream_top_lists,
+        "stream_access_report": _on_stream(results.running_sections, report.top_of_sections),
     }
 
 

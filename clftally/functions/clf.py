@@ -19,24 +19,27 @@ PATTERN = r'(\S+) (\S+) (\S+) \[(.*?)\] "(.*?)" (\d{3}) (\S+)'
 GROUPS = ("ip", "client", "user", "ts_raw", "request", "status", "size")
 STAMP_FORMAT = "dd/MMM/yyyy:HH:mm:ss Z"
 
+# The same language as PATTERN in a form that takes linear time on lines that do not match: words and the
+# stamp are never given back once matched. A shorter word or a later end of the stamp cannot help, since
+# the word is followed by a space and the request may hold whatever the stamp could have held.
+_RECORD = r'\S++ \S++ \S++ \[(?>.*?\] ").*?" \d{3} \S++'
+# A record found inside a line starts with a word, never in the middle of one.
+_AT_START, _ANYWHERE = "^" + _RECORD, r"(?<!\S)" + _RECORD
+
 _STAMP_END = '] "'
 # Length of the text around the size at the end of a record: `" `, three digits, a space.
 _STATUS_FRAME = len('" 200 ')
 
 
-def line_pattern(anchored: bool) -> str:
-    """The pattern as a Java regex: from the start of the line, or anywhere in it."""
-    return "^" + PATTERN if anchored else PATTERN
-
-
 def matches_line(value: Column, anchored: bool = True) -> Column:
-    """Whether the text holds a log record; never NULL."""
-    return F.coalesce(value.rlike(line_pattern(anchored)), F.lit(False))
+    """Whether the text holds a log record, at its start or anywhere in it; never NULL."""
+    return F.coalesce(value.rlike(_AT_START if anchored else _ANYWHERE), F.lit(False))
 
 
 def record_of(value: Column, anchored: bool = True) -> Column:
     """The log record in a line, without what comes before or after it; empty when there is none."""
-    return F.coalesce(F.regexp_extract(value, line_pattern(anchored), 0), F.lit(""))
+    pattern = _AT_START if anchored else _ANYWHERE
+    return F.coalesce(F.regexp_extract(value, pattern, 0), F.lit(""))
 
 
 def record_fields(record: Column) -> dict[str, Column]:

@@ -23,3 +23,11 @@ def shared_root(spark: SparkSession) -> str:
 def fresh_folder(spark: SparkSession, purpose: str) -> str:
     """Path of a folder that does not exist yet, below the shared root."""
     return f"{shared_root(spark)}/clftally-{purpose}-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that `fresh_folder` named and that nothing needs any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getName().startswith("clftally-"):
+        raise ValueError(f"not a scratch folder: {folder}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

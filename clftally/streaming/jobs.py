@@ -93,24 +93,32 @@ def progress(query: StreamingQuery) -> list[dict]:
     ]
 
 
+def run(spark: SparkSession, result: DataFrame, folder: str, timeout: float | None = None) -> DataFrame:
+    """Run one complete-mode query over all input there is, and return its result."""
+    return _run_all(spark, {folder: result}, timeout)[folder]
+
+
 def run_together(
     spark: SparkSession, results: Mapping[str, DataFrame], folder: str, timeout: float | None = None
 ) -> dict[str, DataFrame]:
-    """Run several complete-mode queries at once over all input there is, and return their results."""
+    """Run several complete-mode queries at once, each in a folder of its name; returns their results."""
+    places = {f"{folder}/{name}": result for name, result in results.items()}
+    return dict(zip(results, _run_all(spark, places, timeout).values()))
+
+
+def _run_all(
+    spark: SparkSession, results: Mapping[str, DataFrame], timeout: float | None
+) -> dict[str, DataFrame]:
     queries = []
     try:
-        for name, result in results.items():
-            queries.append(start_running_result(result, f"{folder}/{name}"))
-    finally:
-        finished = await_and_stop(queries, timeout if len(queries) == len(results) else 0)
-    if not finished:
+        for place, result in results.items():
+            queries.append(start_running_result(result, place))
+    except BaseException:
+        await_and_stop(queries, timeout=0)
+        raise
+    if not await_and_stop(queries, timeout):
         raise TimeoutError(f"streaming queries did not finish within {timeout} seconds")
-    return {name: read_result(spark, f"{folder}/{name}") for name in results}
-
-
-def run(spark: SparkSession, result: DataFrame, folder: str, timeout: float | None = None) -> DataFrame:
-    """Run one complete-mode query over all input there is, and return its result."""
-    return run_together(spark, {"query": result}, folder, timeout)["query"]
+    return {place: read_result(spark, place) for place in results}
 
 
 def _writer(result: DataFrame, folder: str, name: str | None, trigger: Mapping):

@@ -3,6 +3,10 @@
 Complete mode keeps one row of state per key for as long as the query runs. That is small for statuses
 and hours; addresses and request lines grow with the log, which is why the state lives in RocksDB.
 By default lines that are no log record are counted too, under an empty or NULL key.
+
+The results are unsorted. A full sort within the query would run the stateful step twice per micro-batch,
+once to sample the sort's ranges, so it is left to the reader; `top_rows` needs no such sort and can be
+part of the query, which then writes no more than the top rows.
 """
 
 from __future__ import annotations
@@ -20,22 +24,20 @@ def running_status_counts(parsed: DataFrame, keep_malformed: bool = True) -> Dat
 
 
 def running_ip_counts(parsed: DataFrame, keep_malformed: bool = True) -> DataFrame:
-    """All addresses, most frequent first."""
-    return counts.ip_counts(parsed, keep_malformed)
+    return counts.count_by(parsed, "ip", keep_malformed)
 
 
 def running_request_counts(parsed: DataFrame, keep_malformed: bool = True) -> DataFrame:
-    """All request lines, most frequent first."""
-    return counts.request_counts(parsed, keep_malformed)
+    return counts.count_by(parsed, "request", keep_malformed)
 
 
 def running_mean_size(parsed: DataFrame) -> DataFrame:
-    """Mean size per status of valid lines, largest first."""
-    return counts.avg_size_by_status(parsed)
+    """Mean size per status of valid lines."""
+    return counts.mean_size_by_status(parsed)
 
 
 def running_hourly_volume(parsed: DataFrame, keep_malformed: bool = True) -> DataFrame:
-    return volume.hourly_volume(parsed, keep_malformed)
+    return volume.hourly_counts(parsed, keep_malformed)
 
 
 def running_sections(parsed: DataFrame, keep_malformed: bool = True) -> DataFrame:
@@ -60,7 +62,7 @@ def closed_hours(parsed: DataFrame, lateness: str) -> DataFrame:
 
 
 def top_rows(result: DataFrame, n: int = 10) -> DataFrame:
-    """The ``n`` most frequent keys of a result, by SQL."""
+    """The ``n`` most frequent keys of a result, by SQL; on the running query or on its result table."""
     key = result.columns[0]
     return result.sparkSession.sql(
         f"SELECT * FROM {{result}} ORDER BY count DESC, {key} LIMIT {int(n)}", result=result

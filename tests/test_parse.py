@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 from datetime import datetime, timezone
 
 import pytest
@@ -162,7 +163,7 @@ def random_lines(count, seed):
 def test_cut_fields_equal_one_extraction_per_field(lines_of, anchored):
     """Against Spark's plain extraction, and against a different regex engine."""
     lines = lines_of(random_lines(20_000, seed=anchored))
-    pattern = clf.line_pattern(anchored)
+    pattern = ("^" if anchored else "") + clf.PATTERN
     fields = clf.record_fields(clf.record_of(F.col("value"), anchored))
     got = rows(
         lines.select(
@@ -179,3 +180,21 @@ def test_cut_fields_equal_one_extraction_per_field(lines_of, anchored):
         assert cut == plain == (list(match.groups()) if match else [""] * 7), repr(value)
         valid += match is not None
     assert 5_000 < valid < 19_000
+
+
+def test_long_lines_that_match_nothing_do_not_stall(lines_of):
+    """Each would take hours if every start or end of a field were tried with every other."""
+    long = 1_000_000
+    texts = ["x" * long, "a b c [" + '] "' * long, "a b c [" + '" 200' * long, "a " * long, "[" * long]
+    texts += [text + " " + line() for text in texts[:1]]
+    for anchored, valid in ((True, 0), (False, 1)):
+        started = time.monotonic()
+        parsed = parse_access_log(lines_of(texts), anchored)
+        assert parsed.filter("ok").count() == valid
+        assert time.monotonic() - started < 30
+
+
+def test_very_long_fields_are_kept_whole(lines_of):
+    path = "GET /" + "é" * 500_000
+    parsed = parse_access_log(lines_of([line(request=path, size="7" * 18)]))
+    assert rows(parsed.select("request", "size")) == [(path, int("7" * 18))]

@@ -126,3 +126,13 @@ def test_without_a_named_folder_a_local_run_uses_a_temporary_one(tmp_path):
     session = _Session({})
     session.sparkContext.master = "local[2]"
     assert Path(shared.shared_root(session)).is_dir()
+
+
+def test_only_scratch_folders_are_removed(spark, tmp_path):
+    mine, other = tmp_path / "clftally-lines-1", tmp_path / "other"
+    for folder in (mine, other):
+        spark.range(1).write.parquet(str(folder))
+    shared.remove_folder(spark, str(mine))
+    with pytest.raises(ValueError):
+        shared.remove_folder(spark, str(other))
+    assert not mine.exists() and other.exists()

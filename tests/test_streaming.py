@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import uuid
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -86,6 +87,30 @@ def test_micro_batch_size_does_not_matter_and_progress_is_reported(spark, feed,
         assert same(jobs.read_result(spark, f"{tmp_path}/{files}"), status_counts(batch, True))
 
 
+def test_top_rows_within_the_query_keep_the_result_table_small(spark, stream, batch, tmp_path):
+    top = results.top_rows(results.running_ip_counts(stream), 4)
+    table = jobs.run(spark, top, str(tmp_path))
+    assert table.count() == 4
+    assert rows(results.top_rows(table, 4)) == rows(top_ips(batch, 4, True))
+
+
+def test_a_result_is_never_read_half_written(spark, feed, batch, tmp_path):
+    """A batch that began to write but did not finish leaves the last finished result in place."""
+    folder = str(tmp_path)
+    parsed = parse_access_log(stream_lines(spark, feed, 3), anchored=False)
+    table = jobs.run(spark, results.running_status_counts(parsed), folder)
+    done = len(list(Path(folder, "checkpoint", "commits").glob("[0-9]*")))
+    batch.limit(1).select("status").write.mode("overwrite").parquet(f"{folder}/result-{done % 2}")
+    assert same(jobs.read_result(spark, folder), status_counts(batch, True))
+    assert same(table, status_counts(batch, True))
+
+
+def test_nothing_to_read_yet(spark, tmp_path):
+    Path(tmp_path, "checkpoint", "commits").mkdir(parents=True)
+    with pytest.raises(ValueError, match="no micro-batch"):
+        jobs.read_result(spark, str(tmp_path))
+
+
 def test_a_restarted_query_counts_new_files_only(spark, lines_of, tmp_path):
     feed, folder = f"{tmp_path}/feed", f"{tmp_path}/query"
     want = 0
