@@ -39,6 +39,7 @@ clf AS (
   FROM records
 )"""
 
+# Fixed value: the line pattern.
 _PATTERN = r'(\S+) (\S+) (\S+) \[(.*?)\] "(.*?)" (\d{3}) (\S+)'
 
 
@@ -46,17 +47,17 @@ def _parsed(anchored: bool) -> str:
     pattern = ("^" if anchored else "") + _PATTERN
     return f"""{_LINES},
 matched AS (
-  SELECT event_id, value, regexp_matches(value, '{pattern}') AS ok,
+  SELECT event_id, value, coalesce(regexp_matches(value, '{pattern}'), false) AS ok,
     regexp_extract(value, '{pattern}',
       ['ip', 'client', 'user', 'ts_raw', 'request', 'status', 'size']) AS m
   FROM clf
 ),
 log AS (
-  SELECT event_id, value, ok, m.ip AS ip, m.client AS client, m."user" AS "user",
-    m.ts_raw AS ts_raw,
+  SELECT event_id, value, ok, coalesce(m.ip, '') AS ip, coalesce(m.client, '') AS client,
+    coalesce(m."user", '') AS "user", coalesce(m.ts_raw, '') AS ts_raw,
     coalesce(try_strptime(m.ts_raw, '%d/%b/%Y:%H:%M:%S %z') AT TIME ZONE 'UTC',
              try_strptime(m.ts_raw, '%d/%b/%Y:%H:%M:%S')) AS ts,
-    m.request AS request,
+    coalesce(m.request, '') AS request,
     try_cast(m.status AS INTEGER) AS status,
     CASE WHEN m.size = '-' THEN 0
          WHEN regexp_full_match(m.size, '[0-9]+') THEN try_cast(m.size AS BIGINT) END AS size

@@ -18,7 +18,7 @@ RECORDS = [
 LINES = [
     f'{ip} - - {STAMP.format(second)} "{request}" {status} {size}'
     for ip, second, request, status, size in RECORDS
-] + ["", "# Repeated synthetic block to make the file larger"]
+] + ["", "# a comment"]
 
 
 def line(

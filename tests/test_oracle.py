@@ -82,6 +82,27 @@ def test_skewed_tables(spark, skewed, name):
     assert got == duckdb_result(SQL[name], f"{skewed}/events.parquet/*.parquet")
 
 
+@pytest.fixture(scope="module")
+def with_nulls(spark, tmp_path_factory):
+    """Events that lack a user, a kind or a time; their lines are NULL."""
+    folder = tmp_path_factory.mktemp("nulls")
+    e = F.col("event_id")
+    (
+        spark.read.parquet(f"{SF}/events.parquet")
+        .withColumn("user_id", F.when(e % 7 != 0, F.col("user_id")))
+        .withColumn("event_type", F.when(e % 11 != 0, F.col("event_type")))
+        .withColumn("ts", F.when(e % 13 != 0, F.col("ts")))
+        .write.parquet(f"{folder}/events.parquet")
+    )
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["parse_access_log_find", "parse_quality", "ip_counts_raw", "volume_1h"])
+def test_missing_values(spark, with_nulls, name):
+    got = spark_result(QUERIES[name](spark, with_nulls))
+    assert got == duckdb_result(SQL[name], f"{with_nulls}/events.parquet/*.parquet")
+
+
 def test_entry(spark):
     frame = registry.entry(spark)
     assert frame.columns[0] == "status" and frame.count() == 5
