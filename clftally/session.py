@@ -14,6 +14,10 @@ SETTINGS = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
+# Settings that a session can only start with. Looking up the caller of every column expression takes
+# longer than planning the query.
+STARTUP_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the library's runtime settings to an existing session."""
@@ -28,6 +32,7 @@ def get_session(app_name: str = "clftally", **conf: str) -> SparkSession:
     Master, memory and shuffle partitions are the cluster's to choose and are left alone.
     """
     builder = SparkSession.builder.appName(app_name)
-    for key, value in conf.items():
-        builder = builder.config(key.replace("__", "."), value)
+    chosen = {key.replace("__", "."): value for key, value in conf.items()}
+    for key, value in {**STARTUP_SETTINGS, **chosen}.items():
+        builder = builder.config(key, value)
     return configure(builder.getOrCreate())

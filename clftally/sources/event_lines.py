@@ -8,9 +8,32 @@ offsets, unreadable stamps, odd sizes.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-_POST = ("signup", "purchase")
+_LINE = """
+CASE event_id % 100
+  WHEN 3 THEN concat('# comment ', event_id)
+  WHEN 53 THEN ''
+  ELSE concat(
+    if(event_id % 100 = 77, '# ', ''),
+    '10.0.', user_id div 256, '.', user_id % 256,
+    ' - ', if(user_id % 3 = 0, concat('u', user_id), '-'),
+    ' [',
+    if(event_id % 50 = 11, 'bad-stamp',
+       concat(date_format(ts, 'dd/MMM/yyyy:HH:mm:ss'),
+              CASE event_id % 50 WHEN 7 THEN '' WHEN 9 THEN ' +0530' ELSE ' +0000' END)),
+    '] "', if(event_type IN ('signup', 'purchase'), 'POST', 'GET'),
+    ' /', event_type, '/', event_id % 20, ' HTTP/1.1" ',
+    CASE event_type
+      WHEN 'error' THEN if(event_id % 2 = 0, '500', '404')
+      WHEN 'signup' THEN '302'
+      WHEN 'purchase' THEN '201'
+      ELSE '200' END,
+    ' ',
+    CASE WHEN event_id % 10 = 0 THEN '-'
+         WHEN event_id % 97 = 0 THEN '5000000000'
+         WHEN event_id % 89 = 0 THEN 'abc'
+         ELSE string(event_id * 37 % 4096) END)
+END AS value"""
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,37 +55,4 @@ def stream_events(spark: SparkSession, sf_dir: str, max_files_per_trigger: int =
 
 def as_log_lines(events: DataFrame) -> DataFrame:
     """``event_id`` and the log line in ``value``; works on batch and streaming input."""
-    e, u, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
-
-    ip = F.concat(F.lit("10.0."), F.floor(u / 256).cast("string"), F.lit("."), (u % 256).cast("string"))
-    user = F.when(u % 3 == 0, F.concat(F.lit("u"), u.cast("string"))).otherwise("-")
-    offset = F.when(e % 50 == 7, "").when(e % 50 == 9, " +0530").otherwise(" +0000")
-    stamp = F.when(e % 50 == 11, "bad-stamp").otherwise(
-        F.concat(F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"), offset)
-    )
-    method = F.when(kind.isin(*_POST), "POST").otherwise("GET")
-    status = (
-        F.when((kind == "error") & (e % 2 == 0), "500")
-        .when(kind == "error", "404")
-        .when(kind == "signup", "302")
-        .when(kind == "purchase", "201")
-        .otherwise("200")
-    )
-    size = (
-        F.when(e % 10 == 0, "-")
-        .when(e % 97 == 0, "5000000000")
-        .when(e % 89 == 0, "abc")
-        .otherwise((e * 37 % 4096).cast("string"))
-    )
-    mark = F.when(e % 100 == 77, "# ").otherwise("")
-    text = F.lit
-    record = F.concat(
-        mark, ip, text(" - "), user, text(" ["), stamp, text('] "'), method, text(" /"), kind,
-        text("/"), (e % 20).cast("string"), text(' HTTP/1.1" '), status, text(" "), size,
-    )
-    line = (
-        F.when(e % 100 == 3, F.concat(text("# comment "), e.cast("string")))
-        .when(e % 100 == 53, "")
-        .otherwise(record)
-    )
-    return events.select("event_id", line.alias("value"))
+    return events.selectExpr("event_id", _LINE)
