@@ -21,6 +21,11 @@ from clftally.plans import report  # noqa: E402
 from clftally.sources import event_lines, parsed as parsed_table, shared, text  # noqa: E402
 from clftally.streaming import jobs, results  # noqa: E402
 
+try:
+    from clftally.llm import registry as llm  # noqa: E402
+except ImportError:
+    llm = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 # The range used by the time-slice queries, in UTC, both ends included.
@@ -175,6 +180,14 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    return log_queries() | (llm.queries() if llm else {})
+
+
+def oracle_sql() -> dict[str, str]:
+    return oracle.build(*SLICE) | (llm.oracle_sql() if llm else {})
+
+
+def log_queries() -> dict[str, Query]:
     return {
         "scan_lines": _scan_lines,
         "chunk_lines": _chunk_lines,
@@ -239,7 +252,3 @@ def queries() -> dict[str, Query]:
         "stream_top_lists": _stream_top_lists,
         "stream_access_report": _on_stream(results.running_sections, report.top_of_sections),
     }
-
-
-def oracle_sql() -> dict[str, str]:
-    return oracle.build(*SLICE)

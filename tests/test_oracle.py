@@ -7,10 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as registry
+import oracle
 
 SF = "/root/testdata/sf0.001"
-QUERIES = registry.queries()
-SQL = registry.oracle_sql()
+QUERIES = registry.log_queries()
+SQL = oracle.build(*registry.SLICE)
 KINDS = {
     "bigint": "BIGINT",
     "int": "INTEGER",

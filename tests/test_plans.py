@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as registry
 
 SF = "/root/testdata/sf0.001"
-BATCH = [name for name in registry.queries() if not name.startswith("stream_")]
+BATCH = [name for name in registry.log_queries() if not name.startswith("stream_")]
 
 
 def plan_of(frame) -> str:
@@ -27,7 +27,7 @@ def plan_of(frame) -> str:
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    return {name: plan_of(registry.queries()[name](spark, SF)) for name in BATCH}
+    return {name: plan_of(registry.log_queries()[name](spark, SF)) for name in BATCH}
 
 
 @pytest.mark.parametrize("name", BATCH)
@@ -77,7 +77,7 @@ def test_counts_are_combined_before_the_shuffle(plans, name):
 
 
 def test_filled_volume_reads_the_log_once(spark):
-    frame = registry.queries()["volume_5m"](spark, SF)
+    frame = registry.log_queries()["volume_5m"](spark, SF)
     frame.collect()
     final = plan_of(frame).split("== Initial Plan ==")[0]
     assert final.count("FileScan") == 1 and "ReusedExchange" in final
