@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clftally.llm import bpe, common, mixing
+from clftally.llm import bpe, common, mixing, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,8 +45,15 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir).select("doc_id", "text", "lang")
+    judged = quality.judge(docs)
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return judged.select("doc_id", *counts, "base_failed", "kept")
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_bpe": op1_bpe, "op3_mixing": op3_mixing}
+    return {"op1_bpe": op1_bpe, "op3_mixing": op3_mixing, "op5_quality": op5_quality}
 
 
 def oracle_sql() -> dict[str, str]:
