@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clftally.llm import bpe, common, mixing, quality
+from clftally.llm import bpe, common, lines, mixing, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,9 +52,15 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *counts, "base_failed", "kept")
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir).select("doc_id", "text", "source")
+    left = lines.drop_shared_lines(docs)
+    return left.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_bpe": op1_bpe, "op3_mixing": op3_mixing, "op5_quality": op5_quality}
+    return {"op1_bpe": op1_bpe, "op3_mixing": op3_mixing, "op5_quality": op5_quality, "op7_lines": op7_lines}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.SQL}
+    return {"op3_mixing": mixing.SQL, "op7_lines": lines.SQL}
