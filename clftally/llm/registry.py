@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clftally.llm import bpe, common, lines, mixing, quality
+from clftally.llm import bpe, common, lines, mixing, quality, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +40,17 @@ def bpe_digests(docs: DataFrame, ranks: str | None = None) -> DataFrame:
     )
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(common.documents(spark, sf_dir).select("doc_id", "text"))
+    of_kind = lambda *kinds: F.filter("secrets", lambda s: s["kind"].isin(*kinds))
+    return found.select(
+        "doc_id",
+        *[F.size(of_kind(kind)).cast("bigint").alias(f"n_{kind}") for kind in secrets.BASE_KINDS],
+        F.sha2(secrets.joined(of_kind(*secrets.BASE_KINDS)), 256).alias("base_sha256"),
+        secrets.joined(F.col("secrets")).alias("spans"),
+    )
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir).select("doc_id", "source", "text")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -59,7 +70,7 @@ def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_bpe": op1_bpe, "op3_mixing": op3_mixing, "op5_quality": op5_quality, "op7_lines": op7_lines}
+    return {"op1_bpe": op1_bpe, "op2_secrets": op2_secrets, "op3_mixing": op3_mixing, "op5_quality": op5_quality, "op7_lines": op7_lines}
 
 
 def oracle_sql() -> dict[str, str]:
