@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clftally.llm import bpe, common, lines, mixing, quality, secrets
+from clftally.llm import bpe, common, language, lines, mixing, quality, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,8 +69,15 @@ def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir).select("doc_id", "text", "lang")
+    models = language.train(docs.filter(~language.held_out()))
+    found = language.identify(docs, models, keep=["doc_id"])
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_bpe": op1_bpe, "op2_secrets": op2_secrets, "op3_mixing": op3_mixing, "op5_quality": op5_quality, "op7_lines": op7_lines}
+    return {"op1_bpe": op1_bpe, "op2_secrets": op2_secrets, "op3_mixing": op3_mixing, "op5_quality": op5_quality, "op7_lines": op7_lines, "op9_language": op9_language}
 
 
 def oracle_sql() -> dict[str, str]:

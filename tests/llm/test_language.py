@@ -1,0 +1,125 @@
+from __future__ import annotations
+
+import itertools
+import math
+from collections import Counter, defaultdict
+
+import numpy as np
+import pandas as pd
+import pytest
+
+from clftally.llm import language, registry
+
+SF = "/root/testdata/sf0.01"
+TEXTS = {"aa": ["Banana band, canal anna.", "a ban on bananas"], "bb": ["Zuzu ruz", "uzur zur zuz", "ru"]}
+
+
+def fitted(texts):
+    pairs = [(lang, t) for lang, of in texts.items() for t in of]
+    counts = language._count_grams(iter(pairs))
+    keys = ["lang", "n", "gram", "context", "shorter"]
+    return language._fit(counts.groupby(keys, as_index=False)["count"].sum())
+
+
+class Plain:
+    """Interpolated Kneser-Ney over tuples of symbols, by its recursive definition."""
+
+    def __init__(self, texts):
+        self.counts = [Counter() for _ in range(language.ORDER + 1)]
+        for text in texts:
+            symbols = language.symbols(text).tolist()
+            for n in range(1, language.ORDER + 1):
+                self.counts[n].update(tuple(symbols[i : i + n]) for i in range(len(symbols) - n + 1))
+        for n in range(1, language.ORDER):
+            fronts = Counter(g[1:] for g in self.counts[n + 1])
+            self.counts[n] = fronts
+        self.by_context = [defaultdict(dict) for _ in self.counts]
+        for n in range(1, language.ORDER + 1):
+            for gram, c in self.counts[n].items():
+                self.by_context[n][gram[:-1]][gram[-1]] = c
+
+    def discount(self, n):
+        ones, twos = (sum(c == k for c in self.counts[n].values()) for k in (1, 2))
+        return ones / (ones + 2 * twos) if ones and twos else 0.5
+
+    def p(self, context, symbol):
+        n, d = len(context) + 1, self.discount(len(context) + 1)
+        table = self.by_context[n].get(context)
+        if n == 1:
+            total, kinds = sum(table.values()), len(table)
+            return max(table.get(symbol, 0) - d, 0) / total + d * kinds / total / (kinds + 1)
+        if not table:
+            return self.p(context[1:], symbol)
+        total = sum(table.values())
+        return max(table.get(symbol, 0) - d, 0) / total + d * len(table) / total * self.p(context[1:], symbol)
+
+    def entropy(self, text):
+        symbols = language.symbols(text).tolist()
+        logs = [
+            math.log(self.p(tuple(symbols[max(0, i - language.ORDER + 1) : i]), symbols[i]))
+            for i in range(1, len(symbols))
+        ]
+        return -sum(logs) / len(logs)
+
+
+@pytest.mark.parametrize("text", ["banana", "zuz ruz", "ban zuz", "qqq", "a", "Ünïcode 中 banana!?"])
+def test_equals_the_recursive_definition(text):
+    models = fitted(TEXTS)
+    found, count = language.cross_entropies(models, text)
+    assert count == len(language.symbols(text)) - 1
+    for at, lang in enumerate(models.languages):
+        assert found[at] == pytest.approx(Plain(TEXTS[lang]).entropy(text), rel=1e-4)
+
+
+def test_probabilities_sum_to_one():
+    plain, models = Plain(TEXTS["aa"]), fitted(TEXTS)
+    alphabet = {s for t in TEXTS["aa"] for s in language.symbols(t).tolist()}
+    for context in itertools.islice(itertools.product(alphabet, repeat=2), 30):
+        total = sum(plain.p(context, s) for s in alphabet) + plain.p(context, -1)
+        assert total == pytest.approx(1)
+    assert models.languages == ["aa", "bb"]
+
+
+def test_blocks_do_not_change_the_result(monkeypatch):
+    models, text = fitted(TEXTS), "banana band zuz " * 40
+    whole, _ = language.cross_entropies(models, text)
+    monkeypatch.setattr(language, "BLOCK", 7)
+    assert np.allclose(language.cross_entropies(models, text)[0], whole)
+
+
+def test_symbols():
+    assert "".join(map(chr, language.symbols("Él  no, 12 SÍ!"))) == " él no sí "
+    assert len(language.symbols("12 .. \n")) == 0 and len(language.symbols("")) == 0
+
+
+def test_odd_rows(spark):
+    schema = "doc_id long, text string, lang string, score string"
+    rows = [(1, None, "aa", "x"), (2, "", "aa", "x"), (None, "123 !", None, None), (3, "banana", "aa", None)]
+    docs = spark.createDataFrame(rows * 2, schema)
+    got = language.identify(docs, fitted(TEXTS))
+    assert got.columns == ["doc_id", "lang", "lang_pred", "score", "rejected"]
+    assert sorted(r.lang_pred for r in got.collect()) == ["aa"] * 2 + ["und"] * 6
+    empty = language.train(docs.limit(0))
+    assert empty.languages == [] and {r.lang_pred for r in language.identify(docs, empty).collect()} == {"und"}
+    assert language.identify(docs.limit(0), empty).collect() == []
+
+
+def test_a_text_unlike_all_is_rejected():
+    models = fitted(TEXTS)
+    models.usual[:], models.deviation[:] = 1.5, 0.05
+    assert not language.identify_text(models, "banana band canal anna " * 20)[2]
+    lang, score, rejected = language.identify_text(models, "qwxyz kjhg vbnm " * 20)
+    assert rejected and score <= 0.5 and lang in models.languages
+
+
+def test_held_out_accuracy(spark):
+    got = registry.op9_language(spark, SF).toPandas()
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "n_chars").toPandas()
+    both = got.merge(docs, on="doc_id")
+    assert len(both) == len(docs) and both["score"].between(0, 1).all()
+    import zlib
+
+    assert (both["held_out"] == [zlib.crc32(str(i).encode()) % 4 == 2 for i in both["doc_id"]]).all()
+    held = both[both["held_out"]]
+    assert (held["lang"] == held["lang_pred"]).mean() > 0.97
+    assert pd.Series(held["rejected"]).mean() < 0.1
