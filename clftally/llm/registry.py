@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clftally.llm import bpe, common, language, lines, mixing, quality, secrets
+from clftally.llm import bpe, common, language, lines, mixing, quality, scoring, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,8 +76,15 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op10_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = scoring.score_documents(common.documents(spark, sf_dir).select("doc_id", "text"))
+    return scored.select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_bpe": op1_bpe, "op2_secrets": op2_secrets, "op3_mixing": op3_mixing, "op5_quality": op5_quality, "op7_lines": op7_lines, "op9_language": op9_language}
+    return {"op1_bpe": op1_bpe, "op2_secrets": op2_secrets, "op3_mixing": op3_mixing, "op5_quality": op5_quality, "op7_lines": op7_lines, "op9_language": op9_language, "op10_scoring": op10_scoring}
 
 
 def oracle_sql() -> dict[str, str]:
