@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clftally.llm import bpe, common, language, lines, mixing, quality, scoring, secrets
+from clftally.llm import bpe, common, language, lines, mixing, near_dedup, quality, scoring, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,6 +63,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *counts, "base_failed", "kept")
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(common.documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "class_id")
+
+
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir).select("doc_id", "text", "source")
     left = lines.drop_shared_lines(docs)
@@ -84,7 +88,7 @@ def op10_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_bpe": op1_bpe, "op2_secrets": op2_secrets, "op3_mixing": op3_mixing, "op5_quality": op5_quality, "op7_lines": op7_lines, "op9_language": op9_language, "op10_scoring": op10_scoring}
+    return {"op1_bpe": op1_bpe, "op2_secrets": op2_secrets, "op3_mixing": op3_mixing, "op5_quality": op5_quality, "op6_near_dedup": op6_near_dedup, "op7_lines": op7_lines, "op9_language": op9_language, "op10_scoring": op10_scoring}
 
 
 def oracle_sql() -> dict[str, str]:
