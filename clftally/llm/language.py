@@ -209,10 +209,22 @@ def _fit(counts: pd.DataFrame) -> Models:
             at = np.searchsorted(hashes[order - 1], table["gram"].to_numpy(np.int64).view(np.uint64))
             logs[order - 1][at, column] = np.log(table["p"])
             below = dict(zip(table["gram"], table["p"]))
+    _complete(counts, hashes, logs, backoffs, unseen)
     ones = np.ones(len(languages))
     return Models(languages, hashes, logs, backoffs, unseen.astype(np.float32), ones * 3.0, ones)
 
 
+def _complete(counts: pd.DataFrame, hashes, logs, backoffs, unseen: np.ndarray) -> None:
+    """Fill in, order by order, what a language gives to n-grams that only others have, by backing off."""
+    logs[0][:] = np.where(np.isnan(logs[0]), unseen, logs[0])
+    for order in range(2, ORDER + 1):
+        table = counts[counts["n"] == order].drop_duplicates("gram")
+        place = lambda name, n: np.searchsorted(hashes[n - 1], table[name].to_numpy(np.int64).view(np.uint64))
+        at, values = place("gram", order), logs[order - 1]
+        lower = backoffs[order - 2][place("context", order - 1)] + logs[order - 2][place("shorter", order - 1)]
+        values[at] = np.where(np.isnan(values[at]), lower, values[at])
+
+
 def cross_entropies(models: Models, text: str) -> tuple[np.ndarray, int] | None:
     """Nats per symbol for each language, and the number of symbols; None without letters."""
     sequence = symbols(text)
@@ -227,26 +239,24 @@ def cross_entropies(models: Models, text: str) -> tuple[np.ndarray, int] | None:
 
 def _log_likelihood(models: Models, sequence: np.ndarray, first: int) -> np.ndarray:
     """Sum of log probabilities of the symbols from ``first`` on, for each language."""
-    ends = np.arange(first, len(sequence))
     total = np.zeros(len(models.languages))
-    # Positions and languages that no longer n-gram has settled yet.
-    open_, places = np.ones((len(ends), len(models.languages)), bool), ends
+    places = np.arange(first, len(sequence))
     for order in range(ORDER, 0, -1):
-        reach = (places >= order - 1) & (len(models.hashes[order - 1]) > 0)
-        rows, inside = np.flatnonzero(reach), places[reach] - (order - 1)
-        if len(rows):
-            at, known = _look_up(models.hashes[order - 1], gram_hashes(sequence, order)[inside])
-            values = models.logs[order - 1][at]
-            seen = known[:, None] & ~np.isnan(values) & open_[rows]
-            total += np.where(seen, values, 0).sum(axis=0, dtype=np.float64)
-            open_[rows] &= ~seen
-        if order > 1 and len(rows):
-            at, known = _look_up(models.hashes[order - 2], gram_hashes(sequence, order - 1)[inside])
-            lowered = known[:, None] & open_[rows]
-            total += np.where(lowered, models.backoffs[order - 2][at], 0).sum(axis=0, dtype=np.float64)
-        left = open_.any(axis=1)
-        open_, places = open_[left], places[left]
-    return total + open_.sum(axis=0) * models.unseen
+        table, below = models.hashes[order - 1], models.hashes[order - 2]
+        enough = places >= order - 1
+        inside = places[enough] - (order - 1)
+        if len(inside) and len(table):
+            at, known = _look_up(table, gram_hashes(sequence, order)[inside])
+            total += models.logs[order - 1][at if known.all() else at[known]].sum(axis=0, dtype=np.float64)
+            inside = inside[~known]
+        # What no language has at this order goes to the next one, at the cost of its context's back-off weight.
+        if order > 1 and len(inside) and len(below):
+            at, known = _look_up(below, gram_hashes(sequence, order - 1)[inside])
+            total += models.backoffs[order - 2][at[known]].sum(axis=0, dtype=np.float64)
+        places = np.concatenate((places[~enough], inside + (order - 1)))
+        if not len(places):
+            break
+    return total + len(places) * models.unseen
 
 
 def _look_up(sorted_hashes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
