@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clftally.llm import bpe, common, language, lines, mixing, near_dedup, quality, scoring, secrets
+from clftally.llm import bpe, common, language, lines, mixing, near_dedup, neighbours, quality, scoring, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +56,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return neighbours.nearest(rows, rows.filter("vec_id % 50 = 0"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir).select("doc_id", "text", "lang")
     judged = quality.judge(docs)
@@ -88,7 +93,7 @@ def op10_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_bpe": op1_bpe, "op2_secrets": op2_secrets, "op3_mixing": op3_mixing, "op5_quality": op5_quality, "op6_near_dedup": op6_near_dedup, "op7_lines": op7_lines, "op9_language": op9_language, "op10_scoring": op10_scoring}
+    return {"op1_bpe": op1_bpe, "op2_secrets": op2_secrets, "op3_mixing": op3_mixing, "op4_neighbours": op4_neighbours, "op5_quality": op5_quality, "op6_near_dedup": op6_near_dedup, "op7_lines": op7_lines, "op9_language": op9_language, "op10_scoring": op10_scoring}
 
 
 def oracle_sql() -> dict[str, str]:
