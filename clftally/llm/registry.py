@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clftally.llm import bpe, common, language, lines, mixing, near_dedup, neighbours, quality, scoring, secrets
+from clftally.llm import bpe, common, language, lines, mixing, near_dedup, neighbours, quality, repeats, scoring, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -78,6 +78,18 @@ def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = repeats.remove_repeats(common.documents(spark, sf_dir).select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda total, span: total + span["number"])
+    return left.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir).select("doc_id", "text", "lang")
     models = language.train(docs.filter(~language.held_out()))
@@ -93,7 +105,7 @@ def op10_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_bpe": op1_bpe, "op2_secrets": op2_secrets, "op3_mixing": op3_mixing, "op4_neighbours": op4_neighbours, "op5_quality": op5_quality, "op6_near_dedup": op6_near_dedup, "op7_lines": op7_lines, "op9_language": op9_language, "op10_scoring": op10_scoring}
+    return {"op1_bpe": op1_bpe, "op2_secrets": op2_secrets, "op3_mixing": op3_mixing, "op4_neighbours": op4_neighbours, "op5_quality": op5_quality, "op6_near_dedup": op6_near_dedup, "op7_lines": op7_lines, "op8_repeats": op8_repeats, "op9_language": op9_language, "op10_scoring": op10_scoring}
 
 
 def oracle_sql() -> dict[str, str]:
