@@ -104,8 +104,27 @@ def op10_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # It uses this module too.
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_bpe": op1_bpe, "op2_secrets": op2_secrets, "op3_mixing": op3_mixing, "op4_neighbours": op4_neighbours, "op5_quality": op5_quality, "op6_near_dedup": op6_near_dedup, "op7_lines": op7_lines, "op8_repeats": op8_repeats, "op9_language": op9_language, "op10_scoring": op10_scoring}
+    return {
+        "op1_bpe": op1_bpe,
+        "op2_secrets": op2_secrets,
+        "op3_mixing": op3_mixing,
+        "op4_neighbours": op4_neighbours,
+        "op5_quality": op5_quality,
+        "op6_near_dedup": op6_near_dedup,
+        "op7_lines": op7_lines,
+        "op8_repeats": op8_repeats,
+        "op9_language": op9_language,
+        "op10_scoring": op10_scoring,
+        "pipeline": pipeline,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
