@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -173,20 +173,21 @@ def repeated_stretches(docs: DataFrame, text: str, length: int = LENGTH) -> Data
 
     ``docs`` has ``_node``, equal for equal texts only. Texts that occur more than once are not looked at for that.
     """
-    found = (
-        docs.select("_node", F.col(text).alias("_text"))
-        .mapInArrow(_text_runs(length), "_key long, _node binary, _first long, _number int, _twice boolean")
-        .repartition("_key")
+    found = docs.select("_node", F.col(text).alias("_text")).mapInArrow(
+        _text_runs(length), "_key long, _node binary, _first long, _number int, _twice boolean"
     )
-    # All columns are used here, so that both uses of the runs are one shuffle.
+    # A window rather than a join with counted keys: the runs are made and shuffled once.
+    of_key = Window.partitionBy("_key")
     one = F.struct("_node", "_first", "_number")
-    keys = found.groupBy("_key").agg(
-        F.min(one).alias("_least"), F.max(one).alias("_most"), F.max("_twice").alias("_twice"), F.count("*").alias("_n")
+    counted = found.select(
+        "*",
+        (F.min(one).over(of_key) < F.max(one).over(of_key)).alias("_several"),
+        F.max("_twice").over(of_key).alias("_again"),
+        F.count("*").over(of_key).alias("_n"),
     )
-    keys = keys.filter("_least <> _most or _twice").select("_key", "_n")
     parts = F.ceil(F.col("_n") / SHARD_REGIONS)
     shard = F.pmod(F.xxhash64("_node", "_first"), parts).cast("int")
-    hits = found.join(keys, "_key").select(
+    hits = counted.filter("_several or _again").select(
         "_node", F.struct("_first", "_number", "_key", shard.alias("_shard"), (parts > 1).alias("_split")).alias("hit")
     )
     by_text = hits.groupBy("_node").agg(F.collect_set("hit").alias("_hits"))
@@ -375,7 +376,7 @@ def remove_repeats(
     kinds = {"n_bytes": pa.int64(), "spans": pa.list_(span), "kept": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in common.slices(whole, "_text")):
             new = {name: [] for name in kinds}
             for text_, found, copied_ in zip(
                 batch.column("_text"), batch.column("_stretches"), batch.column("_copied").to_pylist()
