@@ -24,7 +24,7 @@ from clftally.llm import common
 
 _NEVER = 1 << 60
 # Entries kept in each memo of a worker before it is emptied.
-_MEMO = 250_000
+_MEMO = 150_000
 # A match can depend on characters up to this far behind its end.
 _LOOKAHEAD = 2
 
@@ -304,9 +304,9 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _worker_vocabulary(shared.value)
-        for batch in batches:
-            packed = [vocabulary.encode(t.as_py() or "") for t in batch.column(text)]
-            yield _with_column(batch, schema, into, packed)
+        for part in (part for batch in batches for part in common.slices(batch, text)):
+            packed = [vocabulary.encode(t.as_py() or "") for t in part.column(text)]
+            yield _with_column(part, schema, into, packed)
 
     return docs.mapInArrow(run, schema)
 
@@ -320,9 +320,9 @@ def decode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _worker_vocabulary(shared.value)
-        for batch in batches:
-            texts = [vocabulary.decode(i.as_py() or b"") for i in batch.column(ids)]
-            yield _with_column(batch, schema, into, texts)
+        for part in (part for batch in batches for part in common.slices(batch, ids)):
+            texts = [vocabulary.decode(i.as_py() or b"") for i in part.column(ids)]
+            yield _with_column(part, schema, into, texts)
 
     return docs.mapInArrow(run, schema)
 

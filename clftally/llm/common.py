@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,3 +54,15 @@ def schema_with(rows: DataFrame, drop: Iterable[str], add: Iterable[T.StructFiel
 def crc_of_id(doc_id: str = "doc_id") -> Column:
     """CRC-32 of an id as text; that of the empty text when it is NULL."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
+
+
+def slices(batch: pa.RecordBatch, column: str, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """A batch in parts with about ``size`` bytes in one column, so that what is made of a part stays small."""
+    start = total = 0
+    for i, length in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
+        if total >= size:
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += length or 0
+    if start < batch.num_rows:
+        yield batch.slice(start)
