@@ -31,6 +31,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 # The range used by the time-slice queries, in UTC, both ends included.
 SLICE = ("2024-01-08 06:30:00", "2024-01-22 18:45:00")
 
+# Lines in a file of the feed, files that one micro-batch takes, and how long a stream may run, in seconds.
+LINES_PER_FILE = 1_000_000
+FILES_PER_BATCH = 1000
+STREAM_TIMEOUT = 4 * 3600
+
+# How late a line may come and still be counted in its hour.
+LATENESS = "2 hours"
+
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole events table as log lines."""
@@ -64,11 +72,30 @@ def _on_stream(
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         running = build(_parsed_stream(spark, sf_dir, with_time))
-        return read(jobs.run(spark, running, shared.fresh_folder(spark, "stream")))
+        return read(jobs.run(spark, running, shared.fresh_folder(spark, "stream"), STREAM_TIMEOUT))
 
     return query
 
 
+def _on_stream_counts(
+    build: Callable[[DataFrame], DataFrame], keys: list[str], read: Callable[[DataFrame], DataFrame]
+) -> Query:
+    """Like `_on_stream`, for a result with many keys, of which each micro-batch writes those it changed."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        running = build(_parsed_stream(spark, sf_dir))
+        folder = shared.fresh_folder(spark, "stream")
+        return read(jobs.run_counts(spark, running, folder, keys, STREAM_TIMEOUT))
+
+    return query
+
+
+def _stream_closed_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours that no line in time can still change, once all of the events table has been seen."""
+    hours = results.closed_hours(_parsed_stream(spark, sf_dir, with_time=True), LATENESS)
+    return jobs.run_appending(spark, hours, shared.fresh_folder(spark, "stream"), STREAM_TIMEOUT)
+
+
 def _parsed_stream(spark: SparkSession, sf_dir: str, with_time: bool = False) -> DataFrame:
     lines = event_lines.as_log_lines(event_lines.stream_events(configure(spark), sf_dir))
     return parse.parse_access_log(lines, anchored=False, with_time=with_time)
@@ -84,18 +111,11 @@ def _without_zone(rows: DataFrame) -> DataFrame:
     return rows.withColumns({name: F.col(name).cast("timestamp_ntz") for name in instants})
 
 
-def _write_chunks(spark: SparkSession, sf_dir: str) -> tuple[str, int]:
-    """The log lines as text files in a new shared folder, and how many files there are at most.
-
-    A small log is cut into files of 500 lines or more, 64 or so; a large one into files of a million
-    lines, or one per partition.
-    """
-    lines = _lines(spark, sf_dir)
-    total = event_lines.read_events(spark, sf_dir).count()
-    lines_per_file = min(max(500, total // 64), 1_000_000)
+def _write_chunks(spark: SparkSession, sf_dir: str) -> str:
+    """The log lines as text files of `LINES_PER_FILE` in a new shared folder."""
     folder = shared.fresh_folder(spark, "lines")
-    text.chunk_lines(lines, folder, lines_per_file)
-    return folder, total // lines_per_file + lines.rdd.getNumPartitions()
+    text.chunk_lines(_lines(spark, sf_dir), folder, LINES_PER_FILE)
+    return folder
 
 
 def _scan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,8 +125,7 @@ def _scan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _chunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder, _ = _write_chunks(spark, sf_dir)
-    return text.scan_lines(spark, folder)
+    return text.scan_lines(spark, _write_chunks(spark, sf_dir))
 
 
 def _parsed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,14 +152,12 @@ def _sql_top_ips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Running status counts over a folder of text files, taken in at most four micro-batches."""
-    feed, files = _write_chunks(configure(spark), sf_dir)
+    """Running status counts over a folder of text files."""
+    feed = _write_chunks(configure(spark), sf_dir)
     try:
-        stream = text.stream_lines(spark, feed, max_files_per_trigger=files // 4 + 1)
-        parsed = parse.parse_access_log(stream, anchored=False, with_time=False)
-        return jobs.run(
-            spark, results.running_status_counts(parsed), shared.fresh_folder(spark, "stream")
-        )
+        stream = text.stream_lines(spark, feed, max_files_per_trigger=FILES_PER_BATCH)
+        running = results.running_status_counts(parse.parse_access_log(stream, anchored=False, with_time=False))
+        return jobs.run(spark, running, shared.fresh_folder(spark, "stream"), STREAM_TIMEOUT)
     finally:
         shared.remove_folder(spark, feed)
 
@@ -157,7 +174,7 @@ def _stream_top_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ip": results.top_rows(results.running_ip_counts(parsed)),
         "request": results.top_rows(results.running_request_counts(parsed)),
     }
-    tables = jobs.run_together(spark, running, shared.fresh_folder(spark, "stream"))
+    tables = jobs.run_together(spark, running, shared.fresh_folder(spark, "stream"), STREAM_TIMEOUT)
     ips, requests = (
         results.top_rows(table).select(
             F.lit(name).alias("section"), F.col(name).alias("key"), "count"
@@ -184,7 +201,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.build(*SLICE) | (llm.oracle_sql() if llm else {})
+    return oracle.build(*SLICE, LATENESS) | (llm.oracle_sql() if llm else {})
 
 
 def log_queries() -> dict[str, Query]:
@@ -229,18 +246,19 @@ def log_queries() -> dict[str, Query]:
         "volume_15m": _on_times(lambda log: volume.volume(log, "15m")),
         "volume_1h": _on_times(lambda log: volume.volume(log, "1h")),
         "access_report": _on_log(report.report_table),
+        "summary_report": _on_log(report.summary_table),
         "slice_volume": _slice("volume"),
         "slice_status_share": _slice("status_share"),
         "slice_top_ips": _slice("top_ips"),
         "slice_top_requests": _slice("top_requests"),
         "sql_top_ips": _sql_top_ips,
         "stream_status_counts": _stream_status_counts,
-        "stream_ip_counts": _on_stream(
-            results.running_ip_counts, _largest_first("count", "ip")
+        "stream_ip_counts": _on_stream_counts(
+            results.running_ip_counts, ["ip"], _largest_first("count", "ip")
         ),
         "stream_top_ips": _stream_top(results.running_ip_counts),
-        "stream_request_counts": _on_stream(
-            results.running_request_counts, _largest_first("count", "request")
+        "stream_request_counts": _on_stream_counts(
+            results.running_request_counts, ["request"], _largest_first("count", "request")
         ),
         "stream_top_requests": _stream_top(results.running_request_counts),
         "stream_avg_size": _on_stream(
@@ -250,5 +268,8 @@ def log_queries() -> dict[str, Query]:
             results.running_hourly_volume, lambda hours: hours.orderBy("hour"), with_time=True
         ),
         "stream_top_lists": _stream_top_lists,
-        "stream_access_report": _on_stream(results.running_sections, report.top_of_sections),
+        "stream_closed_hours": _stream_closed_hours,
+        "stream_access_report": _on_stream_counts(
+            results.running_sections, ["section", "key"], report.top_of_sections
+        ),
     }

@@ -14,17 +14,26 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The line pattern, the names of its groups in order, and the stamp format.
-PATTERN = r'(\S+) (\S+) (\S+) \[(.*?)\] "(.*?)" (\d{3}) (\S+)'
-GROUPS = ("ip", "client", "user", "ts_raw", "request", "status", "size")
-STAMP_FORMAT = "dd/MMM/yyyy:HH:mm:ss Z"
-
-# The same language as PATTERN in a form that takes linear time on lines that do not match: words and the
-# stamp are never given back once matched. A shorter word or a later end of the stamp cannot help, since
-# the word is followed by a space and the request may hold whatever the stamp could have held.
-_RECORD = r'\S++ \S++ \S++ \[(?>.*?\] ").*?" \d{3} \S++'
-# A record found inside a line starts with a word, never in the middle of one.
-_AT_START, _ANYWHERE = "^" + _RECORD, r"(?<!\S)" + _RECORD
+# Fixed value: the stamp format, as read after `instant` has brought a stamp into shape.
+STAMP_FORMAT = "d/MMM/yyyy:HH:mm:ss Z"
+
+# A record in a form that takes linear time on lines that do not match: words and the stamp are never given back
+# once matched. A shorter word or a later end of the stamp cannot help, since the word is followed by a space and
+# the request may hold whatever the stamp could have held.
+_FRAME = r"\S++ \S++ \S++ \["
+_RECORD = _FRAME + r'(?>.*?\] ").*?" \d{3} \S++'
+_AT_START = "^" + _RECORD
+# A record found inside a line starts with a word, never in the middle of one. If the first three words and bracket
+# of a stretch without line ends begin no record, then no later bracket of that stretch does, as it has less of the
+# stretch before it. The second choice takes such a stretch in one step, but for its last words: these may go with a
+# bracket in the next stretch, as a word may hold line ends of the rarer kinds. Without it every bracket would search
+# the whole stretch again.
+_IN_STRETCH = r"[^\s\x{85}\x{2028}\x{2029}]++ "
+_ANYWHERE = rf"(?<!\S)(?:({_RECORD})|(?={_FRAME})(?:.* (?={_IN_STRETCH}{_IN_STRETCH}\S)|\S++))"
+
+# Stamps that can be read: a day of one or two digits, and no offset or one with or without a colon.
+_STAMP = r"^\d{1,2}/\p{Alpha}{3}/\d{4}:\d\d:\d\d:\d\d(?: [+-]\d\d:?\d\d)?$"
+_STAMP_WITHOUT_OFFSET = len("08/Nov/2025:00:00:01")
 
 _STAMP_END = '] "'
 # Length of the text around the size at the end of a record: `" `, three digits, a space.
@@ -33,13 +42,17 @@ _STATUS_FRAME = len('" 200 ')
 
 def matches_line(value: Column, anchored: bool = True) -> Column:
     """Whether the text holds a log record, at its start or anywhere in it; never NULL."""
-    return F.coalesce(value.rlike(_AT_START if anchored else _ANYWHERE), F.lit(False))
+    if anchored:
+        return F.coalesce(value.rlike(_AT_START), F.lit(False))
+    return record_of(value, anchored=False) != ""
 
 
 def record_of(value: Column, anchored: bool = True) -> Column:
     """The log record in a line, without what comes before or after it; empty when there is none."""
-    pattern = _AT_START if anchored else _ANYWHERE
-    return F.coalesce(F.regexp_extract(value, pattern, 0), F.lit(""))
+    if anchored:
+        return F.coalesce(F.regexp_extract(value, _AT_START, 0), F.lit(""))
+    found = F.regexp_extract_all(value, F.lit(_ANYWHERE), F.lit(1))
+    return F.coalesce(F.get(F.array_remove(found, ""), F.lit(0)), F.lit(""))
 
 
 def record_fields(record: Column) -> dict[str, Column]:
@@ -80,11 +93,12 @@ def size_in_bytes(text: Column) -> Column:
 def instant(stamp: Column) -> Column:
     """Log stamp to timestamp; NULL when it cannot be read.
 
-    A stamp without an offset is taken as UTC. Only a stamp with an offset holds a space, so
-    appending one to the others lets a single parse serve both formats. A failing parse is slow, so
-    the empty stamps of malformed lines are not tried.
+    A stamp without an offset is taken as UTC. Each shape is brought into one form, so that a single parse serves
+    all. A failing parse is slow, so stamps of another shape are not tried.
     """
-    with_offset = F.when(F.contains(stamp, F.lit(" ")), stamp).when(
-        stamp != "", F.concat(stamp, F.lit(" +0000"))
+    with_offset = (
+        F.when(F.length(stamp) <= _STAMP_WITHOUT_OFFSET, F.concat(stamp, F.lit(" +0000")))
+        .when(F.substring(stamp, -3, 1) == ":", F.concat(F.substring(stamp, 1, F.length(stamp) - 3), F.right(stamp, F.lit(2))))
+        .otherwise(stamp)
     )
-    return F.try_to_timestamp(with_offset, F.lit(STAMP_FORMAT))
+    return F.try_to_timestamp(F.when(stamp.rlike(_STAMP), with_offset), F.lit(STAMP_FORMAT))

@@ -6,7 +6,7 @@ row per task. ``keep_malformed`` counts lines that are no log record too: status
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clftally.operators.parse import keep_valid
@@ -66,12 +66,21 @@ def top_requests(parsed: DataFrame, n: int = 10, keep_malformed: bool = False) -
     return request_counts(parsed, keep_malformed).limit(n)
 
 
+def mean_size() -> Column:
+    """Mean of ``size`` in a group; NULL without known sizes.
+
+    The sum is kept as a decimal: sums of doubles depend on the order of adding once they pass 2^53.
+    """
+    total = F.sum(F.col("size").cast("decimal(20,0)")).cast("double")
+    return F.when(F.count("size") > 0, total / F.count("size")).alias("average_response_size")
+
+
 def mean_size_by_status(parsed: DataFrame, keep_malformed: bool = False) -> DataFrame:
     """Mean response size per status, unsorted; unknown sizes do not count."""
     return (
         keep_valid(parsed, keep_malformed)
         .groupBy("status")
-        .agg(F.avg("size").alias("average_response_size"))
+        .agg(mean_size())
     )
 
 

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from clftally.functions import clf
 
+# What parsing adds, in order.
+COLUMNS = ("ip", "client", "user", "ts_raw", "ts", "request", "status", "size", "ok")
+
 
 def valid_lines(lines: DataFrame, anchored: bool = True) -> DataFrame:
     """Only the lines that hold a log record."""
@@ -21,8 +24,11 @@ def parse_access_log(
     No row is dropped: a line that does not match has ``ok`` false, empty strings, and NULL in ``ts``,
     ``status`` and ``size``. ``anchored`` demands the record at the start of the line; without it, a
     record anywhere counts. Fields that a job does not use cost nothing, but for ``ts``: a job that has
-    no use for it leaves it out with ``with_time=False``.
+    no use for it leaves it out with ``with_time=False``. Input columns may not be named like parsed ones.
     """
+    taken = sorted({*COLUMNS, "_record", "_ts"} & set(lines.columns))
+    if taken:
+        raise ValueError(f"rename these columns before parsing: {', '.join(taken)}")
     rows = evaluate_once(lines, clf.record_of(F.col("value"), anchored), "_record")
     text = clf.record_fields(F.col("_record"))
     columns = {
@@ -35,8 +41,7 @@ def parse_access_log(
         rows = evaluate_once(rows, clf.instant(text["ts_raw"]), "_ts")
         columns["ts"] = F.col("_ts")
     others = [name for name in lines.columns if name != "value"]
-    order = ["ip", "client", "user", "ts_raw", "ts", "request", "status", "size", "ok"]
-    return rows.select(*others, *[columns[name].alias(name) for name in order if name in columns])
+    return rows.select(*others, *[columns[name].alias(name) for name in COLUMNS if name in columns])
 
 
 def parse_timestamps(lines: DataFrame, anchored: bool = True) -> DataFrame:

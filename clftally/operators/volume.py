@@ -72,21 +72,23 @@ def time_slice(
     parsed: DataFrame,
     start: str | datetime | Column | None = None,
     end: str | datetime | Column | None = None,
+    day: str | None = None,
 ) -> DataFrame:
     """Rows from ``start`` to ``end``, both included; an open end means no limit there.
 
-    Rows without an instant are never part of a range. On a table with a ``day`` column the range is
-    put on that as well, so only the folders of these days are read.
+    Rows without an instant are never part of a range. ``day`` names a column that holds the UTC day of the
+    instant, such as the stored table's: the range is put on that as well, so only the folders of these days
+    are read.
     """
-    ts, has_day = F.col("ts"), "day" in parsed.columns
+    ts = F.col("ts")
     rows = parsed.filter(ts.isNotNull())
     for edge, keeps in ((start, Column.__ge__), (end, Column.__le__)):
         if edge is None:
             continue
         limit = buckets.instant_literal(edge)
         rows = rows.filter(keeps(ts, limit))
-        if has_day:
-            rows = rows.filter(keeps(F.col("day"), buckets.utc_day(limit)))
+        if day:
+            rows = rows.filter(keeps(F.col(day), buckets.utc_day(limit)))
     return rows
 
 

@@ -16,6 +16,9 @@ VIEWER_SECTIONS = ("volume", "status_share", "top_ips", "top_requests")
 # What `section_counts` counts by.
 KEYS = ("status", "ip", "request")
 
+# Groups of keys that are ranked apart first.
+_GROUPS = 256
+
 
 def report(
     parsed: DataFrame,
@@ -53,17 +56,18 @@ def section_counts(parsed: DataFrame, keep_malformed: bool = False) -> DataFrame
 def top_of_sections(sections: DataFrame, top_n: int = 10) -> DataFrame:
     """Every status, and the ``top_n`` most frequent keys of the other sections.
 
-    Ranking starts on each task, which passes on no more than ``top_n`` rows per section. A status is a
-    group of its own, so all of them rank first.
+    Ranking takes two steps. The keys of a section are dealt by hash into `_GROUPS` groups, and each group keeps its
+    ``top_n``; then those are ranked together. So no task sees more keys of a section than a share of them, or
+    ``top_n`` from each group, however large ``top_n`` is. A status is a group of its own, so all of them rank first.
     """
     group = F.when(F.col("section") == "status", F.col("key"))
-    order = Window.partitionBy("section", group).orderBy(F.desc("count"), "key")
-    return (
-        sections.withColumn("place", F.row_number().over(order))
-        .filter(F.col("place") <= top_n)
-        .drop("place")
-        .orderBy("section", F.desc("count"), "key")
-    )
+    first = F.desc("count"), F.col("key")
+    in_group = Window.partitionBy("section", group, F.pmod(F.xxhash64("key"), F.lit(_GROUPS))).orderBy(*first)
+    in_section = Window.partitionBy("section", group).orderBy(*first)
+    ranked = sections
+    for order in (in_group, in_section):
+        ranked = ranked.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top_n).drop("place")
+    return ranked.orderBy("section", F.desc("count"), "key")
 
 
 def report_table(parsed: DataFrame, top_n: int = 10, keep_malformed: bool = False) -> DataFrame:
@@ -71,6 +75,36 @@ def report_table(parsed: DataFrame, top_n: int = 10, keep_malformed: bool = Fals
     return top_of_sections(section_counts(parsed, keep_malformed), top_n)
 
 
+def summary_table(parsed: DataFrame, keep_malformed: bool = False) -> DataFrame:
+    """Status counts, all address counts and mean sizes per status, from one pass over the rows.
+
+    One row per section and key: ``section, key, count, average_response_size``; the mean is NULL but in the
+    section ``avg_sizes``, where unknown sizes do not enter it. Each row of the log becomes one pair for its status
+    and one for its address, which are counted before the shuffle.
+    """
+    as_text = lambda name: F.col(name).cast("string").alias("key")
+    pairs = F.array(
+        F.struct(F.lit("status").alias("section"), as_text("status"), F.col("size")),
+        F.struct(F.lit("ip_counts").alias("section"), as_text("ip"), F.lit(None).cast("bigint").alias("size")),
+    )
+    counted = (
+        keep_valid(parsed, keep_malformed)
+        .select(F.inline(pairs))
+        .groupBy("section", "key")
+        .agg(F.count("*").alias("count"), counts.mean_size())
+    )
+    no_mean = F.lit(None).cast("double")
+    by_status = F.array(
+        F.struct(F.lit("status_counts").alias("section"), no_mean.alias("mean")),
+        F.struct(F.lit("avg_sizes").alias("section"), F.col("average_response_size").alias("mean")),
+    )
+    by_ip = F.array(F.struct(F.col("section"), no_mean.alias("mean")))
+    named = F.explode(F.when(F.col("section") == "status", by_status).otherwise(by_ip)).alias("named")
+    return counted.select(named, "key", "count").select(
+        "named.section", "key", "count", F.col("named.mean").alias("average_response_size")
+    )
+
+
 def slice_report(
     parsed: DataFrame,
     start: str | datetime | None = None,
@@ -79,9 +113,13 @@ def slice_report(
     top_n: int = 10,
     zone: str = "UTC",
     sections: Sequence[str] = VIEWER_SECTIONS,
+    day: str | None = None,
 ) -> dict[str, DataFrame]:
-    """The tables of the log viewer for a time range: volume, status share, top lists."""
-    rows = volume.time_slice(parsed, start, end)
+    """The tables of the log viewer for a time range: volume, status share, top lists.
+
+    ``day`` names a stored table's column of days; see `volume.time_slice`.
+    """
+    rows = volume.time_slice(parsed, start, end, day)
     available = {
         "volume": lambda: volume.volume(rows, bucket, zone=zone),
         "status_share": lambda: counts.status_share(rows),

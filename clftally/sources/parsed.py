@@ -28,17 +28,31 @@ PARSED_SCHEMA = T.StructType(
 TABLE_SCHEMA = T.StructType([*PARSED_SCHEMA.fields, T.StructField("day", T.DateType())])
 
 
-def write_parsed(parsed: DataFrame, path: str, rebalance: bool = True) -> None:
+# The column that names a row's folder; give it to `time_slice` as ``day``.
+DAY = "day"
+
+# How `write_parsed` treats what is stored already, as Spark's save mode and its way of overwriting partitions.
+_MODES = {"new": ("errorifexists", "static"), "append": ("append", "static"), "replace_days": ("overwrite", "dynamic")}
+
+
+def write_parsed(parsed: DataFrame, path: str, rebalance: bool = True, mode: str = "new") -> None:
     """Store parsed rows by UTC day, sorted by time within each file.
 
+    ``mode`` is ``new`` (there must be no table yet), ``append``, or ``replace_days``: the days that occur in the
+    rows are replaced whole and the others stay, so a day can be written again after a failure or with late lines.
+
     ``rebalance`` lets adaptive execution gather each day into files of even size; a day that holds
     much of the table is split over many tasks. Turn it off for input that is already in time order,
     which then needs no shuffle.
     """
-    rows = parsed.select(*PARSED_SCHEMA.names).withColumn("day", utc_day(F.col("ts")))
+    if mode not in _MODES:
+        raise ValueError(f"unknown mode {mode!r}; use one of {', '.join(_MODES)}")
+    save_mode, overwriting = _MODES[mode]
+    rows = parsed.select(*PARSED_SCHEMA.names).withColumn(DAY, utc_day(F.col("ts")))
     if rebalance:
-        rows = rows.hint("rebalance", "day")
-    rows.sortWithinPartitions("day", "ts").write.partitionBy("day").parquet(path)
+        rows = rows.hint("rebalance", DAY)
+    writer = rows.sortWithinPartitions(DAY, "ts").write.partitionBy(DAY).mode(save_mode)
+    writer.option("partitionOverwriteMode", overwriting).parquet(path)
 
 
 def read_parsed(spark: SparkSession, path: str) -> DataFrame:

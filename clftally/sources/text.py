@@ -32,9 +32,13 @@ def chunk_lines(lines: DataFrame, folder: str, lines_per_file: int = 500) -> Non
     """Write lines as text files of at most ``lines_per_file`` lines.
 
     Every partition is cut into files on its own, in line order, and file names sort in that order.
-    No rows move between tasks.
+    No rows move between tasks. A NULL or a text with a line end in it would not come back as it was, so the job
+    fails on either; drop or split such rows first.
     """
-    lines.select("value").write.option("maxRecordsPerFile", lines_per_file).text(folder)
+    value = F.col("value")
+    no_line = F.raise_error(F.lit("chunk_lines needs text without line ends, and no NULL"))
+    checked = F.when(value.isNull() | value.rlike("[\\r\\n]"), no_line).otherwise(value)
+    lines.select(checked.alias("value")).write.option("maxRecordsPerFile", lines_per_file).text(folder)
 
 
 def _without_invalid_bytes(lines: DataFrame) -> DataFrame:

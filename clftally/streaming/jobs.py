@@ -1,33 +1,81 @@
 """Starting, awaiting and reading streaming queries.
 
-A query keeps its checkpoint and its result in one folder. Complete-mode results are written as Parquet
-into two alternating places, so the last finished one stays readable while the next is written, and a
-restarted query carries on from its checkpoint.
+A query keeps its checkpoint and its result in one folder. There are two ways to keep a result:
+
+- `start_running_result` writes the whole result of each micro-batch. That fits small results. Each goes to a place of
+  its own, and a place is used again only after `KEPT` more batches, so a reader has that long.
+- `start_running_counts` writes only the rows that a micro-batch changed. That fits results with many keys. Reading
+  takes the latest row of each key; from time to time the changes are put together.
+
+What is complete is told by a small note that each batch leaves behind its rows. Notes go to two places in turn, so one
+of them can always be read. A batch that runs again after a failure writes the same rows to the same place.
 """
 
 from __future__ import annotations
 
 import time
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 AVAILABLE_NOW = {"availableNow": True}
 
+# Past results of a query that stay readable.
+KEPT = 10
+# Micro-batches after which changes are put together.
+COMPACT_EVERY = 50
+# Seconds between two looks at several queries.
+_POLL = 0.2
+
 
 def start_running_result(
     result: DataFrame, folder: str, name: str | None = None, trigger: Mapping = AVAILABLE_NOW
 ) -> StreamingQuery:
     """Start a complete-mode query whose current result `read_result` returns."""
+    place = lambda number: f"{folder}/result/place={number}"
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(_place(folder, batch_id))
-
+        number = batch_id % (KEPT + 1)
+        batch.write.mode("overwrite").parquet(place(number))
+        _note(batch.sparkSession, f"{folder}/done", batch_id, number)
+
+    if _noted(result.sparkSession, f"{folder}/done") is None:
+        # Before the first batch the result is empty.
+        _empty(result).write.mode("overwrite").parquet(place("empty"))
+        _note(result.sparkSession, f"{folder}/done", -1, "empty")
     return _writer(result, folder, name, trigger).outputMode("complete").foreachBatch(save).start()
 
 
+def start_running_counts(
+    result: DataFrame,
+    folder: str,
+    keys: Sequence[str],
+    name: str | None = None,
+    trigger: Mapping = AVAILABLE_NOW,
+    compact_every: int = COMPACT_EVERY,
+) -> StreamingQuery:
+    """Start an update-mode query whose current result `read_counts` returns.
+
+    ``keys`` are the columns the result is grouped by. Each batch writes the keys it changed and no others.
+    """
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        base = _noted(spark, f"{folder}/base-done")
+        batch.write.mode("overwrite").parquet(_changes(folder, base.number + 1 if base else 0, batch_id))
+        _note(spark, f"{folder}/done", batch_id, batch_id)
+        if (batch_id + 1) % compact_every == 0:
+            compact(spark, folder, keys)
+
+    if _noted(result.sparkSession, f"{folder}/done") is None:
+        _empty(result).write.mode("overwrite").parquet(_changes(folder, 0, -1))
+        _note(result.sparkSession, f"{folder}/done", -1, -1)
+    return _writer(result, folder, name, trigger).outputMode("update").foreachBatch(save).start()
+
+
 def start_appending(
     result: DataFrame, folder: str, name: str | None = None, trigger: Mapping = AVAILABLE_NOW
 ) -> StreamingQuery:
@@ -53,29 +101,72 @@ def start_in_memory(
 
 
 def read_result(spark: SparkSession, folder: str) -> DataFrame:
-    """The result of the last micro-batch that finished."""
-    batch = F.col("_metadata.file_name").try_cast("bigint")
-    last = spark.read.text(f"{folder}/checkpoint/commits").agg(F.max(batch)).first()[0]
+    """The result of the last micro-batch that finished; empty before the first.
+
+    It can be read until `KEPT` more batches have run.
+    """
+    last = _noted(spark, f"{folder}/done")
     if last is None:
-        raise ValueError(f"no micro-batch has finished in {folder}")
-    return spark.read.parquet(_place(folder, last))
+        raise ValueError(f"no query has been started in {folder}")
+    return spark.read.parquet(f"{folder}/result/place={last.number}")
+
+
+def read_counts(spark: SparkSession, folder: str, keys: Sequence[str]) -> DataFrame:
+    """The latest row of each key, as of the last micro-batch that finished; empty before the first.
+
+    It can be read until changes have been put together twice more.
+    """
+    last, base = _noted(spark, f"{folder}/done"), _noted(spark, f"{folder}/base-done")
+    if last is None:
+        raise ValueError(f"no query has been started in {folder}")
+    changes = spark.read.parquet(f"{folder}/changes").filter(
+        (F.col("generation") > (base.number if base else -1)) & (F.col("batch") <= int(last.batch))
+    )
+    columns = [name for name in changes.columns if name not in ("generation", "batch")]
+    rows = changes.select(*columns, F.col("batch").cast("bigint").alias("_batch"))
+    if base:
+        stored = spark.read.parquet(f"{folder}/base/number={base.number}")
+        rows = rows.unionByName(stored.withColumn("_batch", F.lit(int(base.batch)).cast("bigint")))
+    values = [name for name in columns if name not in keys]
+    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch").alias("_row"))
+    return latest.select(*[F.col(f"_row.{name}") if name in values else name for name in columns])
+
+
+def compact(spark: SparkSession, folder: str, keys: Sequence[str]) -> None:
+    """Put the changes so far together, so that reading does not get slower with every batch.
+
+    What has been put together twice is emptied; the rest stays for readers that have begun.
+    """
+    last, base = _noted(spark, f"{folder}/done"), _noted(spark, f"{folder}/base-done")
+    number = base.number + 1 if base else 0
+    merged = read_counts(spark, folder, keys)
+    merged.write.mode("overwrite").parquet(f"{folder}/base/number={number}")
+    _note(spark, f"{folder}/base-done", int(last.batch), number)
+    if number > 1:
+        nothing = _empty(merged).withColumn("batch", F.lit(-1))
+        cleared = nothing.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("batch")
+        cleared.parquet(f"{folder}/changes/generation={number - 2}")
+        _empty(merged).write.mode("overwrite").parquet(f"{folder}/base/number={number - 2}")
 
 
 def await_and_stop(queries: Iterable[StreamingQuery], timeout: float | None = None) -> bool:
     """Wait until all queries end, ``timeout`` seconds at most, and stop those still running.
 
-    Stops only the queries it is given, whatever happens. True if all ended by themselves.
+    The first failure of any of them is raised at once. Stops only the queries it is given, whatever happens.
+    True if all ended by themselves.
     """
     queries = list(queries)
     deadline = None if timeout is None else time.monotonic() + timeout
     try:
-        ended = True
-        for query in queries:
-            if deadline is None:
-                query.awaitTermination()
-            else:
-                ended &= bool(query.awaitTermination(max(deadline - time.monotonic(), 0.001)))
-        return ended
+        while True:
+            active = [query for query in queries if query.isActive]
+            for query in queries:
+                if (failure := query.exception()) is not None:
+                    raise failure
+            left = _POLL if deadline is None else min(_POLL, deadline - time.monotonic())
+            if not active or left <= 0:
+                return not active
+            active[0].awaitTermination(left)
     finally:
         for query in queries:
             query.stop()
@@ -98,6 +189,20 @@ def run(spark: SparkSession, result: DataFrame, folder: str, timeout: float | No
     return _run_all(spark, {folder: result}, timeout)[folder]
 
 
+def run_counts(
+    spark: SparkSession, result: DataFrame, folder: str, keys: Sequence[str], timeout: float | None = None
+) -> DataFrame:
+    """Run one update-mode query over all input there is, and return its result."""
+    _run_started([lambda: start_running_counts(result, folder, keys)], timeout)
+    return read_counts(spark, folder, keys)
+
+
+def run_appending(spark: SparkSession, result: DataFrame, folder: str, timeout: float | None = None) -> DataFrame:
+    """Run one append-mode query over all input there is, and return the rows that are final."""
+    _run_started([lambda: start_appending(result, folder)], timeout)
+    return spark.read.schema(result.schema).parquet(f"{folder}/result")
+
+
 def run_together(
     spark: SparkSession, results: Mapping[str, DataFrame], folder: str, timeout: float | None = None
 ) -> dict[str, DataFrame]:
@@ -109,16 +214,21 @@ def run_together(
 def _run_all(
     spark: SparkSession, results: Mapping[str, DataFrame], timeout: float | None
 ) -> dict[str, DataFrame]:
+    _run_started([lambda p=place, r=result: start_running_result(r, p) for place, result in results.items()], timeout)
+    return {place: read_result(spark, place) for place in results}
+
+
+def _run_started(starts: Sequence[Callable[[], StreamingQuery]], timeout: float | None) -> None:
     queries = []
     try:
-        for place, result in results.items():
-            queries.append(start_running_result(result, place))
+        for start in starts:
+            queries.append(start())
     except BaseException:
-        await_and_stop(queries, timeout=0)
+        for query in queries:
+            query.stop()
         raise
     if not await_and_stop(queries, timeout):
         raise TimeoutError(f"streaming queries did not finish within {timeout} seconds")
-    return {place: read_result(spark, place) for place in results}
 
 
 def _writer(result: DataFrame, folder: str, name: str | None, trigger: Mapping):
@@ -126,5 +236,33 @@ def _writer(result: DataFrame, folder: str, name: str | None, trigger: Mapping):
     return writer.queryName(name) if name else writer
 
 
-def _place(folder: str, batch_id: int) -> str:
-    return f"{folder}/result-{batch_id % 2}"
+def _changes(folder: str, generation: int, batch_id: int) -> str:
+    return f"{folder}/changes/generation={generation}/batch={batch_id}"
+
+
+def _empty(rows: DataFrame) -> DataFrame:
+    return rows.sparkSession.createDataFrame([], rows.schema)
+
+
+def _note(spark: SparkSession, folder: str, batch_id: int, number: int | str) -> None:
+    """Say that a batch is complete, and where; notes of even and odd batches do not touch each other."""
+    text = spark.createDataFrame([(f"{batch_id} {number}",)], "value string")
+    text.coalesce(1).write.mode("overwrite").text(f"{folder}-{batch_id % 2}")
+
+
+class _Note:
+    def __init__(self, text: str):
+        batch, number = text.split()
+        self.batch = int(batch)
+        self.number = int(number) if number.lstrip("-").isdigit() else number
+
+
+def _noted(spark: SparkSession, folder: str) -> _Note | None:
+    """The last note; one that is just being written is passed over for the one before."""
+    found = []
+    for turn in (0, 1):
+        try:
+            found += [_Note(row.value) for row in spark.read.text(f"{folder}-{turn}").collect()]
+        except PySparkException:
+            continue
+    return max(found, key=lambda note: note.batch, default=None)

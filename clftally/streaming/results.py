@@ -1,7 +1,8 @@
 """The running results, as streaming DataFrames over a parsed stream.
 
-Complete mode keeps one row of state per key for as long as the query runs. That is small for statuses
-and hours; addresses and request lines grow with the log, which is why the state lives in RocksDB.
+A running count keeps one row of state per key for as long as the query runs. That is small for statuses
+and hours; addresses and request lines grow with the log, which is why the state lives in RocksDB, and why
+`jobs.start_running_counts` writes only the keys that a micro-batch changed.
 By default lines that are no log record are counted too, under an empty or NULL key.
 
 The results are unsorted. A full sort within the query would run the stateful step twice per micro-batch,
@@ -62,8 +63,6 @@ def closed_hours(parsed: DataFrame, lateness: str) -> DataFrame:
 
 
 def top_rows(result: DataFrame, n: int = 10) -> DataFrame:
-    """The ``n`` most frequent keys of a result, by SQL; on the running query or on its result table."""
-    key = result.columns[0]
-    return result.sparkSession.sql(
-        f"SELECT * FROM {{result}} ORDER BY count DESC, {key} LIMIT {int(n)}", result=result
-    )
+    """The ``n`` most frequent keys of a result; on the running query or on its result table."""
+    key = result.columns[0].replace("`", "``")
+    return result.orderBy(F.desc("count"), F.col(f"`{key}`")).limit(n)

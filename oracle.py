@@ -8,8 +8,9 @@ fields AS (
   SELECT event_id,
     '10.0.' || (user_id // 256) || '.' || (user_id % 256) AS ip,
     CASE WHEN user_id % 3 = 0 THEN 'u' || user_id ELSE '-' END AS usr,
-    strftime(ts, '%d/%b/%Y:%H:%M:%S')
-      || CASE event_id % 50 WHEN 7 THEN '' WHEN 9 THEN ' +0530' ELSE ' +0000' END AS clock,
+    CASE WHEN event_id % 50 = 17 THEN strftime(ts, '%-d/%b/%Y:%H:%M:%S')
+         ELSE strftime(ts, '%d/%b/%Y:%H:%M:%S') END
+      || CASE event_id % 50 WHEN 7 THEN '' WHEN 9 THEN ' +0530' WHEN 13 THEN ' +05:30' ELSE ' +0000' END AS clock,
     CASE WHEN event_type IN ('signup', 'purchase') THEN 'POST' ELSE 'GET' END AS method,
     event_type,
     CASE WHEN event_type = 'error' AND event_id % 2 = 0 THEN '500'
@@ -150,7 +151,31 @@ def _sections(where: str, anchored: bool, top: int | None, keys=("status", "ip",
     )
 
 
-def build(slice_start: str, slice_end: str) -> dict[str, str]:
+def _summary(where: str) -> str:
+    rows = " UNION ALL ".join(
+        f"SELECT '{section}' AS section, CAST({key} AS VARCHAR) AS key, count(*) AS \"count\", "
+        f"{mean} AS average_response_size FROM log WHERE {where} GROUP BY {key}"
+        for section, key, mean in (
+            ("status_counts", "status", "CAST(NULL AS DOUBLE)"),
+            ("ip_counts", "ip", "CAST(NULL AS DOUBLE)"),
+            ("avg_sizes", "status", "CAST(sum(size) AS DOUBLE) / count(size)"),
+        )
+    )
+    return _on_log(rows)
+
+
+def _closed_hours(lateness: str) -> str:
+    hours = """,
+hours AS (SELECT date_trunc('hour', ts) AS hour, count(*) AS n FROM log WHERE ts IS NOT NULL GROUP BY 1)"""
+    return _on_log(
+        f'SELECT hour, n AS "count" FROM hours '
+        f"WHERE hour + INTERVAL 1 HOUR <= (SELECT max(ts) FROM log) - INTERVAL '{lateness}'",
+        anchored=False,
+        extra=hours,
+    )
+
+
+def build(slice_start: str, slice_end: str, lateness: str) -> dict[str, str]:
     """SQL text per query name; the slice bounds are UTC times, both included."""
     within = f"ts BETWEEN TIMESTAMP '{slice_start}' AND TIMESTAMP '{slice_end}'"
     quality = (
@@ -191,6 +216,7 @@ def build(slice_start: str, slice_end: str) -> dict[str, str]:
         "volume_15m": _volume("15 minutes"),
         "volume_1h": _volume("1 hour"),
         "access_report": _sections("ok", True, 10),
+        "summary_report": _summary("ok"),
         "slice_volume": _volume("5 minutes", within),
         "slice_status_share": _share(within),
         "slice_top_ips": _counts("ip", within, top=10),
@@ -203,6 +229,7 @@ def build(slice_start: str, slice_end: str) -> dict[str, str]:
         "stream_top_requests": _counts("request", "true", anchored=False, top=10),
         "stream_avg_size": _mean_size("status IS NOT NULL", anchored=False),
         "stream_hourly_volume": _hourly("true", anchored=False),
+        "stream_closed_hours": _closed_hours(lateness),
         "stream_top_lists": _sections("true", False, 10, ("ip", "request")),
         "stream_access_report": _sections("true", False, 10),
     }

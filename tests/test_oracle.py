@@ -11,7 +11,7 @@ import oracle
 
 SF = "/root/testdata/sf0.001"
 QUERIES = registry.log_queries()
-SQL = oracle.build(*registry.SLICE)
+SQL = oracle.build(*registry.SLICE, registry.LATENESS)
 KINDS = {
     "bigint": "BIGINT",
     "int": "INTEGER",
@@ -73,7 +73,9 @@ def skewed(spark, tmp_path_factory):
         "slice_volume",
         "status_share",
         "stream_access_report",
+        "stream_closed_hours",
         "stream_status_counts",
+        "summary_report",
         "top_requests",
         "volume_1m",
     ],
