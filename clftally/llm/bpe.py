@@ -308,7 +308,7 @@ def encode(
             packed = [vocabulary.encode(t.as_py() or "") for t in part.column(text)]
             yield _with_column(part, schema, into, packed)
 
-    return docs.mapInArrow(run, schema)
+    return common.in_small_batches(docs).mapInArrow(run, schema)
 
 
 def decode(
@@ -324,7 +324,7 @@ def decode(
             texts = [vocabulary.decode(i.as_py() or b"") for i in part.column(ids)]
             yield _with_column(part, schema, into, texts)
 
-    return docs.mapInArrow(run, schema)
+    return common.in_small_batches(docs).mapInArrow(run, schema)
 
 
 _loaded: dict[tuple[int, str], Vocabulary] = {}

@@ -16,6 +16,10 @@ from clftally.sources.shared import shared_root
 BLANKS = r"\x20\x09-\x0D"
 
 
+# Bytes of a batch of texts.
+BATCH_BYTES = 4 << 20
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -32,6 +36,16 @@ def checkpointed(rows: DataFrame) -> DataFrame:
     return rows.checkpoint()
 
 
+def in_small_batches(rows: DataFrame) -> DataFrame:
+    """Rows that hold whole texts, to go to Python a few megabytes at a time.
+
+    A batch is held by the JVM and by each Python worker that it passes through, several times over in some. This is
+    a setting of the session, and applies to what runs in it from now on.
+    """
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return rows
+
+
 def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 

@@ -325,7 +325,7 @@ def identify(docs: DataFrame, models: Models, text: str = "text", keep: list[str
             ]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return chosen.mapInArrow(run, schema)
+    return common.in_small_batches(chosen).mapInArrow(run, schema)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -77,10 +77,12 @@ def shared_lines(docs: DataFrame, text: str, site: str, min_sites: int) -> DataF
         )
     )
     near = estimated.filter(F.col("_sites") <= min_sites + margin).drop("_sites")
+    # Each line and site once, before they meet: a line that is everywhere has few sites in comparison.
     exact = (
-        lines.join(near, ["_a", "_b"], "left_semi")
+        lines.distinct()
+        .join(near, ["_a", "_b"], "left_semi")
         .groupBy("_a", "_b")
-        .agg(F.count_distinct("_site").alias("_sites"))
+        .agg(F.count("*").alias("_sites"))
         .filter(F.col("_sites") >= min_sites)
     )
     sure = estimated.filter(F.col("_sites") > min_sites + margin)

@@ -90,7 +90,7 @@ def sketches(docs: DataFrame, node: str, text: str) -> DataFrame:
             nodes = batch.column(node).take(pa.array(kept, pa.int64()))
             yield pa.RecordBatch.from_arrays([nodes, pa.array(number, pa.int64()), bands], schema.names)
 
-    return docs.select(node, text).mapInArrow(run, schema)
+    return common.in_small_batches(docs.select(node, text)).mapInArrow(run, schema)
 
 
 def components(edges: DataFrame) -> DataFrame:

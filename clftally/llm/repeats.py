@@ -173,7 +173,7 @@ def repeated_stretches(docs: DataFrame, text: str, length: int = LENGTH) -> Data
 
     ``docs`` has ``_node``, equal for equal texts only. Texts that occur more than once are not looked at for that.
     """
-    found = docs.select("_node", F.col(text).alias("_text")).mapInArrow(
+    found = common.in_small_batches(docs.select("_node", F.col(text).alias("_text"))).mapInArrow(
         _text_runs(length), "_key long, _node binary, _first long, _number int, _twice boolean"
     )
     # A window rather than a join with counted keys: the runs are made and shuffled once.
