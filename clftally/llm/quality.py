@@ -238,3 +238,62 @@ def distance(left: Column, right: Column) -> Column:
     left_total, right_total = total(left), total(right)
     usable = (left_total > 0) & (right_total > 0)
     return F.when(usable, F.sqrt(F.greatest(F.lit(0.0), divergence(pairs, left_total, right_total))))
+
+
+def sql(common_words: Sequence[str] | None = None) -> str:
+    """DuckDB SQL for the counts and the verdict over ``documents``."""
+    words = list(common_words or dict.fromkeys(w for of in COMMON_WORDS.values() for w in of))
+    left = lambda kept: f"length(regexp_replace(t, '[^{kept}]+', '', 'g'))"
+    uses = ", ".join(f"len(list_filter(ws, lambda w: w = '{word}'))" for word in words)
+    sums = lambda name, n: "[" + ", ".join(f"sum({name}[{i}])" for i in range(1, n + 1)) + "]"
+
+    def far(mine: str, usual: str, size: int) -> str:
+        p, q = (f"({of}[k] / list_sum({of}))" for of in (mine, usual))
+        part = lambda a, b: f"CASE WHEN {a} > 0 THEN {a} * log2(2 * {a} / ({a} + {b})) ELSE 0 END"
+        parts = f"list_transform(range(1, {size + 1}), lambda k: {part(p, q)} + {part(q, p)})"
+        return f"CASE WHEN list_sum({mine}) > 0 AND list_sum({usual}) > 0 THEN sqrt(greatest(0, list_sum({parts}) / 2)) END"
+
+    return f"""
+WITH texts AS (SELECT row_number() OVER () AS row, doc_id, lang, coalesce(text, '') AS t FROM documents),
+split AS (
+  SELECT *, regexp_extract_all(t, '[^{common.BLANKS}]+') AS ws,
+    list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^{common.BLANKS}]')) AS ls
+  FROM texts
+),
+places AS (SELECT row, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM split),
+again AS (
+  SELECT row, i FROM (SELECT row, i, array_to_string(ws[i:i + {WINDOW - 1}], ' ') AS win FROM places)
+  QUALIFY count(*) OVER (PARTITION BY row, win) > 1
+),
+repeats AS (
+  SELECT row, CAST(sum(least({WINDOW}, coalesce(behind - i, {WINDOW}))) AS BIGINT) AS n
+  FROM (SELECT row, i, lead(i) OVER (PARTITION BY row ORDER BY i) AS behind FROM again) GROUP BY row
+),
+counted AS (
+  SELECT split.row, doc_id, lang, length(t) AS chars, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+    {left("#*$%&|<>")} AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+    [{left("\\p{Ll}")}, {left(common.BLANKS)}, {left("\\p{Lu}")}, {left("\\p{N}")}] AS cs, [{uses}] AS us
+  FROM split LEFT JOIN repeats USING (row)
+),
+shares AS (
+  SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
+    list_transform(list_append(cs, chars - list_sum(cs)),
+      lambda n: CAST(n AS BIGINT) * {_UNIT} // greatest(chars, 1)) AS classes,
+    list_transform(list_append(us, n_words - list_sum(us)),
+      lambda n: CAST(n AS BIGINT) * {_UNIT} // greatest(n_words, 1)) AS words
+  FROM counted
+),
+usual AS (
+  SELECT lang, {sums("classes", len(CLASSES))} AS all_classes, {sums("words", len(words) + 1)} AS all_words
+  FROM shares WHERE NOT base_failed GROUP BY lang
+),
+judged AS (
+  SELECT shares.*, {far("classes", "all_classes", len(CLASSES))} AS class_distance,
+    {far("words", "all_words", len(words) + 1)} AS word_distance
+  FROM shares LEFT JOIN usual ON shares.lang IS NOT DISTINCT FROM usual.lang
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR coalesce(chars >= {MIN_CLASS_CHARS} AND class_distance > {MAX_CLASS_DISTANCE}, false)
+    OR coalesce(n_words >= {MIN_WORD_WORDS} AND word_distance > {MAX_WORD_DISTANCE}, false)) AS kept
+FROM judged
+"""

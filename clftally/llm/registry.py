@@ -128,4 +128,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.SQL, "op7_lines": lines.SQL}
+    return {"op3_mixing": mixing.SQL, "op5_quality": quality.sql(), "op7_lines": lines.SQL}

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from clftally.llm import quality, registry
+from tests.llm.compare import duckdb_rows, spark_rows
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string"
@@ -90,6 +91,11 @@ def test_query_against_plain_python(spark, sf):
     assert 0 < sum(kept.values()) < len(kept)
 
 
+@pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.01"])
+def test_query_equals_its_sql(spark, sf):
+    assert spark_rows(registry.op5_quality(spark, sf)) == duckdb_rows(quality.sql(), sf)
+
+
 def test_odd_texts(spark):
     same = "one two three four five six seven eight "
     texts = [None, "", " \n\t", same, same * 2, same * 3, "a " * 5000, "x", "\n".join(["l"] * 9), "é中 " * 30, "z" * 70_000]
