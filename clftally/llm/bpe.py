@@ -308,7 +308,7 @@ def encode(
             packed = [vocabulary.encode(t.as_py() or "") for t in part.column(text)]
             yield _with_column(part, schema, into, packed)
 
-    return common.in_small_batches(docs).mapInArrow(run, schema)
+    return common.for_python(docs).mapInArrow(run, schema)
 
 
 def decode(
@@ -324,7 +324,33 @@ def decode(
             texts = [vocabulary.decode(i.as_py() or b"") for i in part.column(ids)]
             yield _with_column(part, schema, into, texts)
 
-    return common.in_small_batches(docs).mapInArrow(run, schema)
+    return common.for_python(docs).mapInArrow(run, schema)
+
+
+def round_trip(
+    docs: DataFrame,
+    rank_file: bytes,
+    pattern: str,
+    text: str = "text",
+    ids: str = "ids",
+    decoded: str = "decoded",
+) -> DataFrame:
+    """`encode` and then `decode` of what it gave, in one pass through the workers; the text is dropped."""
+    shared = docs.sparkSession.sparkContext.broadcast((rank_file, pattern))
+    fields = [T.StructField(name, T.BinaryType()) for name in (ids, decoded)]
+    schema = common.schema_with(docs, [text], fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = _worker_vocabulary(shared.value)
+        for part in (part for batch in batches for part in common.slices(batch, text)):
+            packed = [vocabulary.encode(t.as_py() or "") for t in part.column(text)]
+            new = {ids: packed, decoded: list(map(vocabulary.decode, packed))}
+            columns = [
+                pa.array(new[name], pa.binary()) if name in new else part.column(name) for name in schema.names
+            ]
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return common.for_python(docs).mapInArrow(run, schema)
 
 
 _loaded: dict[tuple[int, str], Vocabulary] = {}

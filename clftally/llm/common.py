@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -36,13 +38,18 @@ def checkpointed(rows: DataFrame) -> DataFrame:
     return rows.checkpoint()
 
 
-def in_small_batches(rows: DataFrame) -> DataFrame:
-    """Rows that hold whole texts, to go to Python a few megabytes at a time.
+def for_python(rows: DataFrame) -> DataFrame:
+    """Rows that go to Python workers, a few megabytes at a time; the workers find this package.
 
     A batch is held by the JVM and by each Python worker that it passes through, several times over in some. This is
-    a setting of the session, and applies to what runs in it from now on.
+    a setting of the session, and applies to what runs in it from now on. The package's folder is named to the workers
+    for runs from a checkout; a cluster has the package installed, and then the name does no harm.
     """
     rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    environment, root = rows.sparkSession.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    known = [path for path in environment.get("PYTHONPATH", "").split(os.pathsep) if path]
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([*known, root])
     return rows
 
 

@@ -136,7 +136,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: i
     how many there are in all only moves the rate. N-grams are counted on the executors; the driver gets the
     counts of the sample, which the bound limits.
     """
-    rows = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(
+    rows = common.for_python(labelled).filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(
         F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")
     )
     rows = rows.filter(F.length("text") <= SAMPLE_CHARS)
@@ -325,7 +325,7 @@ def identify(docs: DataFrame, models: Models, text: str = "text", keep: list[str
             ]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return common.in_small_batches(chosen).mapInArrow(run, schema)
+    return common.for_python(chosen).mapInArrow(run, schema)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -90,7 +90,7 @@ def sketches(docs: DataFrame, node: str, text: str) -> DataFrame:
             nodes = batch.column(node).take(pa.array(kept, pa.int64()))
             yield pa.RecordBatch.from_arrays([nodes, pa.array(number, pa.int64()), bands], schema.names)
 
-    return common.in_small_batches(docs.select(node, text)).mapInArrow(run, schema)
+    return docs.select(node, text).mapInArrow(run, schema)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -135,7 +135,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
 def _labelled(docs: DataFrame, doc_id: str, text: str, threshold: float) -> DataFrame:
     """Rows with the key of their text, their ``class_id``, and whether theirs is the text of the class that stays."""
     names = [name for name in docs.columns if name != "class_id"]
-    keyed = docs.select(*names, F.unhex(F.md5(common.text_or_empty(text))).alias("_node"))
+    keyed = common.for_python(docs).select(*names, F.unhex(F.md5(common.text_or_empty(text))).alias("_node"))
     ids = keyed.groupBy("_node").agg(F.min(doc_id).alias("_least"))
     part = verified_parts(keyed, text, threshold)
     labelled = ids.join(part.withColumnRenamed("node", "_node"), "_node", "left").withColumn(

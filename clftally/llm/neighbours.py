@@ -182,7 +182,7 @@ def nearest(
     among its neighbours; queries that are equal in id and vector are one. Of equal vectors only the ``k + 1``
     least ids can be among anyone's neighbours, so no more are kept. Ties go to the smaller id.
     """
-    base = common.checkpointed(_least_ids(_usable(rows, row_id, vector), k + 1))
+    base = common.checkpointed(_least_ids(_usable(common.for_python(rows), row_id, vector), k + 1))
     asked = common.checkpointed(_usable(queries, row_id, vector).distinct())
     spark = rows.sparkSession
     found = None

@@ -29,10 +29,8 @@ def bpe_digests(docs: DataFrame, ranks: str | None = None) -> DataFrame:
     ``ranks`` is the path of the rank file; the driver reads it.
     """
     rank_file = Path(ranks or public_tokenizers.path(RANKS)).read_bytes()
-    pattern = public_tokenizers.PATTERN
-    encoded = bpe.encode(docs.select("doc_id", "text"), rank_file, pattern)
-    decoded = bpe.decode(encoded, rank_file, pattern)
-    return decoded.select(
+    both = bpe.round_trip(docs.select("doc_id", "text"), rank_file, public_tokenizers.PATTERN)
+    return both.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -173,7 +173,7 @@ def repeated_stretches(docs: DataFrame, text: str, length: int = LENGTH) -> Data
 
     ``docs`` has ``_node``, equal for equal texts only. Texts that occur more than once are not looked at for that.
     """
-    found = common.in_small_batches(docs.select("_node", F.col(text).alias("_text"))).mapInArrow(
+    found = docs.select("_node", F.col(text).alias("_text")).mapInArrow(
         _text_runs(length), "_key long, _node binary, _first long, _number int, _twice boolean"
     )
     # A window rather than a join with counted keys: the runs are made and shuffled once.
@@ -357,7 +357,7 @@ def remove_repeats(
     """
     kept = [c for c in (docs.columns if keep is None else keep) if c not in (text, "n_bytes", "spans", "kept")]
     whole = common.text_or_empty(text)
-    keyed = docs.select(*kept, F.unhex(F.md5(whole)).alias("_node"), whole.alias("_text"))
+    keyed = common.for_python(docs).select(*kept, F.unhex(F.md5(whole)).alias("_node"), whole.alias("_text"))
     copied = keyed.groupBy("_node").agg(F.count("*").alias("n")).filter("n > 1").select("_node", F.lit(True).alias("_copied"))
     stretches = repeated_stretches(keyed.select("_node", "_text"), "_text", length)
     by_text = stretches.groupBy("_node").agg(F.collect_list(F.struct("first", "number")).alias("_stretches"))

@@ -264,7 +264,7 @@ def find_secrets(docs: DataFrame, text: str = "text", into: str = "secrets") ->
             columns = [pa.array(spans, _ARROW_SPANS) if f == into else batch.column(f) for f in schema.names]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return common.in_small_batches(docs).mapInArrow(run, schema)
+    return common.for_python(docs).mapInArrow(run, schema)
 
 
 def joined(spans: Column) -> Column:

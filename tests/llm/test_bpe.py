@@ -97,6 +97,10 @@ def test_rows(spark):
     assert encoded.columns == ["doc_id", "decoded", "ids"]
     decoded = bpe.decode(encoded, DATA, public_tokenizers.PATTERN)
     assert sorted(bytes(r.decoded) for r in decoded.collect()) == sorted((t or "").encode() for t in texts)
+    both = bpe.round_trip(docs.select("doc_id", "text", "decoded"), DATA, public_tokenizers.PATTERN)
+    assert both.columns == ["doc_id", "ids", "decoded"]
+    pairs = lambda frame: sorted((bytes(r.ids), bytes(r.decoded)) for r in frame.collect())
+    assert pairs(both) == pairs(decoded)
     assert registry.bpe_digests(docs.limit(0)).collect() == []
 
 
