@@ -166,7 +166,8 @@ def await_and_stop(queries: Iterable[StreamingQuery], timeout: float | None = No
             left = _POLL if deadline is None else min(_POLL, deadline - time.monotonic())
             if not active or left <= 0:
                 return not active
-            active[0].awaitTermination(left)
+            # Waits are in whole milliseconds, and none is an error.
+            active[0].awaitTermination(max(left, 0.001))
     finally:
         for query in queries:
             query.stop()
