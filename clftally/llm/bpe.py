@@ -13,6 +13,7 @@ built them, which the merge histories of the two tokens tell.
 from __future__ import annotations
 
 import base64
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -334,8 +335,13 @@ def round_trip(
     text: str = "text",
     ids: str = "ids",
     decoded: str = "decoded",
+    release: bool = False,
 ) -> DataFrame:
-    """`encode` and then `decode` of what it gave, in one pass through the workers; the text is dropped."""
+    """`encode` and then `decode` of what it gave, in one pass through the workers; the text is dropped.
+
+    ``release`` makes each task give its vocabulary and memos back at its end, for jobs whose other stages need the
+    memory of the same workers. It costs each task the making of them.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((rank_file, pattern))
     fields = [T.StructField(name, T.BinaryType()) for name in (ids, decoded)]
     schema = common.schema_with(docs, [text], fields)
@@ -349,6 +355,11 @@ def round_trip(
                 pa.array(new[name], pa.binary()) if name in new else part.column(name) for name in schema.names
             ]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
+        if release:
+            # A vocabulary and its memo hold each other.
+            del vocabulary
+            _loaded.clear()
+            gc.collect()
 
     return common.for_python(docs).mapInArrow(run, schema)
 

@@ -23,13 +23,13 @@ def op1_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataF
     return bpe_digests(common.documents(spark, sf_dir), ranks)
 
 
-def bpe_digests(docs: DataFrame, ranks: str | None = None) -> DataFrame:
+def bpe_digests(docs: DataFrame, ranks: str | None = None, release: bool = False) -> DataFrame:
     """Encode every text, decode the ids, and give the number of ids and the digests of both.
 
-    ``ranks`` is the path of the rank file; the driver reads it.
+    ``ranks`` is the path of the rank file; the driver reads it. For ``release`` see `bpe.round_trip`.
     """
     rank_file = Path(ranks or public_tokenizers.path(RANKS)).read_bytes()
-    both = bpe.round_trip(docs.select("doc_id", "text"), rank_file, public_tokenizers.PATTERN)
+    both = bpe.round_trip(docs.select("doc_id", "text"), rank_file, public_tokenizers.PATTERN, release=release)
     return both.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),

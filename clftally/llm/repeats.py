@@ -33,7 +33,7 @@ LENGTH = 200
 # Bytes of the short strings whose least hash is a key.
 GRAM = 48
 # Bytes that are hashed, and region bytes that are sorted, at a time.
-BLOCK_BYTES, SHARD_BYTES = 1 << 20, 1 << 20
+BLOCK_BYTES, SHARD_BYTES = 1 << 18, 1 << 20
 # Starts in one region at most, and regions of a key in one shard.
 REGION_STARTS, SHARD_REGIONS = 1 << 16, 2048
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 # Words per shingle.
 WIDTH = 5
 # Texts are taken together up to about so many bytes.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True

@@ -39,7 +39,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the decoded bytes."""
-    return registry.bpe_digests(docs)
+    return registry.bpe_digests(docs, release=True)
 
 
 STAGES = [
