@@ -1,9 +1,10 @@
 """Near-duplicate documents by ProbMinHash, banding and exact verification.
 
-Each text is a weighted set: its five-word shingles with their numbers. In ProbMinHash every shingle sends points
-into random registers as a Poisson process whose rate is its weight; a register keeps the shingle of its first
-point, and a shingle stops as soon as its next point comes later than all registers have. Two texts agree in a
-register with the probability Jaccard similarity of their weights.
+Each text is the set of its five-word shingles. In ProbMinHash every shingle sends points into random registers as a
+Poisson process whose rate is its weight; a register keeps the shingle of its first point, and a shingle stops as
+soon as its next point comes later than all registers have. Two texts agree in a register with the probability
+Jaccard similarity of their weights. All shingles weigh the same here, however often a text repeats them, so this is
+the Jaccard similarity of the sets, the one that is verified.
 
 Texts that agree in a band of registers are candidates. Candidates linked through bands form families, which are
 usually small; within a family the sets of shingles are compared exactly, by an inverted index, and classes are the
@@ -81,10 +82,10 @@ def sketches(docs: DataFrame, node: str, text: str) -> DataFrame:
             for first, data, offsets in shingles.blocks(batch.column(text)):
                 for i, found in enumerate(shingles.shingles(data, offsets), first):
                     if len(found):
-                        elements, weights = np.unique(found, return_counts=True)
+                        elements = np.unique(found)
                         kept.append(i)
                         number.append(len(elements))
-                        keys.append(band_keys(signature(elements, weights.astype(np.float64))))
+                        keys.append(band_keys(signature(elements, np.ones(len(elements)))))
             flat = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), flat)
             nodes = batch.column(node).take(pa.array(kept, pa.int64()))

@@ -78,6 +78,20 @@ def test_against_brute_force(spark, families, monkeypatch, block):
     assert got == brute_force(families)[0]
 
 
+def test_unequal_repeats_against_brute_force(spark):
+    """Pairs with nearly the same shingles, of which one text repeats a passage or a line many times."""
+    rnd, rows = random.Random(2), []
+    for pair, (length, passage, times) in enumerate([(500, 24, 50), (1000, 104, 20), (1000, 104, 10)] * 8):
+        base = [f"p{pair}w{i}" for i in range(length)]
+        at = rnd.randrange(length - passage)
+        rows += [" ".join(base), " ".join(base[: at + passage] + base[at : at + passage] * times + base[at + passage :])]
+    rows = list(enumerate(rows))
+    want, part = brute_force(rows)
+    assert len(set(part.values())) == len(rows) // 2
+    got = near_dedup.classes(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()
+    assert sorted(((r.doc_id, r.class_id) for r in got), key=str) == want
+
+
 def test_one_row_of_each_class_stays(spark, families):
     twice = families + families[:50]
     left = near_dedup.drop_copies(spark.createDataFrame(twice, SCHEMA)).collect()
