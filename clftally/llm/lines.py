@@ -34,14 +34,19 @@ def drop_shared_lines(
     site: str = "source",
     min_sites: int = MIN_SITES,
     max_share: float = MAX_SHARE,
+    once_per_text: bool = False,
 ) -> DataFrame:
     """Take the shared lines out of the text; adds ``n_lines`` and ``n_removed``, and keeps all rows and columns.
 
+    A document that would lose more than ``max_share`` of its characters stays as it is; with 1 all shared lines go.
+    With ``once_per_text`` equal texts count for the least of their sites only, so copies of one text on many sites
+    do not make its lines shared.
+
     Lines end at a line feed and are compared without blanks at their ends. Lines without a word are neither counted
     nor removed. A NULL site is a site like any other. A NULL text stays NULL and has no lines. Equal rows are
     treated alike. Input columns named like new ones are replaced.
     """
-    shared = common.checkpointed(shared_lines(docs, text, site, min_sites))
+    shared = common.checkpointed(shared_lines(docs, text, site, min_sites, once_per_text))
     salted = shared.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     places = (
         _occurrences(docs, text, F.lit(None))
@@ -65,10 +70,15 @@ def drop_shared_lines(
     )
 
 
-def shared_lines(docs: DataFrame, text: str, site: str, min_sites: int) -> DataFrame:
+def shared_lines(
+    docs: DataFrame, text: str, site: str, min_sites: int, once_per_text: bool = False
+) -> DataFrame:
     """Keys of the lines that occur on ``min_sites`` sites or more."""
     name = F.coalesce(F.concat(F.lit("0"), F.col(site).cast("string")), F.lit("1"))
-    lines = _occurrences(docs, text, name).select("_a", "_b", "_site")
+    lines = _occurrences(docs, text, name)
+    if once_per_text:
+        lines = lines.groupBy("_a", "_b", "_ta", "_tb").agg(F.min("_site").alias("_site"))
+    lines = lines.select("_a", "_b", "_site")
     sketched = lines.groupBy("_a", "_b").agg(F.hll_sketch_agg("_site", LOG_SIZE).alias("_sketch"))
     margin = max(1.0, BAND * min_sites)
     estimated = common.checkpointed(

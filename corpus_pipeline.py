@@ -23,8 +23,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that many sources share."""
-    return _measured(lines.drop_shared_lines(docs).select(*docs.columns))
+    """Documents without the lines that many sources share, whatever part of a document these are.
+
+    Copies of one text count for one source, so that they are left to the next stage, which keeps one of them.
+    """
+    return _measured(lines.drop_shared_lines(docs, max_share=1.0, once_per_text=True).select(*docs.columns))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

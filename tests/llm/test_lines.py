@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import pytest
 
+import corpus_pipeline
 from clftally.llm import lines, registry
 from tests.llm.compare import duckdb_rows, spark_rows
 
@@ -61,3 +62,17 @@ def test_odd_tables(spark):
 def test_query_equals_its_sql(spark):
     for sf in ("/root/testdata/sf0.001", "/root/testdata/sf0.01"):
         assert spark_rows(registry.op7_lines(spark, sf)) == duckdb_rows(lines.SQL, sf)
+
+
+def test_all_shared_lines_go_and_copies_stay(spark):
+    """Pages that are mostly boilerplate lose it all; a text that many sites copy is no boilerplate."""
+    menu = "home about contact imprint\nall rights reserved by us"
+    rows = [(i, f"s{i}", f"{menu}\nown {i}") for i in range(20)] + [(20, "s0", menu)]
+    rows += [(100 + i, f"s{i}", "first line of it\nsecond line of it") for i in range(50)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for left in (
+        lines.drop_shared_lines(docs, max_share=1.0, once_per_text=True),
+        corpus_pipeline.line_dedup(spark, docs, ""),
+    ):
+        got = {r.doc_id: r.text for r in left.collect()}
+        assert got == {d: f"own {d}" if d < 20 else "" if d == 20 else t for d, _, t in rows}
