@@ -12,12 +12,35 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clftally.llm import bpe, common, language, lines, mixing, near_dedup, neighbours, quality, repeats, scoring, secrets
+from clftally.llm import (
+    bpe,
+    common,
+    language,
+    lines,
+    mixing,
+    near_dedup,
+    neighbours,
+    prefix_trie,
+    quality,
+    repeats,
+    scoring,
+    secrets,
+    url_filter,
+    variants,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 RANKS = "byte_bpe_50k.tiktoken"
 
+URL_RULES = (
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+)
+
 
 def op1_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataFrame:
     return bpe_digests(common.documents(spark, sf_dir), ranks)
@@ -102,6 +125,21 @@ def op10_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.turns_of(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return prefix_trie.trie(prefix_trie.rebuilt(turns)).drop("a", "b")
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return url_filter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir).select("doc_id", "text")
+    return variants.grouped(variants.word_counts(docs, one_in=variants.ONE_IN))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     # It uses this module too.
     import corpus_pipeline
@@ -121,9 +159,19 @@ def queries() -> dict[str, Query]:
         "op8_repeats": op8_repeats,
         "op9_language": op9_language,
         "op10_scoring": op10_scoring,
+        "op11_prefix_trie": op11_prefix_trie,
+        "op12_url_filter": op12_url_filter,
+        "op13_variants": op13_variants,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.SQL, "op5_quality": quality.sql(), "op7_lines": lines.SQL}
+    return {
+        "op3_mixing": mixing.SQL,
+        "op5_quality": quality.sql(),
+        "op7_lines": lines.SQL,
+        "op11_prefix_trie": prefix_trie.SQL,
+        "op12_url_filter": url_filter.sql(URL_RULES),
+        "op13_variants": variants.SQL,
+    }

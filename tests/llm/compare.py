@@ -10,9 +10,9 @@ def spark_rows(frame):
     return names, sorted((tuple(row[name] for name in names) for row in frame.collect()), key=repr)
 
 
-def duckdb_rows(sql, sf_dir):
+def duckdb_rows(sql, sf_dir, table="documents"):
     with duckdb.connect() as con:
-        con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf_dir}/documents.parquet')")
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{sf_dir}/{table}.parquet')")
         found = con.execute(sql)
         names = [column[0] for column in found.description]
         order = sorted(range(len(names)), key=lambda i: names[i])

@@ -1,0 +1,160 @@
+from __future__ import annotations
+
+import math
+import random
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from clftally.llm import registry, url_filter
+from tests.llm.compare import duckdb_rows, spark_rows
+
+RULES = registry.URL_RULES
+
+
+def brute_split(url):
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    end = min((rest.index(c) for c in "/?#" if c in rest), default=len(rest))
+    path = rest[end:]
+    path = path[: min((path.index(c) for c in "?#" if c in path), default=len(path))]
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:end]), path
+
+
+def brute_rule(host, path, rules):
+    fits = [r for r in rules if (host == r[1] or host.endswith("." + r[1])) and path.startswith(r[2])]
+    best = max(fits, key=lambda r: len(r[1] + r[2]), default=None)
+    return (best[1] + best[2], best[0]) if best else (None, None)
+
+
+def brute_worth(children, parents, parent_of):
+    some = {c: v for c, v in children.items() if v[0]}
+    above = {p: v for p, v in parents.items() if v[0]}
+    freedom, left = len(some) - len(above), sum(n for n, _ in some.values()) - len(some)
+    if freedom <= 0 or left <= 0:
+        return url_filter.MOST_WORTH
+    explained = sum(x * x / n for n, x in some.values())
+    between = (explained - sum(x * x / n for n, x in above.values())) / freedom
+    within = (sum(x for _, x in some.values()) - explained) / left
+    squares = sum(n * n / above[parent_of[c]][0] for c, (n, _) in some.items())
+    size = (sum(n for n, _ in some.values()) - squares) / freedom
+    if between <= within:
+        return url_filter.MOST_WORTH
+    alike = (between - within) / (between + (size - 1) * within)
+    return max(url_filter.LEAST_WORTH, min(url_filter.MOST_WORTH, (1 - alike) / alike))
+
+
+def brute_bounds(outcomes):
+    """Posterior bound per host, from ``{host: (labelled, bad)}``."""
+    names = {}
+    for host in outcomes:
+        labels = host.split(".")
+        wide = 2 if ".".join(labels[-2:]) in url_filter.TWO_LABEL_SUFFIXES else 1
+        alone = "." not in host or all(p.isdigit() for p in labels) and len(labels) == 4
+        names[host] = (host, host) if alone else (".".join(labels[-wide - 1 :]), ".".join(labels[-wide:]))
+    domains, suffixes = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
+    for host, counts in outcomes.items():
+        for i in (0, 1):
+            domains[names[host][0]][i] += counts[i]
+            suffixes[names[host][1]][i] += counts[i]
+    overall = [sum(v[i] for v in suffixes.values()) for i in (0, 1)]
+    suffix_of = {names[h][0]: names[h][1] for h in outcomes}
+    k = (
+        brute_worth(suffixes, {"": overall}, defaultdict(str)),
+        brute_worth(domains, suffixes, suffix_of),
+        brute_worth(outcomes, domains, {h: names[h][0] for h in outcomes}),
+    )
+    prior = url_filter.PRIOR_SHARE, url_filter.PRIOR_WORTH
+    mean = (overall[1] + prior[0] * prior[1]) / (overall[0] + prior[1])
+    bounds = {}
+    for host, (n, x) in outcomes.items():
+        domain, suffix = names[host]
+        at = mean
+        for worth, (m, y) in zip(k, (suffixes[suffix], domains[domain], (n, x))):
+            at = (y + worth * at) / (m + worth)
+        bounds[host] = max(0, at - url_filter.DEVIATIONS * math.sqrt(at * (1 - at) / (n + k[2] + 1)))
+    return bounds
+
+
+def brute_judge(urls, rules):
+    found = [(*brute_split(url), *brute_rule(*brute_split(url), rules)) for url in urls]
+    outcomes = defaultdict(lambda: [0, 0])
+    for host, _, _, verdict in found:
+        outcomes[host][0] += verdict is not None
+        outcomes[host][1] += verdict == "block"
+    bounds = brute_bounds(outcomes)
+    limit = url_filter.MAX_BLOCKED
+    return [(h, p, r, v or ("block" if bounds[h] > limit else "allow")) for h, p, r, v in found]
+
+
+def judged(spark, urls, rules=RULES):
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(5)
+    rows = url_filter.judge(pages, rules).orderBy("page_id").collect()
+    return [(r.host, r.path, r.rule, r.verdict) for r in rows]
+
+
+def test_urls_are_split(spark):
+    urls = [
+        None, "", "no host/x", "http://", "http://A.Org", "http://A.org?q=/de/", "HTTP://ÄB.Org:80/Path?x#y", "a://b://c/d",
+        "http://x.com#f?/fr/", "://org/", "http://org/\n?", "http://com/fr", "http://com/fr/", "http://xcom/fr/", "x" * 100_000,
+    ]
+    assert judged(spark, urls) == brute_judge(urls, RULES)
+
+
+def test_bad_hosts_are_told_from_good_ones(spark):
+    """Labels from a tenth of the pages; a host with few labels goes by its domain."""
+    pick, urls = random.Random(4), []
+    for i in range(6000):
+        domain = pick.choice(["bad.com", "good.com", "mixed.com", "bad.co.uk", "new.net"])
+        host = f"h{pick.randrange(8)}.{domain}"
+        bad = {"bad.com": 0.9, "bad.co.uk": 0.8, "mixed.com": 0.9 if host < "h4" else 0.05}.get(domain, 0.03)
+        place = pick.choice(["x"] * 9 + ["spam" if pick.random() < bad else "fine"])
+        urls.append(f"https://{host if pick.random() < 0.6 else 'hot.good.com'}/{place}/{i}")
+    urls += [f"https://rare.{domain}/x/" for domain in ("bad.com", "good.com")] + ["https://10.0.0.1/x/"]
+    rules = [(v, s, p) for s in ("com", "co.uk") for v, p in (("block", "/spam/"), ("allow", "/fine/"))]
+    rules += [("allow", "hot.good.com", "/spam/")]
+    got = judged(spark, urls, rules)
+    assert got == brute_judge(urls, rules)
+    verdicts = {h: v for h, _, r, v in got if r is None}
+    assert verdicts["rare.bad.com"] == "block" and verdicts["rare.good.com"] == verdicts["hot.good.com"] == "allow"
+    assert all(verdicts[f"h{i}.mixed.com"] == ("block" if i < 4 else "allow") for i in range(8))
+
+
+def test_longest_rule_wins(spark):
+    rules = [("allow", "a.com", "/x"), ("block", "com", "/xyz/w"), ("block", "a.com", "/x/y"), ("allow", "b.a.com", "")]
+    urls = ["http://a.com/x/y/z", "http://a.com/xyz/w", "http://a.com/x", "http://b.a.com/x/y", "http://b.a.com", "http://com/x"]
+    got = judged(spark, urls, rules)
+    assert [(r, v) for _, _, r, v in got] == [
+        ("a.com/x/y", "block"), ("com/xyz/w", "block"), ("a.com/x", "allow"), ("a.com/x/y", "block"), ("b.a.com", "allow"), (None, got[-1][3]),
+    ]
+
+
+def test_odd_tables(spark):
+    schema = "page_id long, url string"
+    assert url_filter.judge(spark.createDataFrame([], schema), RULES).collect() == []
+    assert judged(spark, [None, None], []) == [("", "", None, "allow")] * 2
+    odd = spark.createDataFrame([(1, "http://a.org/", "r", "p", 3, "v", "b")], schema + ", row string, part string, at long, VERDICT string, bound string")
+    got = url_filter.judge(odd.withColumn("n.m", F.lit(1)), RULES)
+    assert got.columns == ["page_id", "url", "row", "part", "at", "n.m", "host", "path", "rule", "verdict", "bound"]
+    assert tuple(got.first()) == (1, "http://a.org/", "r", "p", 3, 1, "a.org", "/", "org/", "allow", None)
+
+
+def test_bad_rules(spark):
+    pages = spark.createDataFrame([(1, "x")], "page_id long, url string")
+    with pytest.raises(ValueError, match="verdict"):
+        url_filter.judge(pages, [("deny", "a", "/")])
+    with pytest.raises(ValueError, match="more than"):
+        url_filter.judge(pages, [("allow", str(i), "/") for i in range(url_filter.MAX_RULES + 1)])
+
+
+def test_no_python_on_the_way(spark):
+    plan = registry.op12_url_filter(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_query_equals_its_sql(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    got = spark_rows(registry.op12_url_filter(spark, sf_dir))
+    assert got == duckdb_rows(registry.oracle_sql()["op12_url_filter"], sf_dir, "pages")
