@@ -34,6 +34,8 @@ SLICE = ("2024-01-08 06:30:00", "2024-01-22 18:45:00")
 # Lines in a file of the feed, files that one micro-batch takes, and how long a stream may run, in seconds.
 LINES_PER_FILE = 1_000_000
 FILES_PER_BATCH = 1000
+# Lines in a file of the ordered chunks.
+LINES_PER_CHUNK = 1000
 STREAM_TIMEOUT = 4 * 3600
 
 # How late a line may come and still be counted in its hour.
@@ -128,6 +130,13 @@ def _chunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.scan_lines(spark, _write_chunks(spark, sf_dir))
 
 
+def _chunk_lines_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log in order of its ids, cut into files, as these are read back: file, line in it, text."""
+    folder = shared.fresh_folder(spark, "chunks")
+    text.chunk_lines_in_order(_lines(spark, sf_dir), folder, LINES_PER_CHUNK, order=["event_id"])
+    return text.number_lines(spark, folder).select("line_number", "file_number", "line_in_file", "value")
+
+
 def _parsed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows per day and status, from the parsed log stored as a table."""
     folder = shared.fresh_folder(spark, "table")
@@ -201,13 +210,14 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.build(*SLICE, LATENESS) | (llm.oracle_sql() if llm else {})
+    return oracle.build(*SLICE, LATENESS, LINES_PER_CHUNK) | (llm.oracle_sql() if llm else {})
 
 
 def log_queries() -> dict[str, Query]:
     return {
         "scan_lines": _scan_lines,
         "chunk_lines": _chunk_lines,
+        "chunk_lines_in_order": _chunk_lines_in_order,
         "parse_access_log": _on_times(_without_zone),
         "parse_access_log_find": _on_times(_without_zone, anchored=False),
         "parsed_table": _parsed_table,
@@ -232,6 +242,8 @@ def log_queries() -> dict[str, Query]:
         ),
         "top_ips": _on_log(counts.top_ips),
         "top_requests": _on_log(counts.top_requests),
+        "top_ips_by_first": _on_log(lambda log: counts.top_ips(log, position="event_id")),
+        "top_requests_by_first": _on_log(lambda log: counts.top_requests(log, 50, position="event_id")),
         "avg_size_by_status": _on_log(counts.avg_size_by_status),
         "avg_size_by_status_raw": _on_log(
             lambda log: counts.avg_size_by_status(log, keep_malformed=True), anchored=False
@@ -246,6 +258,7 @@ def log_queries() -> dict[str, Query]:
         "volume_15m": _on_times(lambda log: volume.volume(log, "15m")),
         "volume_1h": _on_times(lambda log: volume.volume(log, "1h")),
         "access_report": _on_log(report.report_table),
+        "access_report_by_first": _on_log(lambda log: report.report_table(log, 25, position="event_id")),
         "summary_report": _on_log(report.summary_table),
         "slice_volume": _slice("volume"),
         "slice_status_share": _slice("status_share"),

@@ -14,15 +14,17 @@ from clftally.operators.parse import parse_access_log, parse_timestamps, valid_l
 from clftally.operators.volume import hourly_volume, time_bounds, time_slice, volume
 from clftally.session import configure, get_session
 from clftally.sources.parsed import read_parsed, write_parsed
-from clftally.sources.text import chunk_lines, scan_lines, stream_lines
+from clftally.sources.text import chunk_lines, chunk_lines_in_order, number_lines, scan_lines, stream_lines
 
 __all__ = [
     "avg_size_by_status",
     "chunk_lines",
+    "chunk_lines_in_order",
     "configure",
     "get_session",
     "hourly_volume",
     "ip_counts",
+    "number_lines",
     "parse_access_log",
     "parse_quality",
     "parse_timestamps",

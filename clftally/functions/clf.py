@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed value: the stamp format, as read after `instant` has brought a stamp into shape.
-STAMP_FORMAT = "d/MMM/yyyy:HH:mm:ss Z"
+STAMP_FORMAT = "d/MMM/yyyy:H:m:s Z"
 
 # A record in a form that takes linear time on lines that do not match: words and the stamp are never given back
 # once matched. A shorter word or a later end of the stamp cannot help, since the word is followed by a space and
@@ -31,9 +31,14 @@ _AT_START = "^" + _RECORD
 _IN_STRETCH = r"[^\s\x{85}\x{2028}\x{2029}]++ "
 _ANYWHERE = rf"(?<!\S)(?:({_RECORD})|(?={_FRAME})(?:.* (?={_IN_STRETCH}{_IN_STRETCH}\S)|\S++))"
 
-# Stamps that can be read: a day of one or two digits, and no offset or one with or without a colon.
-_STAMP = r"^\d{1,2}/\p{Alpha}{3}/\d{4}:\d\d:\d\d:\d\d(?: [+-]\d\d:?\d\d)?$"
-_STAMP_WITHOUT_OFFSET = len("08/Nov/2025:00:00:01")
+# The usual stamps, which are read as they are.
+_USUAL_STAMP = r"^\d{1,2}/\p{Alpha}{3}/\d{4}:\d\d:\d\d:\d\d [+-](?:0\d|1[0-7])[0-5]\d$"
+# All stamps that can be read: a clock whose parts have one digit or two, and no offset, a `Z`, or hours, minutes and
+# perhaps seconds, with or without colons. The groups are the clock, and the sign and parts of the offset.
+_STAMP = (
+    r"^((?: ?\d|\d\d)/\p{Alpha}{3}/\d{4}:\d{1,2}:\d{1,2}:\d{1,2})"
+    r"(?:\s+(?:Z|([+-])([01]\d|2[0-3]):?([0-5]\d)(?::?([0-5]\d))?))?$"
+)
 
 _STAMP_END = '] "'
 # Length of the text around the size at the end of a record: `" `, three digits, a space.
@@ -93,12 +98,14 @@ def size_in_bytes(text: Column) -> Column:
 def instant(stamp: Column) -> Column:
     """Log stamp to timestamp; NULL when it cannot be read.
 
-    A stamp without an offset is taken as UTC. Each shape is brought into one form, so that a single parse serves
-    all. A failing parse is slow, so stamps of another shape are not tried.
+    A stamp without an offset is taken as UTC. A usual stamp is parsed as it is; of any other its clock is, and the
+    offset is taken off. A failing parse is slow, so stamps of another shape are not tried.
     """
-    with_offset = (
-        F.when(F.length(stamp) <= _STAMP_WITHOUT_OFFSET, F.concat(stamp, F.lit(" +0000")))
-        .when(F.substring(stamp, -3, 1) == ":", F.concat(F.substring(stamp, 1, F.length(stamp) - 3), F.right(stamp, F.lit(2))))
-        .otherwise(stamp)
-    )
-    return F.try_to_timestamp(F.when(stamp.rlike(_STAMP), with_offset), F.lit(STAMP_FORMAT))
+    part = lambda n: F.regexp_extract(stamp, _STAMP, n)
+    number = lambda n: F.coalesce(part(n).try_cast("int"), F.lit(0))
+    usual = stamp.rlike(_USUAL_STAMP)
+    clock = F.concat(F.ltrim(part(1)), F.lit(" +0000"))
+    sign = F.when(part(2) == "-", -1).otherwise(1)
+    offset = F.when(usual, 0).otherwise(sign * (number(3) * 3600 + number(4) * 60 + number(5)))
+    read = F.try_to_timestamp(F.when(usual, stamp).when(stamp.rlike(_STAMP), clock), F.lit(STAMP_FORMAT))
+    return F.timestamp_add("SECOND", -offset, read)

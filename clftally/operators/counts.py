@@ -56,14 +56,34 @@ def request_counts(parsed: DataFrame, keep_malformed: bool = False) -> DataFrame
     return count_by(parsed, "request", keep_malformed).orderBy(F.desc("count"), "request")
 
 
-def top_ips(parsed: DataFrame, n: int = 10, keep_malformed: bool = False) -> DataFrame:
-    """The ``n`` most frequent client addresses; ties by address."""
-    return ip_counts(parsed, keep_malformed).limit(n)
+def top_ips(
+    parsed: DataFrame, n: int = 10, keep_malformed: bool = False, position: str | None = None
+) -> DataFrame:
+    """The ``n`` most frequent client addresses; ties by address, or see `top_by`."""
+    return top_by(parsed, "ip", n, keep_malformed, position)
+
+
+def top_requests(
+    parsed: DataFrame, n: int = 10, keep_malformed: bool = False, position: str | None = None
+) -> DataFrame:
+    """The ``n`` most frequent request lines; ties by request, or see `top_by`."""
+    return top_by(parsed, "request", n, keep_malformed, position)
 
 
-def top_requests(parsed: DataFrame, n: int = 10, keep_malformed: bool = False) -> DataFrame:
-    """The ``n`` most frequent request lines; ties by request."""
-    return request_counts(parsed, keep_malformed).limit(n)
+def top_by(
+    parsed: DataFrame, key: str, n: int = 10, keep_malformed: bool = False, position: str | None = None
+) -> DataFrame:
+    """The ``n`` most frequent keys; ties by key, or by first occurrence if ``position`` names a column.
+
+    ``position`` orders the rows, such as the ``line_number`` of `number_lines`. The least one of each key goes through
+    the partial aggregation with its count, and each task still keeps ``n`` rows. Keys that have no position come last.
+    """
+    if position is None:
+        return count_by(parsed, key, keep_malformed).orderBy(F.desc("count"), key).limit(n)
+    counted = keep_valid(parsed, keep_malformed).groupBy(key).agg(
+        F.count("*").alias("count"), F.min(position).alias("_first")
+    )
+    return counted.orderBy(F.desc("count"), F.asc_nulls_last("_first"), key).limit(n).select(key, "count")
 
 
 def mean_size() -> Column:

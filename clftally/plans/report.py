@@ -25,32 +25,37 @@ def report(
     top_n: int = 10,
     sections: Sequence[str] = ("status_counts", "top_ips", "top_requests"),
     keep_malformed: bool = False,
+    position: str | None = None,
 ) -> dict[str, DataFrame]:
     """The named sections as separate tables, none of them computed yet.
 
-    Each table is its own job. Give it a stored table (`read_parsed`) to parse only once, or use
+    ``position`` names a column by which ties in top lists go by first occurrence. Each table is its own job. Give it a stored table (`read_parsed`) to parse only once, or use
     `report_table`, which needs one pass over any input.
     """
     available = {
         "status_counts": lambda: counts.status_counts(parsed, keep_malformed, by_count=True),
-        "top_ips": lambda: counts.top_ips(parsed, top_n, keep_malformed),
-        "top_requests": lambda: counts.top_requests(parsed, top_n, keep_malformed),
+        "top_ips": lambda: counts.top_ips(parsed, top_n, keep_malformed, position),
+        "top_requests": lambda: counts.top_requests(parsed, top_n, keep_malformed, position),
         "ip_counts": lambda: counts.ip_counts(parsed, keep_malformed),
         "avg_sizes": lambda: counts.avg_size_by_status(parsed, keep_malformed),
     }
     return _named_sections(available, sections)
 
 
-def section_counts(parsed: DataFrame, keep_malformed: bool = False) -> DataFrame:
+def section_counts(parsed: DataFrame, keep_malformed: bool = False, position: str | None = None) -> DataFrame:
     """Counts by status, by address and by request line in one pass: ``(section, key, count)``.
 
-    Each row becomes one pair per section, and the pairs are counted before the shuffle. Works on a
+    With ``position``, a column that orders the rows, also ``first``, the least one of each key. Each row becomes one pair per section, and the pairs are counted before the shuffle. Works on a
     stream too, where it reads the source once for all three.
     """
     pairs = F.array(
         *[F.struct(F.lit(name).alias("section"), F.col(name).cast("string").alias("key")) for name in KEYS]
     )
-    return keep_valid(parsed, keep_malformed).select(F.inline(pairs)).groupBy("section", "key").count()
+    kept = keep_valid(parsed, keep_malformed)
+    if position is None:
+        return kept.select(F.inline(pairs)).groupBy("section", "key").count()
+    grouped = kept.select(F.col(position).alias("_position"), F.inline(pairs)).groupBy("section", "key")
+    return grouped.agg(F.count("*").alias("count"), F.min("_position").alias("first"))
 
 
 def top_of_sections(sections: DataFrame, top_n: int = 10) -> DataFrame:
@@ -59,20 +64,27 @@ def top_of_sections(sections: DataFrame, top_n: int = 10) -> DataFrame:
     Ranking takes two steps. The keys of a section are dealt by hash into `_GROUPS` groups, and each group keeps its
     ``top_n``; then those are ranked together. So no task sees more keys of a section than a share of them, or
     ``top_n`` from each group, however large ``top_n`` is. A status is a group of its own, so all of them rank first.
+    Ties go by ``first`` where there is such a column, else by key.
     """
+    ties = [F.asc_nulls_last("first"), F.col("key")] if "first" in sections.columns else [F.col("key")]
     group = F.when(F.col("section") == "status", F.col("key"))
-    first = F.desc("count"), F.col("key")
+    first = F.desc("count"), *ties
     in_group = Window.partitionBy("section", group, F.pmod(F.xxhash64("key"), F.lit(_GROUPS))).orderBy(*first)
     in_section = Window.partitionBy("section", group).orderBy(*first)
     ranked = sections
     for order in (in_group, in_section):
         ranked = ranked.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top_n).drop("place")
-    return ranked.orderBy("section", F.desc("count"), "key")
+    return ranked.orderBy("section", *first)
 
 
-def report_table(parsed: DataFrame, top_n: int = 10, keep_malformed: bool = False) -> DataFrame:
-    """Status counts, top addresses and top requests as one table, from one pass over the rows."""
-    return top_of_sections(section_counts(parsed, keep_malformed), top_n)
+def report_table(
+    parsed: DataFrame, top_n: int = 10, keep_malformed: bool = False, position: str | None = None
+) -> DataFrame:
+    """Status counts, top addresses and top requests as one table, from one pass over the rows.
+
+    With ``position`` ties go by first occurrence, which ``first`` shows.
+    """
+    return top_of_sections(section_counts(parsed, keep_malformed, position), top_n)
 
 
 def summary_table(parsed: DataFrame, keep_malformed: bool = False) -> DataFrame:

@@ -2,7 +2,7 @@
 
 The given tables hold no web log. Each event becomes one line whose fields follow from the event; fixed
 remainders of the event id give lines that are hard to parse: comments, empty lines, shifted or missing
-offsets, offsets with a colon, days of one digit, unreadable stamps, odd sizes.
+offsets, offsets with a colon, with seconds or as a `Z`, days and hours of one digit, unreadable stamps, odd sizes.
 """
 
 from __future__ import annotations
@@ -19,9 +19,13 @@ CASE event_id % 100
     ' - ', if(user_id % 3 = 0, concat('u', user_id), '-'),
     ' [',
     if(event_id % 50 = 11, 'bad-stamp',
-       concat(if(event_id % 50 = 17, date_format(ts, 'd/MMM/yyyy:HH:mm:ss'),
-                 date_format(ts, 'dd/MMM/yyyy:HH:mm:ss')),
-              CASE event_id % 50 WHEN 7 THEN '' WHEN 9 THEN ' +0530' WHEN 13 THEN ' +05:30' ELSE ' +0000' END)),
+       concat(CASE event_id % 50
+                WHEN 17 THEN date_format(ts, 'd/MMM/yyyy:HH:mm:ss')
+                WHEN 19 THEN date_format(ts, 'd/MMM/yyyy:H:m:s')
+                ELSE date_format(ts, 'dd/MMM/yyyy:HH:mm:ss') END,
+              CASE event_id % 50
+                WHEN 7 THEN '' WHEN 9 THEN ' +0530' WHEN 13 THEN ' +05:30'
+                WHEN 23 THEN ' Z' WHEN 29 THEN ' -053015' WHEN 31 THEN '  +20:45:07' ELSE ' +0000' END)),
     '] "', if(event_type IN ('signup', 'purchase'), 'POST', 'GET'),
     ' /', event_type, '/', event_id % 20, ' HTTP/1.1" ',
     CASE event_type

@@ -8,9 +8,11 @@ fields AS (
   SELECT event_id,
     '10.0.' || (user_id // 256) || '.' || (user_id % 256) AS ip,
     CASE WHEN user_id % 3 = 0 THEN 'u' || user_id ELSE '-' END AS usr,
-    CASE WHEN event_id % 50 = 17 THEN strftime(ts, '%-d/%b/%Y:%H:%M:%S')
+    CASE event_id % 50 WHEN 17 THEN strftime(ts, '%-d/%b/%Y:%H:%M:%S')
+         WHEN 19 THEN strftime(ts, '%-d/%b/%Y:%-H:%-M:%-S')
          ELSE strftime(ts, '%d/%b/%Y:%H:%M:%S') END
-      || CASE event_id % 50 WHEN 7 THEN '' WHEN 9 THEN ' +0530' WHEN 13 THEN ' +05:30' ELSE ' +0000' END AS clock,
+      || CASE event_id % 50 WHEN 7 THEN '' WHEN 9 THEN ' +0530' WHEN 13 THEN ' +05:30'
+         WHEN 23 THEN ' Z' WHEN 29 THEN ' -053015' WHEN 31 THEN '  +20:45:07' ELSE ' +0000' END AS clock,
     CASE WHEN event_type IN ('signup', 'purchase') THEN 'POST' ELSE 'GET' END AS method,
     event_type,
     CASE WHEN event_type = 'error' AND event_id % 2 = 0 THEN '500'
@@ -56,8 +58,11 @@ matched AS (
 log AS (
   SELECT event_id, value, ok, coalesce(m.ip, '') AS ip, coalesce(m.client, '') AS client,
     coalesce(m."user", '') AS "user", coalesce(m.ts_raw, '') AS ts_raw,
-    coalesce(try_strptime(m.ts_raw, '%d/%b/%Y:%H:%M:%S %z') AT TIME ZONE 'UTC',
-             try_strptime(m.ts_raw, '%d/%b/%Y:%H:%M:%S')) AS ts,
+    try_strptime(string_split(m.ts_raw, ' ')[1], '%d/%b/%Y:%H:%M:%S')
+      - to_seconds(CASE WHEN regexp_matches(m.ts_raw, '[+-][0-9:]+$') THEN
+          CASE WHEN contains(m.ts_raw, ' -') THEN -1 ELSE 1 END * list_dot_product(
+            list_resize(list_transform(regexp_extract_all(replace(regexp_extract(m.ts_raw, '[+-]([0-9:]+)$', 1), ':', ''), '..'),
+              lambda part: CAST(part AS DOUBLE)), 3, 0.0), [3600.0, 60.0, 1.0]) ELSE 0 END) AS ts,
     coalesce(m.request, '') AS request,
     try_cast(m.status AS INTEGER) AS status,
     CASE WHEN m.size = '-' THEN 0
@@ -151,6 +156,26 @@ def _sections(where: str, anchored: bool, top: int | None, keys=("status", "ip",
     )
 
 
+def _by_first(key: str, top: int) -> str:
+    return _on_log(
+        f'SELECT {key}, count(*) AS "count" FROM log WHERE ok GROUP BY {key} '
+        f"ORDER BY count(*) DESC, min(event_id), {key} LIMIT {top}"
+    )
+
+
+def _report_by_first(top: int) -> str:
+    counted = ",\ncounted AS (" + " UNION ALL ".join(
+        f"SELECT '{key}' AS section, CAST({key} AS VARCHAR) AS key, count(*) AS \"count\", min(event_id) AS first "
+        f"FROM log WHERE ok GROUP BY {key}"
+        for key in ("status", "ip", "request")
+    ) + ")"
+    return _on_log(
+        'SELECT section, key, "count", first FROM counted QUALIFY section = \'status\' '
+        f'OR row_number() OVER (PARTITION BY section ORDER BY "count" DESC, first, key) <= {top}',
+        extra=counted,
+    )
+
+
 def _summary(where: str) -> str:
     rows = " UNION ALL ".join(
         f"SELECT '{section}' AS section, CAST({key} AS VARCHAR) AS key, count(*) AS \"count\", "
@@ -175,7 +200,7 @@ hours AS (SELECT date_trunc('hour', ts) AS hour, count(*) AS n FROM log WHERE ts
     )
 
 
-def build(slice_start: str, slice_end: str, lateness: str) -> dict[str, str]:
+def build(slice_start: str, slice_end: str, lateness: str, lines_per_chunk: int) -> dict[str, str]:
     """SQL text per query name; the slice bounds are UTC times, both included."""
     within = f"ts BETWEEN TIMESTAMP '{slice_start}' AND TIMESTAMP '{slice_end}'"
     quality = (
@@ -186,6 +211,10 @@ def build(slice_start: str, slice_end: str, lateness: str) -> dict[str, str]:
     return {
         "scan_lines": _on_lines("SELECT value FROM clf"),
         "chunk_lines": _on_lines("SELECT value FROM clf"),
+        "chunk_lines_in_order": _on_lines(
+            f"SELECT n AS line_number, n // {lines_per_chunk} AS file_number, n % {lines_per_chunk} AS line_in_file, value "
+            "FROM (SELECT row_number() OVER (ORDER BY event_id) - 1 AS n, value FROM clf)"
+        ),
         "parse_access_log": _on_log(f"SELECT {_COLUMNS} FROM log"),
         "parse_access_log_find": _on_log(f"SELECT {_COLUMNS} FROM log", anchored=False),
         "parsed_table": _on_log(
@@ -206,6 +235,8 @@ def build(slice_start: str, slice_end: str, lateness: str) -> dict[str, str]:
         "request_counts_raw": _counts("request", "true", anchored=False),
         "top_ips": _counts("ip", top=10),
         "top_requests": _counts("request", top=10),
+        "top_ips_by_first": _by_first("ip", 10),
+        "top_requests_by_first": _by_first("request", 50),
         "avg_size_by_status": _mean_size("ok"),
         "avg_size_by_status_raw": _mean_size("true", anchored=False),
         "time_bounds": _on_log("SELECT min(ts) AS first_ts, max(ts) AS last_ts FROM log"),
@@ -216,6 +247,7 @@ def build(slice_start: str, slice_end: str, lateness: str) -> dict[str, str]:
         "volume_15m": _volume("15 minutes"),
         "volume_1h": _volume("1 hour"),
         "access_report": _sections("ok", True, 10),
+        "access_report_by_first": _report_by_first(25),
         "summary_report": _summary("ok"),
         "slice_volume": _volume("5 minutes", within),
         "slice_status_share": _share(within),

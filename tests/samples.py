@@ -4,25 +4,24 @@
 PATTERN = r'(\S+) (\S+) (\S+) \[(.*?)\] "(.*?)" (\d{3}) (\S+)'
 GROUPS = ("ip", "client", "user", "ts_raw", "request", "status", "size")
 
-STAMP = "[08/Nov/2025:00:00:{:02d} +0000]"
+STAMP = "[17/Mar/2031:21:40:{:02d} +0000]"
 
-# Twelve lines: ten records, an empty line and a comment.
+# Eleven lines: nine records, an empty line and a remark.
 RECORDS = [
-    ("127.0.0.1", 1, "GET /index.html HTTP/1.1", 200, 1024),
-    ("127.0.0.2", 2, "GET /about.html HTTP/1.1", 200, 2048),
-    ("127.0.0.3", 3, "GET /contact.html HTTP/1.1", 404, 512),
-    ("127.0.0.4", 4, "POST /api/login HTTP/1.1", 500, 64),
-    ("127.0.0.1", 5, "GET /index.html HTTP/1.1", 200, 1024),
-    ("127.0.0.2", 6, "GET /products HTTP/1.1", 200, 1536),
-    ("127.0.0.3", 7, "GET /missing HTTP/1.1", 404, 0),
-    ("127.0.0.5", 8, "GET /index.html HTTP/1.1", 200, 1024),
-    ("127.0.0.1", 9, "GET /index.html HTTP/1.1", 200, 1024),
-    ("127.0.0.6", 10, "GET /dashboard HTTP/1.1", 302, 128),
+    ("198.51.100.7", 14, "GET /maps/tile?z=3 HTTP/1.1", 206, 900),
+    ("198.51.100.9", 15, "PUT /notes/41 HTTP/2", 204, 0),
+    ("198.51.100.7", 15, "GET /maps/tile?z=3 HTTP/1.1", 206, 300),
+    ("203.0.113.20", 21, "GET /feed.xml HTTP/1.0", 304, 12),
+    ("198.51.100.9", 22, "DELETE /notes/40 HTTP/2", 403, 77),
+    ("198.51.100.7", 30, "GET /maps/tile?z=3 HTTP/1.1", 206, 1500),
+    ("192.0.2.133", 31, "GET /notes/41 HTTP/2", 206, 45),
+    ("203.0.113.20", 44, "GET /feed.xml HTTP/1.0", 304, 18),
+    ("198.51.100.7", 59, "HEAD /health HTTP/1.1", 503, 5),
 ]
 LINES = [
     f'{ip} - - {STAMP.format(second)} "{request}" {status} {size}'
     for ip, second, request, status, size in RECORDS
-] + ["", "# a comment"]
+] + ["", "# a remark"]
 
 
 def line(

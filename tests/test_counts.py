@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+from collections import Counter
+
 import pytest
 
 from clftally import (
@@ -21,8 +24,9 @@ from clftally.plans.report import (
     slice_report,
 )
 from tests.samples import LINES, line, rows
+from tests.test_plans import plan_of
 
-INDEX = "GET /index.html HTTP/1.1"
+TILE, FEED = "GET /maps/tile?z=3 HTTP/1.1", "GET /feed.xml HTTP/1.0"
 
 
 @pytest.fixture(scope="module")
@@ -33,39 +37,56 @@ def sample(spark):
 
 
 def test_status_counts(sample):
-    assert rows(status_counts(sample)) == [(200, 6), (302, 1), (404, 2), (500, 1)]
-    assert rows(status_counts(sample, by_count=True)) == [(200, 6), (404, 2), (302, 1), (500, 1)]
-    assert rows(status_counts(sample, keep_malformed=True, by_count=True)) == [
-        (200, 6), (None, 2), (404, 2), (302, 1), (500, 1),
-    ]
+    assert rows(status_counts(sample)) == [(204, 1), (206, 4), (304, 2), (403, 1), (503, 1)]
+    by_count = [(206, 4), (304, 2), (204, 1), (403, 1), (503, 1)]
+    assert rows(status_counts(sample, by_count=True)) == by_count
+    with_malformed = [by_count[0], (None, 2), *by_count[1:]]
+    assert rows(status_counts(sample, keep_malformed=True, by_count=True)) == with_malformed
 
 
 def test_status_share(sample):
     share = status_share(sample)
-    assert rows(share) == [
-        (200, "200", 6, 60.0, "60.0%", 1.0),
-        (302, "302", 1, 10.0, "10.0%", 10 / 60),
-        (404, "404", 2, 20.0, "20.0%", 20 / 60),
-        (500, "500", 1, 10.0, "10.0%", 10 / 60),
-    ]
+    counted = [(204, 1), (206, 4), (304, 2), (403, 1), (503, 1)]
+    label = {1: "11.1%", 2: "22.2%", 4: "44.4%"}
+    got = [(r.status, r.status_label, r["count"], r.percent_label) for r in share.collect()]
+    assert got == [(status, str(status), n, label[n]) for status, n in counted]
+    assert [r.percent for r in share.collect()] == pytest.approx([n / 9 * 100 for _, n in counted])
+    assert [r.scale for r in share.collect()] == pytest.approx([n / 4 for _, n in counted])
     assert dict(share.dtypes)["percent"] == "double"
     assert sum(row["percent"] for row in share.collect()) == pytest.approx(100)
 
 
 def test_ip_and_request_counts_with_ties_by_key(sample):
-    ips = [(f"127.0.0.{n}", count) for n, count in zip("123456", (3, 2, 2, 1, 1, 1))]
+    ips = [("198.51.100.7", 4), ("198.51.100.9", 2), ("203.0.113.20", 2), ("192.0.2.133", 1)]
     assert rows(ip_counts(sample)) == ips
     assert rows(ip_counts(sample, keep_malformed=True)) == [ips[0], ("", 2), *ips[1:]]
-    assert rows(top_ips(sample, 4)) == ips[:4]
+    assert rows(top_ips(sample, 3)) == ips[:3]
     requests = rows(request_counts(sample))
-    assert requests[0] == (INDEX, 4)
-    assert requests[1:] == sorted(requests[1:]) and {n for _, n in requests[1:]} == {1}
+    assert requests[:2] == [(TILE, 3), (FEED, 2)]
+    assert requests[2:] == sorted(requests[2:]) and [n for _, n in requests[2:]] == [1] * 4
     assert rows(top_requests(sample, 3)) == requests[:3]
-    assert rows(top_requests(sample, 2, keep_malformed=True)) == [(INDEX, 4), ("", 2)]
+    assert rows(top_requests(sample, 3, keep_malformed=True)) == [(TILE, 3), ("", 2), (FEED, 2)]
+
+
+def test_ties_by_first_occurrence(spark):
+    """Like Python's ``Counter.most_common``, which lists equal counts as they first came."""
+    pick = random.Random(7)
+    keys = [f"10.0.0.{pick.randrange(60)}" for _ in range(400)]
+    log = spark.createDataFrame([(i, line(ip=ip, request=f"GET /{ip} HTTP/1.1", status=str(200 + i % 7))) for i, ip in enumerate(keys)], "line_number long, value string")
+    parsed = parse_access_log(log.repartition(5, "value"))
+    want = Counter(keys).most_common(25)
+    assert rows(top_ips(parsed, 25, position="line_number")) == want
+    assert rows(top_requests(parsed, 25, position="line_number")) == [(f"GET /{ip} HTTP/1.1", n) for ip, n in want]
+    assert rows(report(parsed, 25, ("top_ips",), position="line_number")["top_ips"]) == want
+    table = report_table(parsed, 25, position="line_number")
+    assert rows(table.filter("section = 'ip'").select("key", "count", "first")) == [(ip, n, keys.index(ip)) for ip, n in want]
+    statuses = Counter(200 + i % 7 for i in range(400)).most_common()
+    assert rows(table.filter("section = 'status'").select("key", "count")) == [(str(k), n) for k, n in statuses]
+    assert "TakeOrderedAndProject" in plan_of(top_ips(parsed, 25, position="line_number"))
 
 
 def test_mean_size(sample):
-    valid = [(200, 1280.0), (404, 256.0), (302, 128.0), (500, 64.0)]
+    valid = [(206, 686.25), (403, 77.0), (304, 15.0), (503, 5.0), (204, 0.0)]
     assert rows(avg_size_by_status(sample)) == valid
     assert rows(avg_size_by_status(sample, keep_malformed=True)) == [*valid, (None, None)]
 
@@ -76,7 +97,7 @@ def test_unknown_sizes_do_not_count_and_dash_counts_as_zero(lines_of):
 
 
 def test_quality(sample, lines_of):
-    assert rows(parse_quality(sample)) == [(12, 10, 10, 10, 10)]
+    assert rows(parse_quality(sample)) == [(11, 9, 9, 9, 9)]
     odd = [line(stamp="x"), line(size="x"), line(), "junk", ""]
     assert rows(parse_quality(parse_access_log(lines_of(odd)))) == [(5, 3, 2, 3, 2)]
     assert rows(parse_quality(parse_access_log(lines_of([])))) == [(0, 0, 0, 0, 0)]
@@ -92,7 +113,7 @@ def test_report_tables(sample):
     tables = report(sample, top_n=2)
     assert list(tables) == ["status_counts", "top_ips", "top_requests"]
     assert rows(tables["status_counts"]) == rows(status_counts(sample, by_count=True))
-    assert rows(tables["top_ips"]) == [("127.0.0.1", 3), ("127.0.0.2", 2)]
+    assert rows(tables["top_ips"]) == [("198.51.100.7", 4), ("198.51.100.9", 2)]
     tables = report(
         sample, sections=("status_counts", "ip_counts", "avg_sizes"), keep_malformed=True
     )
@@ -116,7 +137,7 @@ def test_report_in_one_pass_equals_the_separate_tables(sample):
         ]
         assert got == want
     sections = section_counts(sample).groupBy("section").sum("count")
-    assert sorted(rows(sections)) == [("ip", 10), ("request", 10), ("status", 10)]
+    assert sorted(rows(sections)) == [("ip", 9), ("request", 9), ("status", 9)]
 
 
 def test_more_statuses_than_the_top_lists_are_long(lines_of):
@@ -130,13 +151,13 @@ def test_more_statuses_than_the_top_lists_are_long(lines_of):
 def test_slice_report(sample):
     whole = slice_report(sample)
     assert list(whole) == ["volume", "status_share", "top_ips", "top_requests"]
-    assert [row["requests"] for row in whole["volume"].collect()] == [10]
-    part = slice_report(sample, "2025-11-08 00:00:02", "2025-11-08T00:00:04+00:00", top_n=1)
-    assert rows(part["status_share"].select("status", "count")) == [(200, 1), (404, 1), (500, 1)]
-    assert rows(part["top_ips"]) == [("127.0.0.2", 1)]
+    assert [row["requests"] for row in whole["volume"].collect()] == [9]
+    part = slice_report(sample, "2031-03-17 21:40:15", "2031-03-17T21:40:21+00:00", top_n=1)
+    assert rows(part["status_share"].select("status", "count")) == [(204, 1), (206, 1), (304, 1)]
+    assert rows(part["top_ips"]) == [("198.51.100.7", 1)]
 
 
 def test_sql_on_the_view(spark, sample):
     register_view(sample, "access_log_test")
     query = "SELECT ip, count(*) AS n FROM access_log_test WHERE ok GROUP BY ip ORDER BY n DESC LIMIT 1"
-    assert rows(spark.sql(query)) == [("127.0.0.1", 3)]
+    assert rows(spark.sql(query)) == [("198.51.100.7", 4)]

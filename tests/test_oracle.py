@@ -11,7 +11,7 @@ import oracle
 
 SF = "/root/testdata/sf0.001"
 QUERIES = registry.log_queries()
-SQL = oracle.build(*registry.SLICE, registry.LATENESS)
+SQL = oracle.build(*registry.SLICE, registry.LATENESS, registry.LINES_PER_CHUNK)
 KINDS = {
     "bigint": "BIGINT",
     "int": "INTEGER",

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from clftally import (
     chunk_lines,
+    chunk_lines_in_order,
+    number_lines,
     parse_access_log,
     read_parsed,
     scan_lines,
@@ -55,6 +57,50 @@ def test_every_partition_is_chunked_on_its_own(spark, tmp_path):
     assert sum(sizes) == 1000 and max(sizes) <= 100 and len(sizes) == 12
 
 
+def chunks(folder):
+    return [path.read_text().splitlines() for path in sorted(folder.glob("part-*")) if path.stat().st_size]
+
+
+@pytest.mark.parametrize("total, per_file", [(0, 10), (1, 10), (2000, 100), (12_345, 7), (9_999, 10_000)])
+def test_chunks_in_order_are_full_across_splits(spark, tmp_path, total, per_file):
+    """All files but the last have the same number of lines, and their names sort in the order of the lines."""
+    want = [f"line {i}" for i in range(total)]
+    lines = spark.range(total, numPartitions=7).select(F.col("id").alias("n"), F.format_string("line %d", "id").alias("value"))
+    chunk_lines_in_order(lines, str(tmp_path / "as_they_come"), per_file)
+    chunk_lines_in_order(lines.orderBy(F.rand(1)), str(tmp_path / "sorted"), per_file, order=["n"])
+    for folder in ("as_they_come", "sorted"):
+        texts = chunks(tmp_path / folder)
+        assert sum(texts, []) == want
+        assert [len(text) for text in texts] == [per_file] * (total // per_file) + [total % per_file] * (total % per_file > 0)
+
+
+def test_lines_are_numbered_across_files_and_splits(spark, tmp_path):
+    """Any number of splits per file and of files per task gives the same numbers."""
+    texts = {"b.log": 3000, "a.log": 1, "c.log": 0, "d.log": 999}
+    for name, number in texts.items():
+        (tmp_path / name).write_text("".join(f"{name} {i}" + "\r\n" * (i % 2) + "\n" * (1 - i % 2) for i in range(number)))
+    want = [(n, f, i, f"{name} {i}") for n, (f, name, i) in enumerate((f, name, i) for f, name in enumerate(("a.log", "b.log", "d.log")) for i in range(texts[name]))]
+    sizes = {"spark.sql.files.maxPartitionBytes": ["700", "20000", "128m"], "spark.sql.files.openCostInBytes": ["1", "1", "4m"]}
+    try:
+        for i in range(3):
+            for key, values in sizes.items():
+                spark.conf.set(key, values[i])
+            numbered = number_lines(spark, str(tmp_path))
+            assert sorted(rows(numbered)) == want
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        chunk_lines_in_order(number_lines(spark, str(tmp_path)), str(tmp_path / "out"), 64)
+    finally:
+        for key in sizes:
+            spark.conf.unset(key)
+    assert sum(chunks(tmp_path / "out"), []) == [value for *_, value in want]
+
+
+def test_ordered_chunks_need_lines(spark, lines_of, tmp_path):
+    for bad in (None, "a\nb", "a\rb"):
+        with pytest.raises(Exception, match="chunks need text"):
+            chunk_lines_in_order(lines_of(["x", bad]), str(tmp_path / "chunks"), 1)
+
+
 @pytest.mark.parametrize("rebalance", [True, False])
 def test_parsed_table_round_trip(spark, lines_of, tmp_path, rebalance):
     texts = LINES + [line(stamp="31/Dec/2024:23:59:59 -0100"), line(stamp="bad")]
@@ -64,7 +110,7 @@ def test_parsed_table_round_trip(spark, lines_of, tmp_path, rebalance):
     table = read_parsed(spark, path)
     assert sorted(rows(table.drop("day")), key=repr) == sorted(rows(parsed), key=repr)
     days = rows(table.groupBy("day").count().orderBy("day"))
-    assert days == [(None, 3), (dt.date(2025, 1, 1), 1), (dt.date(2025, 11, 8), 10)]
+    assert days == [(None, 3), (dt.date(2025, 1, 1), 1), (dt.date(2031, 3, 17), 9)]
     assert rows(status_counts(table)) == rows(status_counts(parsed))
 
 
