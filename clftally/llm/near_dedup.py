@@ -158,7 +158,11 @@ def verified_parts(keyed: DataFrame, text: str, threshold: float) -> DataFrame:
     sketched = common.checkpointed(sketched)
     members = sketched.select(F.col("_node").alias("v"), F.explode("bands").alias("band"))
     heads = members.groupBy("band").agg(F.min("v").alias("u"), F.count("*").alias("size")).filter("size > 1")
-    stars = members.join(heads, "band").filter("u <> v").select("u", "v").distinct()
+    # A text hangs on the least of its bands' heads only, and its other heads on that one: what its bands connect
+    # stays connected, by one link per text and one per pair of heads, of which many texts have the same.
+    hung = members.join(heads, "band").groupBy("v").agg(F.min("u").alias("u"), F.collect_set("u").alias("heads"))
+    links = F.explode(F.concat(F.array("v"), F.col("heads"))).alias("v")
+    stars = hung.select("u", links).filter("u <> v").distinct()
     families = components(stars)
     links = _family_links(keyed, text, families, sketched, threshold)
     return components(links)
