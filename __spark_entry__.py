@@ -19,7 +19,7 @@ from clftally import configure  # noqa: E402
 from clftally.operators import counts, parse, volume  # noqa: E402
 from clftally.plans import report  # noqa: E402
 from clftally.sources import event_lines, parsed as parsed_table, shared, text  # noqa: E402
-from clftally.streaming import jobs, results  # noqa: E402
+from clftally.streaming import jobs, results, tables  # noqa: E402
 
 try:
     from clftally.llm import registry as llm  # noqa: E402
@@ -98,6 +98,34 @@ def _stream_closed_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.run_appending(spark, hours, shared.fresh_folder(spark, "stream"), STREAM_TIMEOUT)
 
 
+def _stream_closed_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buckets of 5 minutes, with the empty ones, that no line in time can still change."""
+    filled = results.closed_volume(_parsed_stream(spark, sf_dir, with_time=True), LATENESS)
+    return jobs.run_appending(spark, filled, shared.fresh_folder(spark, "stream"), STREAM_TIMEOUT)
+
+
+def _stream_parsed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per day and status of the table that a stream of text files fills."""
+    feed, folder = _write_chunks(configure(spark), sf_dir), shared.fresh_folder(spark, "table")
+    try:
+        stream = text.stream_lines(spark, feed, max_files_per_trigger=FILES_PER_BATCH)
+        query = tables.start_parsed_table(parse.parse_access_log(stream), folder)
+        if not jobs.await_and_stop([query], STREAM_TIMEOUT):
+            raise TimeoutError("the stream did not finish")
+    finally:
+        shared.remove_folder(spark, feed)
+    return _days_and_statuses(tables.read_table(spark, folder))
+
+
+def _stream_sql_top_ips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SQL text on the view of a running result."""
+    running = results.running_ip_counts(_parsed_stream(spark, sf_dir))
+    query = jobs.start_running_counts(running, shared.fresh_folder(spark, "stream"), ["ip"], view="running_ips")
+    if not jobs.await_and_stop([query], STREAM_TIMEOUT):
+        raise TimeoutError("the stream did not finish")
+    return spark.sql("SELECT ip, count FROM running_ips ORDER BY count DESC, ip LIMIT 10")
+
+
 def _parsed_stream(spark: SparkSession, sf_dir: str, with_time: bool = False) -> DataFrame:
     lines = event_lines.as_log_lines(event_lines.stream_events(configure(spark), sf_dir))
     return parse.parse_access_log(lines, anchored=False, with_time=with_time)
@@ -141,14 +169,13 @@ def _parsed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows per day and status, from the parsed log stored as a table."""
     folder = shared.fresh_folder(spark, "table")
     parsed_table.write_parsed(parse.parse_access_log(_lines(spark, sf_dir)), folder)
+    return _days_and_statuses(parsed_table.read_parsed(spark, folder))
+
+
+def _days_and_statuses(table: DataFrame) -> DataFrame:
+    grouped = table.groupBy("day", "status")
     return _without_zone(
-        parsed_table.read_parsed(spark, folder)
-        .groupBy("day", "status")
-        .agg(
-            F.count("*").alias("count"),
-            F.min("ts").alias("first_ts"),
-            F.max("ts").alias("last_ts"),
-        )
+        grouped.agg(F.count("*").alias("count"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
     )
 
 
@@ -282,6 +309,9 @@ def log_queries() -> dict[str, Query]:
         ),
         "stream_top_lists": _stream_top_lists,
         "stream_closed_hours": _stream_closed_hours,
+        "stream_closed_volume": _stream_closed_volume,
+        "stream_parsed_table": _stream_parsed_table,
+        "stream_sql_top_ips": _stream_sql_top_ips,
         "stream_access_report": _on_stream_counts(
             results.running_sections, ["section", "key"], report.top_of_sections
         ),

@@ -16,10 +16,10 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterable, Mapping, Sequence
 
-from pyspark.errors import PySparkException
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 AVAILABLE_NOW = {"availableNow": True}
 
@@ -32,20 +32,29 @@ _POLL = 0.2
 
 
 def start_running_result(
-    result: DataFrame, folder: str, name: str | None = None, trigger: Mapping = AVAILABLE_NOW
+    result: DataFrame, folder: str, name: str | None = None, trigger: Mapping = AVAILABLE_NOW, view: str | None = None
 ) -> StreamingQuery:
-    """Start a complete-mode query whose current result `read_result` returns."""
+    """Start a complete-mode query whose current result `read_result` returns.
+
+    A ``view`` of that name is bound anew after each micro-batch, so SQL text on it follows the query.
+    """
     place = lambda number: f"{folder}/result/place={number}"
+    # A batch comes with a session of its own, whose views nobody else sees.
+    session = result.sparkSession
 
     def save(batch: DataFrame, batch_id: int) -> None:
         number = batch_id % (KEPT + 1)
         batch.write.mode("overwrite").parquet(place(number))
-        _note(batch.sparkSession, f"{folder}/done", batch_id, number)
+        note(batch.sparkSession, f"{folder}/done", batch_id, number)
+        if view:
+            bind_view(session, folder, view)
 
-    if _noted(result.sparkSession, f"{folder}/done") is None:
+    if noted(result.sparkSession, f"{folder}/done") is None:
         # Before the first batch the result is empty.
         _empty(result).write.mode("overwrite").parquet(place("empty"))
-        _note(result.sparkSession, f"{folder}/done", -1, "empty")
+        note(result.sparkSession, f"{folder}/done", -1, "empty")
+    if view:
+        bind_view(session, folder, view)
     return _writer(result, folder, name, trigger).outputMode("complete").foreachBatch(save).start()
 
 
@@ -56,23 +65,29 @@ def start_running_counts(
     name: str | None = None,
     trigger: Mapping = AVAILABLE_NOW,
     compact_every: int = COMPACT_EVERY,
+    view: str | None = None,
 ) -> StreamingQuery:
-    """Start an update-mode query whose current result `read_counts` returns.
+    """Start an update-mode query whose current result `read_counts` returns, and a ``view`` with that name if given.
 
     ``keys`` are the columns the result is grouped by. Each batch writes the keys it changed and no others.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        base = _noted(spark, f"{folder}/base-done")
+        base = noted(spark, f"{folder}/base-done")
         batch.write.mode("overwrite").parquet(_changes(folder, base.number + 1 if base else 0, batch_id))
-        _note(spark, f"{folder}/done", batch_id, batch_id)
+        note(spark, f"{folder}/done", batch_id, batch_id)
         if (batch_id + 1) % compact_every == 0:
             compact(spark, folder, keys)
+        if view:
+            bind_view(session, folder, view, keys)
 
-    if _noted(result.sparkSession, f"{folder}/done") is None:
+    session = result.sparkSession
+    if noted(result.sparkSession, f"{folder}/done") is None:
         _empty(result).write.mode("overwrite").parquet(_changes(folder, 0, -1))
-        _note(result.sparkSession, f"{folder}/done", -1, -1)
+        note(result.sparkSession, f"{folder}/done", -1, -1)
+    if view:
+        bind_view(session, folder, view, keys)
     return _writer(result, folder, name, trigger).outputMode("update").foreachBatch(save).start()
 
 
@@ -105,7 +120,7 @@ def read_result(spark: SparkSession, folder: str) -> DataFrame:
 
     It can be read until `KEPT` more batches have run.
     """
-    last = _noted(spark, f"{folder}/done")
+    last = noted(spark, f"{folder}/done")
     if last is None:
         raise ValueError(f"no query has been started in {folder}")
     return spark.read.parquet(f"{folder}/result/place={last.number}")
@@ -116,7 +131,7 @@ def read_counts(spark: SparkSession, folder: str, keys: Sequence[str]) -> DataFr
 
     It can be read until changes have been put together twice more.
     """
-    last, base = _noted(spark, f"{folder}/done"), _noted(spark, f"{folder}/base-done")
+    last, base = noted(spark, f"{folder}/done"), noted(spark, f"{folder}/base-done")
     if last is None:
         raise ValueError(f"no query has been started in {folder}")
     changes = spark.read.parquet(f"{folder}/changes").filter(
@@ -132,16 +147,22 @@ def read_counts(spark: SparkSession, folder: str, keys: Sequence[str]) -> DataFr
     return latest.select(*[F.col(f"_row.{name}") if name in values else name for name in columns])
 
 
+def bind_view(spark: SparkSession, folder: str, view: str, keys: Sequence[str] | None = None) -> None:
+    """Let a view name the result of the last micro-batch that finished; ``keys`` for results kept as changed keys."""
+    current = read_result(spark, folder) if keys is None else read_counts(spark, folder, keys)
+    current.createOrReplaceTempView(view)
+
+
 def compact(spark: SparkSession, folder: str, keys: Sequence[str]) -> None:
     """Put the changes so far together, so that reading does not get slower with every batch.
 
     What has been put together twice is emptied; the rest stays for readers that have begun.
     """
-    last, base = _noted(spark, f"{folder}/done"), _noted(spark, f"{folder}/base-done")
+    last, base = noted(spark, f"{folder}/done"), noted(spark, f"{folder}/base-done")
     number = base.number + 1 if base else 0
     merged = read_counts(spark, folder, keys)
     merged.write.mode("overwrite").parquet(f"{folder}/base/number={number}")
-    _note(spark, f"{folder}/base-done", int(last.batch), number)
+    note(spark, f"{folder}/base-done", int(last.batch), number)
     if number > 1:
         nothing = _empty(merged).withColumn("batch", F.lit(-1))
         cleared = nothing.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("batch")
@@ -185,6 +206,54 @@ def progress(query: StreamingQuery) -> list[dict]:
     ]
 
 
+class ProgressTable(StreamingQueryListener):
+    """Writes what every query of a session reports of each micro-batch, and how it ended, to a table.
+
+    Add it with ``spark.streams.addListener``; `read_progress` reads the table. Each micro-batch has a place of its own,
+    so one that is reported twice is one row.
+    """
+
+    SCHEMA = (
+        "query string, name string, run string, batch long, at string, event string, rows long, "
+        "rows_per_second double, milliseconds long, state_rows long, failure string"
+    )
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        self._write(str(event.id), event.name, str(event.runId), -1, event.timestamp, "started", None, None, None, None, None)
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        self._write(
+            str(p.id), p.name, str(p.runId), p.batchId, p.timestamp, "progress", p.numInputRows, p.processedRowsPerSecond,
+            p.durationMs.get("triggerExecution"), sum(s.numRowsTotal for s in p.stateOperators), None,
+        )
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self._write(str(event.id), None, str(event.runId), -1, None, "ended", None, None, None, None, event.exception)
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def _write(self, *row) -> None:
+        query, run, batch, event = row[0], row[2], row[3], row[5]
+        rows = self.spark.createDataFrame([row], self.SCHEMA)
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/of={query}/in={run}/event={event}-{batch}")
+
+
+def read_progress(spark: SparkSession, folder: str) -> DataFrame:
+    """The table that `ProgressTable` writes: one row per start, micro-batch and end of a query."""
+    try:
+        stored = spark.read.schema(ProgressTable.SCHEMA).option("recursiveFileLookup", True).parquet(folder)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], ProgressTable.SCHEMA)
+    return stored
+
+
 def run(spark: SparkSession, result: DataFrame, folder: str, timeout: float | None = None) -> DataFrame:
     """Run one complete-mode query over all input there is, and return its result."""
     return _run_all(spark, {folder: result}, timeout)[folder]
@@ -245,7 +314,7 @@ def _empty(rows: DataFrame) -> DataFrame:
     return rows.sparkSession.createDataFrame([], rows.schema)
 
 
-def _note(spark: SparkSession, folder: str, batch_id: int, number: int | str) -> None:
+def note(spark: SparkSession, folder: str, batch_id: int, number: int | str) -> None:
     """Say that a batch is complete, and where; notes of even and odd batches do not touch each other."""
     text = spark.createDataFrame([(f"{batch_id} {number}",)], "value string")
     text.coalesce(1).write.mode("overwrite").text(f"{folder}-{batch_id % 2}")
@@ -258,12 +327,14 @@ class _Note:
         self.number = int(number) if number.lstrip("-").isdigit() else number
 
 
-def _noted(spark: SparkSession, folder: str) -> _Note | None:
+def noted(spark: SparkSession, folder: str) -> _Note | None:
     """The last note; one that is just being written is passed over for the one before."""
     found = []
     for turn in (0, 1):
         try:
             found += [_Note(row.value) for row in spark.read.text(f"{folder}-{turn}").collect()]
-        except PySparkException:
-            continue
+        except AnalysisException as missing:
+            # Not there yet. A note that cannot be read for another reason is a failure.
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
     return max(found, key=lambda note: note.batch, default=None)

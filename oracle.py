@@ -156,6 +156,23 @@ def _sections(where: str, anchored: bool, top: int | None, keys=("status", "ip",
     )
 
 
+def _closed_volume(lateness: str) -> str:
+    filled = f""",
+latest AS (SELECT max(ts) - INTERVAL '{lateness}' AS mark FROM log),
+counted AS (
+  SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS bucket, count(*) AS n FROM log WHERE ts IS NOT NULL GROUP BY 1
+),
+series AS (
+  SELECT unnest(generate_series((SELECT min(bucket) FROM counted), mark, INTERVAL 5 MINUTE)) AS bucket, mark FROM latest
+)"""
+    return _on_log(
+        "SELECT bucket, coalesce(n, 0) AS requests FROM series LEFT JOIN counted USING (bucket) "
+        "WHERE bucket + INTERVAL 5 MINUTE <= mark",
+        anchored=False,
+        extra=filled,
+    )
+
+
 def _by_first(key: str, top: int) -> str:
     return _on_log(
         f'SELECT {key}, count(*) AS "count" FROM log WHERE ok GROUP BY {key} '
@@ -207,6 +224,10 @@ def build(slice_start: str, slice_end: str, lateness: str, lines_per_chunk: int)
         "SELECT count(*) AS total_lines, count(*) FILTER (WHERE ok) AS parsed_lines, "
         "count(ts) AS with_timestamp, count(status) AS with_status, count(size) AS with_size FROM log"
     )
+    days_and_statuses = _on_log(
+        "SELECT event_day AS day, status, count(*) AS \"count\", min(ts) AS first_ts, max(ts) AS last_ts "
+        "FROM (SELECT *, CAST(ts AS DATE) AS event_day FROM log) GROUP BY 1, 2"
+    )
     status_any = _counts("status", "true", anchored=False)
     return {
         "scan_lines": _on_lines("SELECT value FROM clf"),
@@ -217,10 +238,7 @@ def build(slice_start: str, slice_end: str, lateness: str, lines_per_chunk: int)
         ),
         "parse_access_log": _on_log(f"SELECT {_COLUMNS} FROM log"),
         "parse_access_log_find": _on_log(f"SELECT {_COLUMNS} FROM log", anchored=False),
-        "parsed_table": _on_log(
-            "SELECT event_day AS day, status, count(*) AS \"count\", min(ts) AS first_ts, max(ts) AS last_ts "
-            "FROM (SELECT *, CAST(ts AS DATE) AS event_day FROM log) GROUP BY 1, 2"
-        ),
+        "parsed_table": days_and_statuses,
         "parse_timestamps": _on_log("SELECT event_id, ts_raw, ts FROM log WHERE ok"),
         "valid_lines": _on_log("SELECT event_id, value FROM log WHERE ok"),
         "time_slice": _on_log(f"SELECT {_COLUMNS} FROM log WHERE {within}"),
@@ -262,6 +280,9 @@ def build(slice_start: str, slice_end: str, lateness: str, lines_per_chunk: int)
         "stream_avg_size": _mean_size("status IS NOT NULL", anchored=False),
         "stream_hourly_volume": _hourly("true", anchored=False),
         "stream_closed_hours": _closed_hours(lateness),
+        "stream_closed_volume": _closed_volume(lateness),
+        "stream_parsed_table": days_and_statuses,
+        "stream_sql_top_ips": _counts("ip", "true", anchored=False, top=10),
         "stream_top_lists": _sections("true", False, 10, ("ip", "request")),
         "stream_access_report": _sections("true", False, 10),
     }

@@ -1,0 +1,189 @@
+"""Streams into tables: filled buckets, the parsed table, SQL on running results, progress."""
+
+from __future__ import annotations
+
+import random
+import time
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import functions as F
+
+from clftally import parse_access_log, read_parsed, stream_lines, time_slice, volume, write_parsed
+from clftally.sources import event_lines
+from clftally.streaming import jobs, results, tables
+from tests.samples import line, rows
+
+START = datetime(2025, 3, 1, 0, 3)
+
+
+def write_feed(lines_of, folder, parts):
+    """Files that a stream reads one by one, in this order."""
+    for part in parts:
+        lines_of(part).coalesce(1).write.mode("append").text(folder)
+        time.sleep(0.02)
+
+
+def stamped(at):
+    return line(stamp=at.strftime("%d/%b/%Y:%H:%M:%S +0000"))
+
+
+@pytest.fixture(scope="module")
+def late_lines():
+    """Lines of two days, bursts and long gaps between them, up to 25 minutes out of order."""
+    pick, at, times = random.Random(11), START, []
+    for _ in range(400):
+        at += timedelta(seconds=pick.choice([1, 20, 300, 900] + [20_000] * (len(times) % 90 == 7)))
+        times.append(at - timedelta(seconds=pick.randrange(1500)))
+    return [stamped(at) for at in times]
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_closed_volume_equals_the_batch_volume(spark, lines_of, tmp_path, late_lines, parts):
+    cut = [late_lines[len(late_lines) * i // parts : len(late_lines) * (i + 1) // parts] for i in range(parts)]
+    write_feed(lines_of, f"{tmp_path}/feed", cut)
+    log = parse_access_log(stream_lines(spark, f"{tmp_path}/feed", 1))
+    got = rows(jobs.run_appending(spark, results.closed_volume(log, "30 minutes"), f"{tmp_path}/query").orderBy("bucket"))
+    whole = parse_access_log(lines_of(late_lines))
+    latest = max(ts for (ts,) in rows(whole.select(F.col("ts").cast("timestamp_ntz"))))
+    want = [r for r in rows(volume(whole, "5m")) if r[0] + timedelta(minutes=35) <= latest]
+    assert got == want and any(n == 0 for _, n in want)
+
+
+def test_empty_buckets_come_with_the_watermark(spark, lines_of, tmp_path):
+    """A line far ahead closes all buckets before it, and a restarted query goes on where it was."""
+    feed, folder, got = f"{tmp_path}/feed", f"{tmp_path}/query", []
+    for minutes in (0, 7, 300, 305, 1000):
+        write_feed(lines_of, feed, [[stamped(START + timedelta(minutes=minutes))]])
+        log = parse_access_log(stream_lines(spark, feed, 1))
+        table = jobs.run_appending(spark, results.closed_volume(log, "10 minutes", "15m"), folder)
+        got.append(rows(table.orderBy("bucket")))
+    assert [len(table) for table in got] == [0, 0, 19, 19, 66]
+    assert got[-1] == [(datetime(2025, 3, 1) + timedelta(minutes=15 * i), {0: 2, 20: 2}.get(i, 0)) for i in range(66)]
+
+
+def table_rows(frame):
+    return sorted(rows(frame.drop("day")), key=repr)
+
+
+@pytest.fixture(scope="module")
+def log_lines(spark):
+    lines = event_lines.as_log_lines(event_lines.read_events(spark, "/root/testdata/sf0.001"))
+    return [value for (value,) in rows(lines.orderBy("event_id").select("value"))]
+
+
+def test_the_stream_fills_the_same_table(spark, lines_of, tmp_path, log_lines):
+    feed, folder = f"{tmp_path}/feed", f"{tmp_path}/table"
+    write_feed(lines_of, feed, [log_lines[i::8] for i in range(8)])
+    query = tables.start_parsed_table(parse_access_log(stream_lines(spark, feed, 1)), folder, compact_every=3)
+    assert jobs.await_and_stop([query])
+    table, whole = tables.read_table(spark, folder), parse_access_log(lines_of(log_lines))
+    assert table_rows(table) == table_rows(whole)
+    write_parsed(whole, f"{tmp_path}/batch")
+    assert table.schema == read_parsed(spark, f"{tmp_path}/batch").schema
+    kinds = rows(tables._rows(spark, folder).groupBy("kind", "number", "batch").count().select("kind", "number", "batch"))
+    assert sorted(kinds) == [("merged", 0, 0), ("merged", 1, 0), ("raw", 2, 6), ("raw", 2, 7)]
+    edges = ("2024-01-10 12:00:00", "2024-01-12 06:00:00")
+    part = time_slice(table, *edges, day="day")
+    assert part.count() == time_slice(whole, *edges).count() > 0
+    days = {name.split("day=")[1].split("/")[0] for (name,) in rows(part.select(F.input_file_name()).distinct())}
+    assert days == {"2024-01-10", "2024-01-11", "2024-01-12"}
+
+
+@pytest.mark.parametrize("fail_at", ["rows", "note", "commit", "merge"])
+def test_a_failed_batch_is_neither_lost_nor_seen_twice(spark, lines_of, tmp_path, monkeypatch, log_lines, fail_at):
+    """The query dies in its fourth batch: before its note, after it, or while batches are put together."""
+    feed, folder = f"{tmp_path}/feed", f"{tmp_path}/table"
+    parts = [log_lines[i::6] for i in range(6)]
+    write_feed(lines_of, feed, parts)
+    start = lambda: tables.start_parsed_table(parse_access_log(stream_lines(spark, feed, 1)), folder, compact_every=4)
+    note, write, compact = jobs.note, tables._write, tables.compact_table
+
+    def failing_note(session, place, batch, number):
+        if batch == 3 and place.endswith("/done") and fail_at == "note":
+            raise RuntimeError("killed")
+        note(session, place, batch, number)
+
+    def failing_write(frame, place, *by):
+        if "batch=3" in place and fail_at == "rows":
+            write(frame.limit(20), place, *by)
+            raise RuntimeError("killed")
+        if "kind=merged" in place and fail_at == "merge":
+            write(frame.limit(20), place, *by)
+            raise RuntimeError("killed")
+        write(frame, place, *by)
+
+    def failing_compact(session, place):
+        compact(session, place)
+        if fail_at == "commit":
+            raise RuntimeError("killed")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(jobs, "note", failing_note)
+        patch.setattr(tables, "_write", failing_write)
+        patch.setattr(tables, "compact_table", failing_compact)
+        with pytest.raises(StreamingQueryException, match="killed"):
+            jobs.await_and_stop([start()])
+    seen = 4 if fail_at in ("commit", "merge") else 3
+    assert table_rows(tables.read_table(spark, folder)) == table_rows(parse_access_log(lines_of(sum(parts[:seen], []))))
+    assert jobs.await_and_stop([start()])
+    assert table_rows(tables.read_table(spark, folder)) == table_rows(parse_access_log(lines_of(log_lines)))
+
+
+def test_table_before_the_first_batch(spark, lines_of, tmp_path):
+    with pytest.raises(ValueError, match="no query"):
+        tables.read_table(spark, f"{tmp_path}/table")
+    write_feed(lines_of, f"{tmp_path}/feed", [[]])
+    query = tables.start_parsed_table(parse_access_log(stream_lines(spark, f"{tmp_path}/feed")), f"{tmp_path}/table")
+    assert jobs.await_and_stop([query]) and rows(tables.read_table(spark, f"{tmp_path}/table")) == []
+    tables.compact_table(spark, f"{tmp_path}/table")
+
+
+@pytest.mark.parametrize("kind", ["result", "counts"])
+def test_sql_follows_a_running_result(spark, lines_of, tmp_path, kind):
+    """The same SQL text gives the state after the last batch, while the query runs and after it."""
+    feed, folder, view = f"{tmp_path}/feed", f"{tmp_path}/query", f"running_{kind}"
+    write_feed(lines_of, feed, [[line()] * 2])
+    running = results.running_ip_counts(parse_access_log(stream_lines(spark, feed)))
+    often = {"processingTime": "0 seconds"}
+    if kind == "result":
+        query = jobs.start_running_result(running, folder, trigger=often, view=view)
+    else:
+        query = jobs.start_running_counts(running, folder, ["ip"], trigger=often, view=view, compact_every=2)
+    ask = lambda: rows(spark.sql(f"SELECT ip, count FROM {view} WHERE count > 1 ORDER BY ip"))
+    try:
+        query.processAllAvailable()
+        assert ask() == [("1.1.1.1", 2)]
+        for n in range(3):
+            write_feed(lines_of, feed, [[line(), line(ip="2.2.2.2")]])
+            query.processAllAvailable()
+            assert ask() == [("1.1.1.1", 3 + n)] + [("2.2.2.2", 1 + n)] * (n > 0)
+    finally:
+        query.stop()
+    assert ask() == [("1.1.1.1", 5), ("2.2.2.2", 3)]
+
+
+def test_progress_is_a_table_that_survives_the_query(spark, lines_of, tmp_path):
+    feed, folder = f"{tmp_path}/feed", f"{tmp_path}/progress"
+    assert rows(jobs.read_progress(spark, folder)) == []
+    write_feed(lines_of, feed, [[line()] * n for n in (3, 4, 5)])
+    listener = jobs.ProgressTable(spark, folder)
+    spark.streams.addListener(listener)
+    try:
+        counts = results.running_ip_counts(parse_access_log(stream_lines(spark, feed, 1)))
+        assert jobs.await_and_stop([jobs.start_running_result(counts, f"{tmp_path}/query", name="counted")])
+        broken = counts.select(F.raise_error(F.lit("broken")).alias("ip"))
+        with pytest.raises(StreamingQueryException):
+            jobs.await_and_stop([jobs.start_running_result(broken, f"{tmp_path}/broken", name="broken")])
+        deadline = time.monotonic() + 60
+        while jobs.read_progress(spark, folder).filter("event = 'ended'").count() < 2:
+            assert time.monotonic() < deadline
+            time.sleep(0.5)
+    finally:
+        spark.streams.removeListener(listener)
+    seen = jobs.read_progress(spark, folder)
+    done = seen.filter("event = 'progress' AND name = 'counted' AND rows > 0").orderBy("batch")
+    assert rows(done.select("batch", "rows", "state_rows")) == [(0, 3, 1), (1, 4, 1), (2, 5, 1)]
+    ended = rows(seen.filter("event = 'ended'").select(F.col("failure").contains("broken")))
+    assert sorted(ended, key=repr) == [(None,), (True,)]
