@@ -101,11 +101,13 @@ def instant(stamp: Column) -> Column:
     A stamp without an offset is taken as UTC. A usual stamp is parsed as it is; of any other its clock is, and the
     offset is taken off. A failing parse is slow, so stamps of another shape are not tried.
     """
-    part = lambda n: F.regexp_extract(stamp, _STAMP, n)
-    number = lambda n: F.coalesce(part(n).try_cast("int"), F.lit(0))
     usual = stamp.rlike(_USUAL_STAMP)
-    clock = F.concat(F.ltrim(part(1)), F.lit(" +0000"))
-    sign = F.when(part(2) == "-", -1).otherwise(1)
-    offset = F.when(usual, 0).otherwise(sign * (number(3) * 3600 + number(4) * 60 + number(5)))
+    # The clock, and the offset as a sign and up to six digits.
+    shape = F.regexp_replace(stamp, _STAMP, r"$1|$2$3$4$5")
+    clock = F.concat(F.ltrim(F.substring_index(shape, "|", 1)), F.lit(" +0000"))
+    shift = F.substring_index(shape, "|", -1)
+    number = lambda at: F.coalesce(F.substring(shift, at, 2).try_cast("int"), F.lit(0))
+    seconds = number(2) * 3600 + number(4) * 60 + number(6)
+    offset = F.when(usual, 0).when(shift.startswith("-"), -seconds).otherwise(seconds)
     read = F.try_to_timestamp(F.when(usual, stamp).when(stamp.rlike(_STAMP), clock), F.lit(STAMP_FORMAT))
     return F.timestamp_add("SECOND", -offset, read)

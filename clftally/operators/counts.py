@@ -33,6 +33,7 @@ def status_share(parsed: DataFrame) -> DataFrame:
     """
     everything = Window.partitionBy()
     counts = count_by(parsed.filter(F.col("status").isNotNull()), "status", keep_malformed=True)
+    quarters = F.col("percent") * 4
     share = counts.withColumn(
         "percent", F.col("count") / F.sum("count").over(everything) * 100
     ).withColumn("scale", F.col("percent") / F.max("percent").over(everything))
@@ -41,7 +42,8 @@ def status_share(parsed: DataFrame) -> DataFrame:
         F.col("status").cast("string").alias("status_label"),
         "count",
         "percent",
-        F.format_string("%.1f%%", "percent").alias("percent_label"),
+        # Halves that a double holds exactly go to the even digit.
+        F.format_string("%.1f%%", F.when(quarters == F.floor(quarters), F.bround("percent", 1)).otherwise(F.col("percent"))).alias("percent_label"),
         "scale",
     ).orderBy("status")
 

@@ -56,6 +56,13 @@ def test_status_share(sample):
     assert sum(row["percent"] for row in share.collect()) == pytest.approx(100)
 
 
+def test_labels_round_halves_to_even(lines_of):
+    """As formatting does elsewhere: 6.25 % is 6.2 %, 18.75 % is 18.8 %."""
+    texts = [line(status=status) for status, n in (("200", 12), ("404", 1), ("500", 3)) for _ in range(n)]
+    got = {r.status: r.percent_label for r in status_share(parse_access_log(lines_of(texts))).collect()}
+    assert got == {200: "75.0%", 404: f"{6.25:.1f}%", 500: f"{18.75:.1f}%"} == {200: "75.0%", 404: "6.2%", 500: "18.8%"}
+
+
 def test_ip_and_request_counts_with_ties_by_key(sample):
     ips = [("198.51.100.7", 4), ("198.51.100.9", 2), ("203.0.113.20", 2), ("192.0.2.133", 1)]
     assert rows(ip_counts(sample)) == ips

@@ -53,7 +53,7 @@ def test_only_aggregated_rows_meet_in_one_partition(plans, name):
             assert "HashAggregate" in lines[place + 1], plans[name]
 
 
-@pytest.mark.parametrize("name", [name for name in BATCH if name not in ("scan_lines", "chunk_lines", "parsed_table", "valid_lines")])
+@pytest.mark.parametrize("name", [name for name in BATCH if name not in ("scan_lines", "chunk_lines", "chunk_lines_in_order", "parsed_table", "valid_lines")])
 def test_a_line_is_matched_once(plans, name):
     """The pattern runs in one generator; filters and projections use what it gives."""
     scans = plans[name].count("FileScan")
