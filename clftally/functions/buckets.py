@@ -1,7 +1,8 @@
 """Column expressions for time buckets.
 
-Buckets are computed on epoch seconds, so they do not depend on the session time zone. A zone argument
-shifts the instant to that zone's wall clock first; bucket starts are wall-clock times without a zone.
+Buckets are computed on epoch seconds, so they do not depend on the session time zone. A zone argument aligns them
+with that zone's wall clock. They stay stretches of real time: an hour that the clock shows twice is two buckets, one
+that it skips is none, and a change of the offset within a bucket cuts it in two.
 """
 
 from __future__ import annotations
@@ -26,15 +27,30 @@ def width_of(bucket: str) -> int:
 
 
 def start_second(ts: Column, width: int, zone: str = "UTC") -> Column:
-    """Start of the bucket that holds ``ts``, in seconds; left-closed and left-labelled."""
-    wall = ts if zone == "UTC" else F.from_utc_timestamp(ts, zone)
-    second = F.unix_seconds(wall)
-    return second - F.pmod(second, F.lit(width).cast("bigint"))
+    """Instant at which the bucket that holds ``ts`` starts, in seconds; left-closed and left-labelled."""
+    return start_of(F.unix_seconds(ts), width, zone)
 
 
-def wall_clock(second: Column) -> Column:
-    """Seconds since 1970 as a timestamp without a zone."""
-    return F.timestamp_add("SECOND", second, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+def start_of(second: Column, width: int, zone: str = "UTC") -> Column:
+    """The same for an instant given in seconds since 1970."""
+    if zone == "UTC":
+        return second - F.pmod(second, F.lit(width).cast("bigint"))
+    offset = offset_at(second, zone)
+    start = second - F.pmod(second + offset, F.lit(width).cast("bigint"))
+    # Only where the offset changed since the start of the bucket, which no change by whole buckets does.
+    since = F.filter(F.sequence(start, second), lambda at: offset_at(at, zone) == offset)
+    return F.when(offset_at(start, zone) == offset, start).otherwise(F.array_min(since))
+
+
+def offset_at(second: Column, zone: str) -> Column:
+    """Seconds by which the wall clock of a zone is ahead of UTC at an instant."""
+    return F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds(second), zone)) - second
+
+
+def wall_clock(second: Column, zone: str = "UTC") -> Column:
+    """What the clock of a zone shows at an instant, as a timestamp without a zone."""
+    shown = second if zone == "UTC" else second + offset_at(second, zone)
+    return F.timestamp_add("SECOND", shown, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
 
 
 def utc_day(ts: Column) -> Column:

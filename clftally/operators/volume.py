@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clftally.functions import buckets
+from clftally.operators.parse import evaluate_once
 
 # Buckets per block when the gaps are filled; see `volume`.
 _BLOCK = 4096
@@ -18,23 +19,30 @@ def hourly_counts(
 ) -> DataFrame:
     """Requests per hour that has any, unsorted.
 
-    ``keep_malformed`` keeps the group of rows without an instant, as a NULL hour.
+    ``keep_malformed`` keeps the group of rows without an instant, as a NULL hour. In a zone other than UTC ``offset``
+    follows, the seconds that its clock is ahead of UTC, which tells apart an hour that the clock shows twice.
     """
+    return _hourly_counts(parsed, keep_malformed, zone).drop("_start")
+
+
+def _hourly_counts(parsed: DataFrame, keep_malformed: bool, zone: str) -> DataFrame:
     rows = parsed if keep_malformed else parsed.filter(F.col("ts").isNotNull())
     counts = rows.groupBy(buckets.start_second(F.col("ts"), 3600, zone).alias("_start")).count()
-    hour = buckets.wall_clock(F.col("_start"))
+    hour = buckets.wall_clock(F.col("_start"), zone)
     return counts.select(
+        "_start",
         hour.alias("hour"),
         F.date_format(hour, "yyyy-MM-dd HH:mm:ss").alias("hour_str"),
         "count",
+        *_offset(zone),
     )
 
 
 def hourly_volume(
     parsed: DataFrame, keep_malformed: bool = False, zone: str = "UTC"
 ) -> DataFrame:
-    """Requests per hour that has any, in time order."""
-    return hourly_counts(parsed, keep_malformed, zone).orderBy("hour")
+    """Requests per hour that has any, in time order; columns as in `hourly_counts`."""
+    return _hourly_counts(parsed, keep_malformed, zone).orderBy("_start").drop("_start")
 
 
 def volume(
@@ -44,7 +52,8 @@ def volume(
 
     With ``fill_gaps`` every bucket from the first to the last appears, empty ones with 0. The full
     series is made in two steps, blocks of buckets and then the buckets of each block, so no task holds
-    more than one block however far apart the first and last instants are.
+    more than one block however far apart the first and last instants are. In a zone other than UTC ``offset``
+    follows, as in `hourly_counts`.
     """
     width = buckets.width_of(bucket)
     counts = (
@@ -54,12 +63,12 @@ def volume(
         .filter(F.col("_start").isNotNull())
     )
     if fill_gaps:
-        series = _every_bucket(counts, width)
+        series = _every_bucket(counts, width, zone)
         counts = series.join(counts, "_start", "left").select(
             "_start", F.coalesce("requests", F.lit(0).cast("bigint")).alias("requests")
         )
     return counts.orderBy("_start").select(
-        buckets.wall_clock(F.col("_start")).alias("bucket"), "requests"
+        buckets.wall_clock(F.col("_start"), zone).alias("bucket"), "requests", *_offset(zone)
     )
 
 
@@ -92,9 +101,16 @@ def time_slice(
     return rows
 
 
-def _every_bucket(counts: DataFrame, width: int) -> DataFrame:
+def _offset(zone: str) -> list[Column]:
+    return [] if zone == "UTC" else [buckets.offset_at(F.col("_start"), zone).alias("offset")]
+
+
+def _every_bucket(counts: DataFrame, width: int, zone: str) -> DataFrame:
     """All bucket starts between the first and the last of ``counts``.
 
+    They are found from instants that are ``width`` apart. No bucket is longer, so each has one of them, but for those
+    that a change of the offset cut short: there the two buckets before are looked up as well.
+
     The bounds also use the counts, which are never negative: this keeps both uses of ``counts`` the
     same query, so Spark runs it once and reuses its shuffle.
     """
@@ -104,10 +120,20 @@ def _every_bucket(counts: DataFrame, width: int) -> DataFrame:
         F.min("_start").alias("lo"), F.max("_start").alias("hi"), F.sum("requests").alias("total")
     ).filter(F.col("total") > 0)
     blocks = bounds.select(
-        "lo", "hi", F.explode(F.sequence(block_of(F.col("lo")), block_of(F.col("hi")))).alias("block")
+        "lo", "hi", F.explode(F.sequence(block_of(F.col("lo")), block_of(F.col("hi") + width - 1))).alias("block")
     ).repartition("block")
-    first = F.greatest("lo", F.col("block") * span)
-    last = F.least("hi", F.col("block") * span + (span - width))
-    return blocks.select(
-        F.explode(F.sequence(first, last, F.lit(width).cast("bigint"))).alias("_start")
+    step = F.lit(width).cast("bigint")
+    grid = lambda second: second - F.pmod(second, step)
+    first = F.greatest(grid(F.col("lo")), F.col("block") * span)
+    last = F.least(grid(F.col("hi") + width - 1), F.col("block") * span + (span - width))
+    marks = blocks.select("lo", "hi", F.explode(F.sequence(first, last, step)).alias("_start"))
+    if zone == "UTC":
+        return marks.select("_start")
+    start_of = lambda second: buckets.start_of(second, width, zone)
+    rows = evaluate_once(marks, start_of(F.col("_start")), "_at").withColumn("_before", start_of(F.col("_start") - width))
+    rows = evaluate_once(rows, start_of(F.col("_at") - 1), "_cut")
+    cut_short = F.array_distinct(F.array("_at", "_cut", start_of(F.col("_cut") - 1)))
+    new = F.when(F.col("_at") - F.col("_before") == width, F.array("_at")).otherwise(
+        F.filter(cut_short, lambda at: at > F.col("_before"))
     )
+    return rows.select("lo", "hi", F.explode(new).alias("_start")).filter("_start BETWEEN lo AND hi").select("_start")
