@@ -15,9 +15,6 @@ from clftally.operators.parse import evaluate_once
 
 # A line on so many sites is boilerplate.
 MIN_SITES = 10
-# A document that would lose more of its characters than this share is a copy rather than a page with
-# boilerplate, and stays as it is; copies are for document deduplication.
-MAX_SHARE = 0.5
 # Sketch size as a power of two. The standard error of an estimate is 1.04 / sqrt(2^12) = 1.6 %; estimates within
 # six of those, or within one, of the threshold are checked.
 LOG_SIZE = 12
@@ -33,23 +30,20 @@ def drop_shared_lines(
     text: str = "text",
     site: str = "source",
     min_sites: int = MIN_SITES,
-    max_share: float = MAX_SHARE,
-    once_per_text: bool = False,
 ) -> DataFrame:
     """Take the shared lines out of the text; adds ``n_lines`` and ``n_removed``, and keeps all rows and columns.
 
-    A document that would lose more than ``max_share`` of its characters stays as it is; with 1 all shared lines go.
-    With ``once_per_text`` equal texts count for the least of their sites only, so copies of one text on many sites
-    do not make its lines shared.
+    All of them go, whatever part of a document they are. Equal texts count for the least of their sites only, so
+    copies of one text on many sites do not make its lines shared; they are for document deduplication.
 
     Lines end at a line feed and are compared without blanks at their ends. Lines without a word are neither counted
     nor removed. A NULL site is a site like any other. A NULL text stays NULL and has no lines. Equal rows are
     treated alike. Input columns named like new ones are replaced.
     """
-    shared = common.checkpointed(shared_lines(docs, text, site, min_sites, once_per_text))
+    shared = common.checkpointed(shared_lines(docs, text, site, min_sites))
     salted = shared.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     places = (
-        _occurrences(docs, text, F.lit(None))
+        _occurrences(docs, text)
         .withColumn("_salt", F.pmod("_ta", F.lit(SALTS)).cast("int"))
         .join(salted, ["_a", "_b", "_salt"])
         .groupBy("_ta", "_tb")
@@ -59,26 +53,33 @@ def drop_shared_lines(
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     rows = docs.select(*names, key["a"].alias("_ta"), key["b"].alias("_tb")).join(places, ["_ta", "_tb"], "left")
     rows = evaluate_once(rows, F.split(text, "\n"), "_lines")
-    rows = evaluate_once(rows, F.array_join(_left_over(), "\n"), "_kept_text")
-    lost = F.length(text) - F.length("_kept_text")
-    cut = F.coalesce(lost <= F.length(text) * max_share, F.lit(False)) & F.col("_places").isNotNull()
+    cut = F.col("_places").isNotNull()
     counted = F.size(F.filter("_lines", _has_word))
     return rows.select(
-        *[F.when(cut, F.col("_kept_text")).otherwise(F.col(c)).alias(c) if c == text else c for c in names],
+        *[F.when(cut, F.array_join(_left_over(), "\n")).otherwise(F.col(c)).alias(c) if c == text else c for c in names],
         F.when(F.col(text).isNull(), F.lit(0)).otherwise(counted).cast("bigint").alias("n_lines"),
         F.when(cut, F.size("_places")).otherwise(0).cast("bigint").alias("n_removed"),
     )
 
 
-def shared_lines(
-    docs: DataFrame, text: str, site: str, min_sites: int, once_per_text: bool = False
-) -> DataFrame:
-    """Keys of the lines that occur on ``min_sites`` sites or more."""
+def shared_lines(docs: DataFrame, text: str, site: str, min_sites: int) -> DataFrame:
+    """Keys of the lines that occur on ``min_sites`` sites or more, each text being on the least of its sites."""
     name = F.coalesce(F.concat(F.lit("0"), F.col(site).cast("string")), F.lit("1"))
-    lines = _occurrences(docs, text, name)
-    if once_per_text:
-        lines = lines.groupBy("_a", "_b", "_ta", "_tb").agg(F.min("_site").alias("_site"))
-    lines = lines.select("_a", "_b", "_site")
+    whole = common.content_key(F.col(text))
+    bare = F.transform(F.filter(F.split(text, "\n"), _has_word), lambda line: F.btrim(line, F.lit(_TRIMMED)))
+    # The keys of a text's lines in one value, so that each text meets its copies as one row.
+    lines = (
+        docs.select(
+            name.alias("_site"),
+            whole["a"].alias("_ta"),
+            whole["b"].alias("_tb"),
+            F.array_distinct(F.transform(bare, common.content_key)).alias("_keys"),
+        )
+        .groupBy("_ta", "_tb")
+        .agg(F.min("_site").alias("_site"), F.any_value("_keys").alias("_keys"))
+        .select("_site", F.explode("_keys").alias("_key"))
+        .select(F.col("_key.a").alias("_a"), F.col("_key.b").alias("_b"), "_site")
+    )
     sketched = lines.groupBy("_a", "_b").agg(F.hll_sketch_agg("_site", LOG_SIZE).alias("_sketch"))
     margin = max(1.0, BAND * min_sites)
     estimated = common.checkpointed(
@@ -99,17 +100,16 @@ def shared_lines(
     return sure.unionByName(exact).select("_a", "_b")
 
 
-def _occurrences(docs: DataFrame, text: str, site: Column) -> DataFrame:
-    """One row per line with a word: its key, its place in its text, the text's key, the site."""
+def _occurrences(docs: DataFrame, text: str) -> DataFrame:
+    """One row per line with a word: its key, its place in its text, the text's key."""
     whole = common.content_key(F.col(text))
     lines = docs.select(
-        site.alias("_site"),
         whole["a"].alias("_ta"),
         whole["b"].alias("_tb"),
         F.posexplode(F.split(text, "\n")).alias("_pos", "_line"),
     ).filter(_has_word(F.col("_line")))
     key = common.content_key(F.btrim("_line", F.lit(_TRIMMED)))
-    return lines.select("_site", "_ta", "_tb", "_pos", key["a"].alias("_a"), key["b"].alias("_b"))
+    return lines.select("_ta", "_tb", "_pos", key["a"].alias("_a"), key["b"].alias("_b"))
 
 
 def _has_word(line: Column) -> Column:
@@ -133,24 +133,16 @@ lines AS (
   FROM docs
 ),
 trimmed AS (SELECT *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM lines),
-shared AS (
-  SELECT bare FROM trimmed WHERE bare <> ''
-  GROUP BY bare
-  HAVING count(DISTINCT coalesce('0' || source, '1')) >= {MIN_SITES}
-),
+single AS (SELECT text, bare, min(coalesce('0' || source, '1')) AS site FROM trimmed WHERE bare <> '' GROUP BY text, bare),
+shared AS (SELECT bare FROM single GROUP BY bare HAVING count(DISTINCT site) >= {MIN_SITES}),
 marked AS (SELECT t.*, t.bare IN (SELECT bare FROM shared) AS gone FROM trimmed t),
 rebuilt AS (
-  SELECT row, count(*) FILTER (WHERE bare <> '') AS n_lines, count(*) FILTER (WHERE gone) AS n_gone,
+  SELECT row, count(*) FILTER (WHERE bare <> '') AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
     coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '') AS left_over
   FROM marked GROUP BY row
-),
-decided AS (
-  SELECT d.doc_id, d.text, coalesce(n_lines, 0) AS n_lines, left_over, n_gone,
-    coalesce(length(d.text) - length(left_over) <= length(d.text) * {MAX_SHARE}, false) AS cut
-  FROM docs d LEFT JOIN rebuilt USING (row)
 )
-SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines,
-  CAST(CASE WHEN cut THEN n_gone ELSE 0 END AS BIGINT) AS n_removed,
-  sha256(CASE WHEN cut AND n_gone > 0 THEN left_over ELSE text END) AS text_sha256
-FROM decided
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines,
+  CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  sha256(CASE WHEN n_removed > 0 THEN left_over ELSE text END) AS text_sha256
+FROM docs d LEFT JOIN rebuilt USING (row)
 """
