@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -37,6 +37,8 @@ NAME_WEIGHTS = {
     "password": 1.0,
     "passwd": 1.0,
     "passphrase": 1.0,
+    "mnemonic": 1.0,
+    "seed words": 1.0,
     "pwd": 0.9,
     "secret": 1.0,
     "token": 0.9,
@@ -58,8 +60,9 @@ NAME_WEIGHTS = {
 # Texts that stand where a secret would.
 PLACEHOLDERS = ("changeme", "change_me", "example", "placeholder", "your", "xxxx", "****", "todo", "dummy", "redacted")
 MIN_VALUE_CHARS = 6
-# Bits of a literal, by the frequencies of its characters, that count in full.
+# Bits of a literal, by the frequencies of its characters, that count in full, under a name of half the weight.
 FULL_BITS = 60
+MIN_PHRASE_WORDS = 3
 MIN_SCORE = 0.45
 
 _OPERATOR = re.compile(r"(?<![=!<>:])(?::=|=>|\+=|=(?![=~])|:(?!:))")
@@ -73,6 +76,12 @@ _REFERENCE = re.compile(r"\$\{\s*([A-Za-z_][\w.\-]*)\s*\}|\{\{\s*([A-Za-z_][\w.\
 _NAME = re.compile(r"[A-Za-z_$][\w$]*(?:[.\-][\w$]+)*", re.ASCII)
 _BARE = re.compile(r"""[^\s"'`,;=:(){}\[\]<>]+={0,2}""")
 _JOIN = re.compile(r"[ \t]*(?:\+|\.(?=[ \t]*[\"'$]))\s*|[ \t]+(?=[\"'])")
+_PHRASE_NAME = re.compile(r"phrase|mnemonic|seed[_\-. ]?words", re.IGNORECASE)
+_PHRASE_WORD = re.compile(r"[^\W_]+(?:['-][^\W_]+)*")
+_PATH_START = re.compile(r"~?/|\.{1,2}/")
+# Words of one case with a short number at most, between marks.
+_PLAIN = re.compile(r"[._\-]*(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)[0-9]{0,3}(?:[._\-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)[0-9]{0,3})*")
+_DOTTED = re.compile(r"[._]")
 _NAME_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_$.-")
 
 Span = tuple[str, int, int, float]
@@ -104,21 +113,22 @@ class Assignments:
             if names:
                 self._read_value(names, operator.end())
 
-    def reaching(self) -> dict[tuple[int, int], set[str]]:
-        """Each literal with all the names it ends up in."""
-        found = defaultdict(set)
-        for target in set(self.literals) | set(self.sources):
-            if name_weight(target) == 0:
-                continue
-            seen, stack = {target}, [target]
+    def reaching(self, names: Iterable[str]) -> dict[tuple[int, int], str]:
+        """Each literal that ends up in one of the names, with the first of these.
+
+        A name is looked at once, from the first that leads to it, so this takes time in step with the text.
+        """
+        found, seen = {}, set()
+        for target in names:
+            stack = [target]
             while stack:
                 name = stack.pop()
+                if name in seen:
+                    continue
+                seen.add(name)
                 for span in self.literals.get(name, ()):
-                    found[span].add(target)
-                for other in self.sources.get(name, ()):
-                    if other not in seen:
-                        seen.add(other)
-                        stack.append(other)
+                    found.setdefault(span, target)
+                stack.extend(self.sources.get(name, ()))
         return found
 
     def _names_before(self, end: int) -> list[str]:
@@ -193,17 +203,40 @@ def name_weight(name: str) -> float:
     return max(last, 0.5 * best)
 
 
-def value_quality(value: str) -> float:
-    """How much a literal looks like a secret, from 0 to 1."""
+def value_quality(value: str, weight: float = 0.5, phrase: bool = False, quoted: bool = True) -> float:
+    """How much a literal looks like a secret, from 0 to 1.
+
+    Under names that tell much (``weight``) fewer bits are asked of literals with letters and digits, but not of those
+    without quotes that read as a name. Blanks are for literals of names that ask for a ``phrase`` of words.
+    """
     lowered = value.lower()
-    if len(value) < MIN_VALUE_CHARS or any(c.isspace() for c in value) or any(p in lowered for p in PLACEHOLDERS):
+    if len(value) < MIN_VALUE_CHARS or any(p in lowered for p in PLACEHOLDERS):
+        return 0.0
+    if any(c.isspace() for c in value) and not (phrase and _is_phrase(value)):
         return 0.0
-    if _REFERENCE.search(value) or lowered.startswith(("http:", "https:", "/", "./", "../", "<")):
+    if _REFERENCE.search(value) or lowered.startswith(("http:", "https:", "<")) or _is_path(value):
         return 0.0
     counts, length = Counter(value), len(value)
     bits = sum(n * math.log2(length / n) for n in counts.values())
+    mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
+    asked = FULL_BITS * (1.5 - weight) if mixed and (quoted or not _DOTTED.search(value)) else FULL_BITS
     # A lone word without digits or marks is rather a word than a secret.
-    return min(1.0, bits / FULL_BITS) * (0.5 if value.isalpha() else 1.0)
+    return min(1.0, bits / min(asked, FULL_BITS)) * (0.5 if value.isalpha() else 1.0)
+
+
+def _is_phrase(value: str) -> bool:
+    """Some words between single blanks, none of which tells of a secret, as in a prompt."""
+    words = value.split(" ")
+    return len(words) >= MIN_PHRASE_WORDS and all(_PHRASE_WORD.fullmatch(w) and not name_weight(w) for w in words)
+
+
+def _is_path(value: str) -> bool:
+    """Starts like a path, and plain words make up half of it or more."""
+    if not _PATH_START.match(value):
+        return False
+    segments = [segment for segment in value.split("/") if segment]
+    plain = sum(len(segment) for segment in segments if _PLAIN.fullmatch(segment))
+    return 2 * plain >= sum(map(len, segments))
 
 
 def find(text: str) -> list[Span]:
@@ -211,12 +244,18 @@ def find(text: str) -> list[Span]:
     spans = base_spans(text)
     if "=" in text or ":" in text:
         taken = sorted((start, end) for _, start, end, _ in spans)
-        reaching = Assignments(text).reaching()
+        assignments = Assignments(text)
+        weights = {name: name_weight(name) for name in {*assignments.literals, *assignments.sources}}
+        telling = sorted((name for name, weight in weights.items() if weight), key=lambda n: (-weights[n], n))
+        phrases = assignments.reaching(name for name in telling if _PHRASE_NAME.search(name))
         added = []
-        for (start, end), names in reaching.items():
-            score = value_quality(text[start:end]) * max(map(name_weight, names))
+        for span, name in assignments.reaching(telling).items():
+            quoted = text[span[0] - 1 : span[0]] in ("'", '"', "`")
+            if not quoted and text[slice(*span)] in weights:
+                continue  # a name, which has been followed
+            score = weights[name] * value_quality(text[slice(*span)], weights[name], span in phrases, quoted)
             if score >= MIN_SCORE:
-                added.append(("value", start, end, round(score, 3)))
+                added.append(("value", *span, round(score, 3)))
         spans += _apart(sorted(added, key=lambda s: s[1]), taken)
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 

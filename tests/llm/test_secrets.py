@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -92,6 +93,71 @@ def test_nothing_to_find(text):
     assert values(text) == []
 
 
+@pytest.mark.parametrize(
+    "text, value",
+    [
+        ('aws_access_key = "/q7Zp2vK9xT4mB1nL8wRc/5uH3s+Ye6"', "/q7Zp2vK9xT4mB1nL8wRc/5uH3s+Ye6"),
+        ('passphrase = "walnut river candle orbit"', "walnut river candle orbit"),
+        ("words = 'walnut river candle orbit'\nwallet.mnemonic = words", "walnut river candle orbit"),
+        ('db_pwd = "S3cr3t99"', "S3cr3t99"),
+        ("DB_PWD=S3cr3t99", "S3cr3t99"),
+    ],
+)
+def test_slashes_phrases_and_short_values(text, value):
+    assert values(text) == [value]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        'private_key = "/etc/ssl/private/server.key"',
+        'private_key = "~/.ssh/id_rsa2"',
+        'credentials = "../conf/app/Users.json"',
+        'passphrase = "Enter the passphrase again"',
+        'title = "walnut river candle orbit"',
+        'credentials = "walnut river candle orbit"',
+        "private_key = key_2048",
+        "pwd = var123",
+        'signing_key = "settings"',
+    ],
+)
+def test_paths_prompts_and_names_stay(text):
+    assert values(text) == []
+
+
+def pairs_of(assignments):
+    """The heaviest weight that each literal ends up in, by walking from every name."""
+    best = {}
+    for target in {*assignments.literals, *assignments.sources}:
+        reached = {target}
+        while more := {o for name in reached for o in assignments.sources.get(name, ())} - reached:
+            reached |= more
+        for name in reached:
+            for span in assignments.literals.get(name, ()):
+                best[span] = max(best.get(span, 0), secrets.name_weight(target))
+    return {span: weight for span, weight in best.items() if weight}
+
+
+def test_constants_reach_the_most_telling_name():
+    rnd = random.Random(9)
+    names = ["a", "b", "c", "d", "e", "salt", "auth", "pwd", "passphrase", "my.key", "key_of"]
+    for _ in range(300):
+        parts = [f"{rnd.choice(names)} = {rnd.choice([*names, repr(str(rnd.random()))])}" for _ in range(14)]
+        found = secrets.Assignments("\n".join(parts))
+        order = sorted({*found.literals, *found.sources}, key=lambda n: -secrets.name_weight(n))
+        got = found.reaching(name for name in order if secrets.name_weight(name))
+        assert {span: secrets.name_weight(name) for span, name in got.items()} == pairs_of(found)
+
+
+def test_a_long_chain_takes_linear_time():
+    links = "\n".join(f"password{i} = password{i - 1}" for i in range(1, 40_000))
+    text = f"password0 = '{SECRET}'\n{links}"
+    assert len(text) > 1_000_000
+    start = time.perf_counter()
+    assert values(text) == [SECRET]
+    assert time.perf_counter() - start < 10
+
+
 def test_no_second_span_for_a_base_one():
     found = secrets.find(f'password = "{SECRET}"')
     assert [s[0] for s in found] == ["assign"]
