@@ -17,20 +17,21 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clftally.llm import common
 
 ORDER = 4
-# The models are fitted on about so many documents of each language at most, chosen by a hash of text and id,
-# and on one in `CALIBRATION` of these the rejection limits are set.
+# The models are fitted on so many different blocks of text of each language at most, those of the least hashes. A
+# block is a whole text, or a part of so many characters of a longer one.
 SAMPLE = 400
-# Only documents up to this length are chosen, and only so many languages, the most frequent ones, are learned.
 SAMPLE_CHARS = 1 << 17
-MAX_LANGUAGES = 256
+# Every so many-th block sets the rejection limits instead; a language with fewer blocks keeps the usual limits.
 CALIBRATION = 5
+# Chosen blocks are marked by a broadcast of their hashes up to this many, and by a shuffled join beyond.
+BROADCAST_ROWS = 1_000_000
 # A text is rejected if its cross-entropy lies so many deviations above the usual one of its language.
 REJECT_DEVIATIONS = 6.0
 # Texts of fewer characters than this are too noisy to be rejected.
@@ -42,6 +43,7 @@ BLOCK = 1 << 18
 
 UNKNOWN = "und"
 _BLANK = 32
+_MARK = np.uint32(1 << 31)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -62,23 +64,34 @@ _fold: np.ndarray | None = None
 
 
 def _fold_table() -> np.ndarray:
-    """Code point to the lower-case letter it counts as, or to a blank."""
+    """Code point to the lower-case letter it counts as, to itself with `_MARK` set for a mark, or to a blank."""
     global _fold
     if _fold is None:
         table = np.full(0x110000, _BLANK, np.uint32)
         for code in range(0x110000):
             char = chr(code)
-            if unicodedata.category(char)[0] == "L" or unicodedata.category(char) == "Mn":
+            kind = unicodedata.category(char)
+            if kind[0] == "L":
                 low = char.lower()
                 table[code] = ord(low) if len(low) == 1 else code
+            elif kind == "Mn":
+                table[code] = code | _MARK
         _fold = table
     return _fold
 
 
 def symbols(text: str) -> np.ndarray:
-    """The text as numbers of letters and single blanks, with one blank at each end; empty without letters."""
+    """The text as numbers of letters and single blanks, with one blank at each end; empty without letters.
+
+    Marks behind a letter stay with it; all others are blanks.
+    """
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     folded = _fold_table()[codes]
+    marks = folded >= _MARK
+    if marks.any():
+        bearer = np.maximum.accumulate(np.where(marks, -1, np.arange(len(folded))))
+        borne = (bearer >= 0) & (folded[bearer] != _BLANK)
+        folded = np.where(marks, np.where(borne, folded & ~_MARK, _BLANK), folded)
     if not (folded != _BLANK).any():
         return np.empty(0, np.uint32)
     padded = np.concatenate(([_BLANK], folded, [_BLANK])).astype(np.uint32)
@@ -132,20 +145,30 @@ def _count_grams(texts: Iterator[tuple[str, str]]) -> pd.DataFrame:
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Models:
     """Fit models on a bounded sample of the rows that have a text and a language.
 
-    The sample takes each language's rows at the rate that gives ``sample`` of them, by a hash of text and id, so
-    how many there are in all only moves the rate. N-grams are counted on the executors; the driver gets the
-    counts of the sample, which the bound limits.
+    Each language is learned from its ``sample`` different blocks of least hash, or all if it has fewer; equal ones
+    count once, so copies do not crowd out other texts. There is no bound on languages; the tables have a column for
+    each. N-grams are counted on the executors; the driver gets the counts of the sample.
     """
-    rows = common.for_python(labelled).filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(
-        F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")
+    rows = common.for_python(labelled).filter(F.col(text).isNotNull() & F.col(lang).isNotNull())
+    whole = F.length(text) <= SAMPLE_CHARS
+    parts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{SAMPLE_CHARS}}}"), F.lit(0))
+    blocks = rows.select(
+        F.col(lang).cast("string").alias("lang"),
+        F.explode(F.when(whole, F.array(text)).otherwise(parts)).alias("text"),
+    )
+    blocks = blocks.select("lang", "text", F.xxhash64("text", F.lit("sample")).alias("place"))
+    least = Window.partitionBy("lang").orderBy("place")
+    # The limit on the rank is applied in each task before a language's hashes meet.
+    ranked = blocks.select("lang", "place").distinct().withColumn("rank", F.row_number().over(least))
+    places = common.checkpointed(ranked.filter(F.col("rank") <= sample))
+    small = places.count() <= BROADCAST_ROWS
+    chosen = (
+        blocks.join(F.broadcast(places) if small else places, ["lang", "place"])
+        .groupBy("lang", "place", "rank")
+        .agg(F.any_value("text").alias("text"))
     )
-    rows = rows.filter(F.length("text") <= SAMPLE_CHARS)
-    languages = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    rates = languages.select("lang", (F.lit(float(sample)) / F.col("n")).alias("rate"))
-    place = F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1_000_000)) / F.lit(1_000_000.0)
-    chosen = rows.join(F.broadcast(rates), "lang").filter(place < F.col("rate"))
-    fold = F.pmod(F.xxhash64("text", F.lit("fold")), F.lit(CALIBRATION))
-    chosen = common.checkpointed(chosen.select("lang", "text", (fold == 0).alias("calibrate")))
+    calibrate = F.col("rank") % CALIBRATION == 0
+    chosen = common.checkpointed(chosen.select("lang", "text", calibrate.alias("calibrate")))
     counts = (
         chosen.filter(~F.col("calibrate"))
         .mapInPandas(

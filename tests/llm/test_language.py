@@ -92,6 +92,40 @@ def test_symbols():
     assert len(language.symbols("12 .. \n")) == 0 and len(language.symbols("")) == 0
 
 
+def test_marks_count_behind_letters_only():
+    assert len(language.symbols("\u0301\u0301")) == 0 and len(language.symbols(" \u0301 1\u0301")) == 0
+    assert "".join(map(chr, language.symbols("\u0301e\u0301\u0323 \u0301x"))) == " e\u0301\u0323 x "
+    assert language.identify_text(fitted(TEXTS), "\u0301\u0301") == ("und", 0.0, False)
+
+
+def test_every_language_is_learned(spark):
+    """Many languages, some with one text only, one of long texts only, one of many copies."""
+    many = [(f"l{i}", " ".join(f"{chr(0x4E00 + 7 * i + j % 7)}{chr(0x4E00 + 7 * i + j % 3)}" for j in range(30))) for i in range(300)]
+    long = " ".join(f"zulu{chr(97 + i % 26)} {chr(97 + i // 26 % 26)}uzu" for i in range(30_000))
+    assert len(long) > 2 * language.SAMPLE_CHARS
+    copies = [("copied", f"kopi {chr(97 + i % 5)}ama kopa koki") for i in range(5_000)]
+    docs = spark.createDataFrame([*many, ("long", long), *copies], "lang string, text string")
+    models = language.train(docs, sample=50)
+    assert models.languages == sorted([*(lang for lang, _ in many), "long", "copied"])
+    for lang, text in [*many[::50], ("long", "zulua buzu zulub cuzu"), copies[3]]:
+        assert language.identify_text(models, text)[0] == lang
+
+
+def test_the_sample_has_different_blocks_of_least_hash(spark, monkeypatch):
+    """Counts equal those of the blocks chosen in plain Python, whether their hashes are broadcast or not."""
+    texts = [f"{chr(97 + i % 26)}{chr(97 + i // 26)} banana" for i in range(60)] * 3 + ["xyz " * 40]
+    docs = spark.createDataFrame([("aa", t) for t in texts], "lang string, text string").repartition(7)
+    monkeypatch.setattr(language, "SAMPLE_CHARS", 50)
+    blocks = sorted({t[i : i + 50] for t in texts for i in range(0, len(t), 50)})
+    hashed = spark.createDataFrame([(b,) for b in blocks], "b string").selectExpr("b", "xxhash64(b, 'sample') h")
+    ranked = [r.b for r in sorted(hashed.collect(), key=lambda r: r.h)][:20]
+    want = fitted({"aa": [b for i, b in enumerate(ranked, 1) if i % language.CALIBRATION]})
+    for limit in (language.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(language, "BROADCAST_ROWS", limit)
+        got = language.train(docs, sample=20)
+        assert all(map(np.array_equal, got.hashes, want.hashes)) and all(map(np.allclose, got.logs, want.logs))
+
+
 def test_odd_rows(spark):
     schema = "doc_id long, text string, lang string, score string"
     rows = [(1, None, "aa", "x"), (2, "", "aa", "x"), (None, "123 !", None, None), (3, "banana", "aa", None)]
