@@ -2,8 +2,9 @@
 
 A document's histogram of character classes and its histogram of common words are compared with the mean
 histograms of all documents of its language by Jensen-Shannon distance (base 2, so from 0 to 1). Text made of
-symbols, capitals or word salad lies far off; prose does not. Short texts have noisy histograms, so each test has
-a length below which it does not reject.
+symbols, capitals or word salad lies far off; prose does not. How far words may be off follows from how far they are
+in the texts of that language. Short texts have noisy histograms, so each test has a length below which it does not
+reject.
 """
 
 from __future__ import annotations
@@ -24,8 +25,16 @@ MAX_REPEAT_PERCENT = 30
 # Above these distances a text is rejected, unless it is shorter than the guard.
 MAX_CLASS_DISTANCE = 0.25
 MIN_CLASS_CHARS = 100
-MAX_WORD_DISTANCE = 0.45
-MIN_WORD_WORDS = 50
+# Words may be off by so many deviations above the mean of their language, and by that distance at least, but not by
+# this part of the distance at which a text without any common word lies.
+WORD_DEVIATIONS = 3
+LEAST_WORD_LIMIT = 0.2
+WORDLESS_PART = 0.95
+MIN_WORD_WORDS = 80
+# Where the common words make up less than this, their absence tells nothing.
+MIN_COMMON = 0.1
+# References of up to so many languages are broadcast; rows are shuffled to meet those of more.
+BROADCAST_LANGUAGES = 10_000
 
 CLASSES = ("lower", "blank", "upper", "number", "other")
 
@@ -39,6 +48,8 @@ COMMON_WORDS = {
 
 # Shares are kept as whole parts of this, so that their sums do not depend on the order of adding.
 _UNIT = 1_000_000_000
+# The same for distances.
+_DISTANCE_UNIT = 1_000_000
 
 _BLANKS = f"[{common.BLANKS}]+"
 _OUTPUTS = (
@@ -65,27 +76,32 @@ def judge(
 
     The references are the mean histograms per value of ``lang`` over the documents that pass the base rules; a
     NULL language is a group like any other. A document of a language without such documents has NULL distances,
-    which reject nothing. A NULL text counts as empty. Input columns named like new ones are replaced.
+    which reject nothing. Words are judged only in languages that use the common ones. A NULL text counts as empty. Input columns named like new ones are replaced.
     """
     kept = [c for c in (docs.columns if keep is None else keep) if c not in _OUTPUTS and (keep or c != text)]
     words = list(common_words or dict.fromkeys(w for of in COMMON_WORDS.values() for w in of))
     counted = common.checkpointed(_counts(docs, text, lang, words, kept))
-    far = _distances(counted, _references(counted))
+    references = common.checkpointed(_references(counted, len(words) + 1))
+    limits = _word_limits(_beside(counted, references))
+    same_language = F.col("_ref_lang").eqNullSafe(F.col("_limit_lang"))
+    references = common.checkpointed(references.join(limits, same_language, "left").drop("_limit_lang"))
+    rows = _beside(counted, references)
+    class_distance = distance(F.col("_classes"), F.col("_classes_ref"))
     rejected = (
         F.col("base_failed")
-        | _far(far["classes"], MAX_CLASS_DISTANCE, F.col("_chars") >= MIN_CLASS_CHARS)
-        | _far(far["words"], MAX_WORD_DISTANCE, F.col("n_words") >= MIN_WORD_WORDS)
+        | _far(class_distance, F.lit(MAX_CLASS_DISTANCE), F.col("_chars") >= MIN_CLASS_CHARS)
+        | _far(_word_distance(), F.col("_word_limit"), F.col("n_words") >= MIN_WORD_WORDS)
     )
-    return far["rows"].select(
+    return rows.select(
         *kept,
         *_OUTPUTS[:6],
-        far["classes"].alias("class_distance"),
-        far["words"].alias("word_distance"),
+        class_distance.alias("class_distance"),
+        _word_distance().alias("word_distance"),
         (~rejected).alias("kept"),
     )
 
 
-def _far(distance: Column, limit: float, long_enough: Column) -> Column:
+def _far(distance: Column, limit: Column, long_enough: Column) -> Column:
     return F.coalesce((distance > limit) & long_enough, F.lit(False))
 
 
@@ -194,12 +210,10 @@ def _shares(counts: str, total: Column, rest: bool) -> Column:
     return F.concat(shares, F.array(F.floor((total - used) * _UNIT / all_of_it)))
 
 
-def _references(counted: DataFrame) -> DataFrame:
-    """Sums of the shares per language, as two arrays; one row per language."""
+def _references(counted: DataFrame, n_words: int) -> DataFrame:
+    """Sums of the shares per language, as two arrays of which the second has ``n_words``; one row per language."""
     sample = counted.filter(~F.col("base_failed"))
-    sizes = {"_classes": len(CLASSES), "_word_shares": None}
-    first = counted.select(F.size("_word_shares").alias("n")).first()
-    sizes["_word_shares"] = first[0] if first else 1
+    sizes = {"_classes": len(CLASSES), "_word_shares": n_words}
     sums = {
         name: [F.sum(F.get(name, F.lit(i))).alias(f"{name}{i}") for i in range(n)] for name, n in sizes.items()
     }
@@ -208,14 +222,37 @@ def _references(counted: DataFrame) -> DataFrame:
     return by_lang.select(F.col("_lang").alias("_ref_lang"), *arrays)
 
 
-def _distances(counted: DataFrame, references: DataFrame) -> dict:
-    """Rows with their language's references, and the columns of the two distances."""
-    rows = counted.join(references, F.col("_lang").eqNullSafe(F.col("_ref_lang")), "left")
-    return {
-        "rows": rows,
-        "classes": distance(F.col("_classes"), F.col("_classes_ref")),
-        "words": distance(F.col("_word_shares"), F.col("_word_shares_ref")),
-    }
+def _beside(counted: DataFrame, references: DataFrame) -> DataFrame:
+    """Rows with their language's references; they stay where they are if the references are few."""
+    if references.count() <= BROADCAST_LANGUAGES:
+        references = F.broadcast(references)
+    return counted.join(references, F.col("_lang").eqNullSafe(F.col("_ref_lang")), "left")
+
+
+def _word_distance() -> Column:
+    return distance(F.col("_word_shares"), F.col("_word_shares_ref"))
+
+
+def _word_limits(rows: DataFrame) -> DataFrame:
+    """The distance beyond which the words of a long enough text are unlike its language, or NULL for none."""
+    judged = rows.filter(~F.col("base_failed") & (F.col("n_words") >= MIN_WORD_WORDS))
+    usual = F.col("_word_shares_ref")
+    off = F.floor(_word_distance() * _DISTANCE_UNIT).alias("_off")
+    spread = judged.select("_lang", usual.alias("_usual"), off).groupBy("_lang").agg(
+        F.any_value("_usual").alias("_usual"),
+        F.count("_off").alias("_n"),
+        F.sum("_off").alias("_sum"),
+        F.sum((F.col("_off") * F.col("_off")).cast("decimal(20,0)")).cast("double").alias("_squares"),
+    )
+    usual, size = F.col("_usual"), F.size("_usual")
+    mean = F.col("_sum") / F.col("_n")
+    deviation = F.sqrt(F.greatest(F.lit(0.0), F.col("_squares") / F.col("_n") - mean * mean))
+    by_spread = F.greatest((mean + WORD_DEVIATIONS * deviation) / _DISTANCE_UNIT, F.lit(LEAST_WORD_LIMIT))
+    wordless = F.transform(usual, lambda _, i: F.when(i == size - 1, 1).otherwise(0))
+    total = F.aggregate(usual, F.lit(0).cast("bigint"), lambda sum_, n: sum_ + n)
+    limit = F.least(by_spread, WORDLESS_PART * distance(wordless, usual))
+    tells = (total - F.element_at(usual, -1)) >= MIN_COMMON * total
+    return spread.select(F.col("_lang").alias("_limit_lang"), F.when(tells, limit).alias("_word_limit"))
 
 
 def distance(left: Column, right: Column) -> Column:
@@ -253,6 +290,7 @@ def sql(common_words: Sequence[str] | None = None) -> str:
         parts = f"list_transform(range(1, {size + 1}), lambda k: {part(p, q)} + {part(q, p)})"
         return f"CASE WHEN list_sum({mine}) > 0 AND list_sum({usual}) > 0 THEN sqrt(greatest(0, list_sum({parts}) / 2)) END"
 
+    wordless = str([0] * len(words) + [1])
     return f"""
 WITH texts AS (SELECT row_number() OVER () AS row, doc_id, lang, coalesce(text, '') AS t FROM documents),
 split AS (
@@ -288,12 +326,23 @@ usual AS (
   FROM shares WHERE NOT base_failed GROUP BY lang
 ),
 judged AS (
-  SELECT shares.*, {far("classes", "all_classes", len(CLASSES))} AS class_distance,
+  SELECT shares.*, all_words, {far("classes", "all_classes", len(CLASSES))} AS class_distance,
     {far("words", "all_words", len(words) + 1)} AS word_distance
   FROM shares LEFT JOIN usual ON shares.lang IS NOT DISTINCT FROM usual.lang
+),
+spread AS (
+  SELECT lang, any_value(all_words) AS all_words, avg(off) AS mean, sqrt(greatest(0, avg(off * off) - avg(off) * avg(off))) AS deviation
+  FROM (SELECT *, floor(word_distance * {_DISTANCE_UNIT}) AS off FROM judged)
+  WHERE NOT base_failed AND n_words >= {MIN_WORD_WORDS} GROUP BY lang
+),
+limits AS (
+  SELECT lang, CASE WHEN list_sum(all_words) - all_words[-1] >= {MIN_COMMON} * list_sum(all_words) THEN
+    least(greatest((mean + {WORD_DEVIATIONS} * deviation) / {_DISTANCE_UNIT}, {LEAST_WORD_LIMIT}),
+      {WORDLESS_PART} * {far(wordless, "all_words", len(words) + 1)}) END AS word_limit
+  FROM spread
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR coalesce(chars >= {MIN_CLASS_CHARS} AND class_distance > {MAX_CLASS_DISTANCE}, false)
-    OR coalesce(n_words >= {MIN_WORD_WORDS} AND word_distance > {MAX_WORD_DISTANCE}, false)) AS kept
-FROM judged
+    OR coalesce(n_words >= {MIN_WORD_WORDS} AND word_distance > word_limit, false)) AS kept
+FROM judged LEFT JOIN limits ON judged.lang IS NOT DISTINCT FROM limits.lang
 """

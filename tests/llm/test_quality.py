@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 import unicodedata
 from collections import Counter, defaultdict
+from statistics import mean, pstdev
 
 import pytest
 
@@ -71,12 +73,18 @@ def judged_by_hand(rows):
         if not failed[d]:
             own = shapes[d][:2]
             sums[lang] = own if sums[lang] is None else tuple([a + b for a, b in zip(x, y)] for x, y in zip(sums[lang], own))
+    limits = {}
+    for lang, (_, usual) in sums.items():
+        off = [distance(shapes[d][1], usual) for d, _, of in rows if of == lang and not failed[d] and shapes[d][3] >= 80]
+        if off and sum(usual[:-1]) >= 0.1 * sum(usual):
+            wordless = distance([0] * len(COMMON) + [1], usual)
+            limits[lang] = min(max(mean(off) + 3 * pstdev(off), 0.2), 0.95 * wordless)
     kept = {}
     for d, _, lang in rows:
         classes, words, chars, count = shapes[d]
         kept[d] = not failed[d] and not (
             (chars >= quality.MIN_CLASS_CHARS and distance(classes, sums[lang][0]) > quality.MAX_CLASS_DISTANCE)
-            or (count >= quality.MIN_WORD_WORDS and distance(words, sums[lang][1]) > quality.MAX_WORD_DISTANCE)
+            or (count >= 80 and distance(words, sums[lang][1]) > limits.get(lang, 1))
         )
     return kept
 
@@ -123,6 +131,35 @@ def test_junk_is_rejected_and_prose_kept(spark):
     assert all(k for i, (k, failed) in kept.items() if i < 100 and not failed)
 
 
+def prose_and_salad():
+    """Prose of two languages, word salad and menus without common words, and a language that the list does not know."""
+    rnd, rows = random.Random(3), []
+    for lang in ("en", "fr"):
+        common, own = quality.COMMON_WORDS[lang], [f"{lang}word{i}" for i in range(500)]
+        say = lambda n, often, own=own, common=common: " ".join(
+            rnd.choice(common) if rnd.random() < often else rnd.choice(own) for _ in range(n)
+        )
+        rows += [(len(rows) + i, say(rnd.randrange(80, 600), 0.35), lang) for i in range(150)]
+        rows += [(1000 + len(rows) + i, say(rnd.randrange(80, 600), 0), lang) for i in range(12)]
+        rows += [(1000 + len(rows) + i, say(150, 0).replace(" ", " | "), lang) for i in range(6)]
+    rows += [(500 + i, " ".join(f"mot{rnd.randrange(400)}" for _ in range(200)), "xx") for i in range(20)]
+    return rows + [(600, rows[0][1], "yy"), (601, rows[0][1], None)]
+
+
+def test_word_salad_goes_and_prose_stays(spark, monkeypatch):
+    rows = prose_and_salad()
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for few in (quality.BROADCAST_LANGUAGES, 0):
+        monkeypatch.setattr(quality, "BROADCAST_LANGUAGES", few)
+        got = {r.doc_id: r.kept for r in quality.judge(docs).collect()}
+        assert got == {d: d < 1000 for d, _, _ in rows} == judged_by_hand(rows)
+
+
+def test_documents_stay_where_they_are(spark):
+    plan = quality.judge(spark.createDataFrame(prose_and_salad(), SCHEMA))._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
 def test_distance(spark):
     from pyspark.sql import functions as F
 
