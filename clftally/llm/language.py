@@ -30,7 +30,7 @@ SAMPLE = 400
 SAMPLE_CHARS = 1 << 17
 # Every so many-th block sets the rejection limits instead; a language with fewer blocks keeps the usual limits.
 CALIBRATION = 5
-# Chosen blocks are marked by a broadcast of their hashes up to this many, and by a shuffled join beyond.
+# Languages and the hashes of chosen blocks are broadcast up to this many rows, and meet by a shuffle beyond.
 BROADCAST_ROWS = 1_000_000
 # A text is rejected if its cross-entropy lies so many deviations above the usual one of its language.
 REJECT_DEVIATIONS = 6.0
@@ -157,13 +157,16 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: i
         F.explode(F.when(whole, F.array(text)).otherwise(parts)).alias("text"),
     )
     blocks = blocks.select("lang", "text", F.xxhash64("text", F.lit("sample")).alias("place"))
+    # Hashes are uniform, so few more than twice the sample lie below the limit, however many blocks there are; the
+    # estimate would have to be half the truth for the limit to leave out one of the sample.
+    share = F.lit(2.0 * sample + 100) / F.approx_count_distinct("place", 0.02)
+    limits = blocks.groupBy("lang").agg(F.when(share < 1, share * 2.0**64 - 2.0**63).alias("limit"))
+    below = F.col("limit").isNull() | (F.col("place").cast("double") < F.col("limit"))
     least = Window.partitionBy("lang").orderBy("place")
-    # The limit on the rank is applied in each task before a language's hashes meet.
-    ranked = blocks.select("lang", "place").distinct().withColumn("rank", F.row_number().over(least))
-    places = common.checkpointed(ranked.filter(F.col("rank") <= sample))
-    small = places.count() <= BROADCAST_ROWS
+    candidates = _meet(blocks.select("lang", "place"), limits, ["lang"]).filter(below).select("lang", "place").distinct()
+    places = candidates.withColumn("rank", F.row_number().over(least)).filter(F.col("rank") <= sample)
     chosen = (
-        blocks.join(F.broadcast(places) if small else places, ["lang", "place"])
+        _meet(blocks, places, ["lang", "place"])
         .groupBy("lang", "place", "rank")
         .agg(F.any_value("text").alias("text"))
     )
@@ -186,6 +189,12 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: i
     return models
 
 
+def _meet(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows that the table has, with its columns; the rows stay where they are if the table is small."""
+    table = common.checkpointed(table)
+    return rows.join(F.broadcast(table) if table.count() <= BROADCAST_ROWS else table, keys)
+
+
 def _fit(counts: pd.DataFrame) -> Models:
     """Interpolated Kneser-Ney estimates from n-gram counts.
 

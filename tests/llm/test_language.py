@@ -113,7 +113,7 @@ def test_every_language_is_learned(spark):
 
 def test_the_sample_has_different_blocks_of_least_hash(spark, monkeypatch):
     """Counts equal those of the blocks chosen in plain Python, whether their hashes are broadcast or not."""
-    texts = [f"{chr(97 + i % 26)}{chr(97 + i // 26)} banana" for i in range(60)] * 3 + ["xyz " * 40]
+    texts = [f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} banana {i}" for i in range(1500)] * 3 + ["xyz " * 40]
     docs = spark.createDataFrame([("aa", t) for t in texts], "lang string, text string").repartition(7)
     monkeypatch.setattr(language, "SAMPLE_CHARS", 50)
     blocks = sorted({t[i : i + 50] for t in texts for i in range(0, len(t), 50)})
