@@ -53,6 +53,32 @@ def for_python(rows: DataFrame) -> DataFrame:
     return rows
 
 
+class Aside:
+    """Input columns named by their place, so that none clashes with those an operator makes on its way.
+
+    ``rows`` has them under these names, `name` tells that of a column, and `back` gives them their own ones again.
+    """
+
+    def __init__(self, rows: DataFrame):
+        self.names = rows.columns
+        self.rows = rows.toDF(*[f"_in{i}" for i in range(len(self.names))])
+
+    def name(self, column: str) -> str:
+        """The working name of a column; case counts only if several differ in nothing else."""
+        alike = [n for n in self.names if n == column] or [n for n in self.names if n.lower() == column.lower()]
+        if len(alike) != 1:
+            raise ValueError(f"{len(alike)} columns are named {column!r}, of: {', '.join(self.names)}")
+        return f"_in{self.names.index(alike[0])}"
+
+    def back(self, rows: DataFrame, new: Iterable[str] = (), keep: Iterable[str] | None = None) -> DataFrame:
+        """The input columns (or ``keep`` of them) and the new ones, which replace input columns named alike in any case."""
+        new = list(new)
+        taken = {name.lower() for name in new}
+        places = range(len(self.names)) if keep is None else [int(self.name(name)[3:]) for name in keep]
+        kept = [i for i in places if self.names[i].lower() not in taken]
+        return rows.select(*[F.col(f"_in{i}").alias(self.names[i]) for i in kept], *new)
+
+
 def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 

@@ -38,8 +38,14 @@ def drop_shared_lines(
 
     Lines end at a line feed and are compared without blanks at their ends. Lines without a word are neither counted
     nor removed. A NULL site is a site like any other. A NULL text stays NULL and has no lines. Equal rows are
-    treated alike. Input columns named like new ones are replaced.
+    treated alike. Input columns named like new ones, in any case, are replaced; other names are free.
     """
+    aside = common.Aside(docs)
+    rows = _without_shared_lines(aside.rows, aside.name(text), aside.name(site), min_sites)
+    return aside.back(rows, ("n_lines", "n_removed"))
+
+
+def _without_shared_lines(docs: DataFrame, text: str, site: str, min_sites: int) -> DataFrame:
     shared = common.checkpointed(shared_lines(docs, text, site, min_sites))
     salted = shared.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     places = (
@@ -50,7 +56,7 @@ def drop_shared_lines(
         .agg(F.sort_array(F.collect_set("_pos")).alias("_places"))
     )
     key = common.content_key(F.col(text))
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    names = docs.columns
     rows = docs.select(*names, key["a"].alias("_ta"), key["b"].alias("_tb")).join(places, ["_ta", "_tb"], "left")
     rows = evaluate_once(rows, F.split(text, "\n"), "_lines")
     cut = F.col("_places").isNotNull()

@@ -22,6 +22,8 @@ BUCKET_DIGITS = 4
 WEIGHTS = (1, 2, 3)
 LIMIT = 3
 
+_OUTPUTS = ("size", "source_size", "target", "taken")
+
 _BEFORE = (Window.unboundedPreceding, -1)
 
 
@@ -46,8 +48,16 @@ def mix(
 
     A NULL text has size 0; a NULL id is a key like any other. Rows that are equal in id, source and size may
     swap their shares with each other, which changes no count. Columns of the input that are named like new
-    ones are replaced. No rows give no rows.
+    ones, in any case, are replaced; other names are free. No rows give no rows.
     """
+    aside = common.Aside(docs)
+    names = [aside.name(column) for column in (text, source, doc_id)]
+    return aside.back(_mixed(aside.rows, *names, weights, limit), _OUTPUTS)
+
+
+def _mixed(
+    docs: DataFrame, text: str, source: str, doc_id: str, weights: Sequence[int], limit: int
+) -> DataFrame:
     rows = _keyed(docs, text, source, doc_id)
     # At most one row per source and bucket, however many documents there are.
     totals = common.checkpointed(
@@ -72,7 +82,6 @@ def mix(
         rows.withColumn("_row_start", F.sum("size").over(in_bucket))
         .join(buckets, ["_source", "_bucket"])
         .withColumn("taken", taken.cast("bigint"))
-        .select(*_kept(docs), "size", "source_size", "target", "taken")
     )
 
 
@@ -81,26 +90,25 @@ def take(mixed: DataFrame, text: str = "text") -> DataFrame:
 
     The cut keeps the text up to the end of its last word taken. Documents of which nothing is taken go.
     """
-    whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0)
-    words = F.col("taken") - whole * F.col("size")
+    aside = common.Aside(mixed)
+    text, size, taken = (aside.name(column) for column in (text, "size", "taken"))
+    whole = F.when(F.col(size) > 0, F.floor(F.col(taken) / F.col(size))).otherwise(0)
+    words = F.col(taken) - whole * F.col(size)
     pieces = F.regexp_extract_all(text, F.lit(f"[{common.BLANKS}]*[^{common.BLANKS}]+"), F.lit(0))
     begun = F.array_join(F.slice(pieces, F.lit(1), words.cast("int")), "")
     copies = F.concat(
         F.array_repeat(F.lit(True), whole.cast("int")),
         F.when(words > 0, F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")),
     )
-    return (
-        mixed.withColumn("_whole", F.explode(copies))
-        .withColumn(text, F.when(F.col("_whole"), F.col(text)).otherwise(begun))
-        .drop("_whole")
-    )
+    rows = aside.rows.withColumn("_whole", F.explode(copies))
+    return aside.back(rows.withColumn(text, F.when(F.col("_whole"), F.col(text)).otherwise(begun)))
 
 
 def _keyed(docs: DataFrame, text: str, source: str, doc_id: str) -> DataFrame:
     """Rows with their size, their key and its bucket, and a name of their source that is never NULL."""
     key = F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
     return docs.select(
-        *_kept(docs),
+        "*",
         word_count(text).alias("size"),
         key.alias("_key"),
         F.substring(key, 1, BUCKET_DIGITS).alias("_bucket"),
@@ -109,10 +117,6 @@ def _keyed(docs: DataFrame, text: str, source: str, doc_id: str) -> DataFrame:
     )
 
 
-def _kept(docs: DataFrame) -> list[str]:
-    return [name for name in docs.columns if name not in ("size", "source_size", "target", "taken")]
-
-
 def _targets(totals: DataFrame, weights: Sequence[int], limit: int) -> DataFrame:
     """Source, ``source_size`` and ``target``.
 

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -128,14 +128,16 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     Documents are in one class if a chain of pairs connects them, each with at least ``threshold`` of all their
     different five-word shingles in common. A text with fewer than five words is one shingle of all its words. Equal
     texts always share a class, those without words too, which share it with no others; a NULL text counts as
-    empty. NULL ids never name a class unless all of its are NULL. All columns stay; ``class_id`` is replaced.
+    empty. NULL ids never name a class unless all of its are NULL. All columns stay, whatever their names; a
+    ``class_id``, in any case, is replaced.
     """
-    return _labelled(docs, doc_id, text, threshold).drop("_node", "_stays")
+    aside = common.Aside(docs)
+    return aside.back(_labelled(aside.rows, aside.name(doc_id), aside.name(text), threshold), ["class_id"])
 
 
 def _labelled(docs: DataFrame, doc_id: str, text: str, threshold: float) -> DataFrame:
     """Rows with the key of their text, their ``class_id``, and whether theirs is the text of the class that stays."""
-    names = [name for name in docs.columns if name != "class_id"]
+    names = docs.columns
     keyed = common.for_python(docs).select(*names, F.unhex(F.md5(common.text_or_empty(text))).alias("_node"))
     ids = keyed.groupBy("_node").agg(F.min(doc_id).alias("_least"))
     part = verified_parts(keyed, text, threshold)
@@ -268,14 +270,22 @@ def forest(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row of each class: that of its least id, and of several such rows the first by its other columns.
 
-    Columns are kept, but for a ``class_id``.
+    All columns are kept, whatever their names; maps and variants are put in order by their text as JSON.
     """
-    rows = _labelled(docs, doc_id, text, threshold)
-    others = [name for name in rows.columns if name not in ("_node", "_stays", text)]
+    aside = common.Aside(docs)
+    doc_id, text = aside.name(doc_id), aside.name(text)
+    rows = _labelled(aside.rows, doc_id, text, threshold)
+    others = [_in_order(field) for field in aside.rows.schema.fields if field.name != text]
     place = F.row_number().over(Window.partitionBy("_node").orderBy(*others))
-    return (
+    first = (
         rows.filter(F.col("_stays") & F.col(doc_id).eqNullSafe(F.col("class_id")))
         .withColumn("_place", place)
         .filter("_place = 1")
-        .select(*[name for name in docs.columns if name != "class_id"])
     )
+    return aside.back(first)
+
+
+def _in_order(field: T.StructField) -> Column:
+    """A column's values as something that can be sorted."""
+    kind = field.dataType.simpleString()
+    return F.to_json(F.struct(field.name)) if "map<" in kind or "variant" in kind else F.col(field.name)

@@ -76,9 +76,18 @@ def judge(
 
     The references are the mean histograms per value of ``lang`` over the documents that pass the base rules; a
     NULL language is a group like any other. A document of a language without such documents has NULL distances,
-    which reject nothing. Words are judged only in languages that use the common ones. A NULL text counts as empty. Input columns named like new ones are replaced.
+    which reject nothing. Words are judged only in languages that use the common ones. A NULL text counts as empty. Input columns named like
+    new ones, in any case, are replaced; other names are free.
     """
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in _OUTPUTS and (keep or c != text)]
+    aside = common.Aside(docs)
+    keep = [c for c in docs.columns if aside.name(c) != aside.name(text)] if keep is None else keep
+    inside = list(dict.fromkeys(map(aside.name, keep)))
+    return aside.back(_judged(aside.rows, aside.name(text), aside.name(lang), common_words, inside), _OUTPUTS, keep)
+
+
+def _judged(
+    docs: DataFrame, text: str, lang: str, common_words: Sequence[str] | None, kept: list[str]
+) -> DataFrame:
     words = list(common_words or dict.fromkeys(w for of in COMMON_WORDS.values() for w in of))
     counted = common.checkpointed(_counts(docs, text, lang, words, kept))
     references = common.checkpointed(_references(counted, len(words) + 1))

@@ -353,9 +353,17 @@ def remove_repeats(
 
     A byte goes if a string of ``length`` bytes that covers it starts anywhere else in the table too; all are judged
     on the input. A NULL text counts as empty. The text is dropped, and of the other columns ``keep`` stay (default:
-    all); those named like new ones are replaced. Rows of equal texts lose everything that is long enough.
+    all); those named like new ones, in any case, are replaced, and other names are free. Rows of equal texts lose
+    everything that is long enough.
     """
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in (text, "n_bytes", "spans", "kept")]
+    aside = common.Aside(docs)
+    names = docs.columns if keep is None else keep
+    keep = [c for c in names if aside.name(c) != aside.name(text)]
+    inside = list(dict.fromkeys(map(aside.name, keep)))
+    return aside.back(_without_repeats(aside.rows, aside.name(text), inside, length), ["n_bytes", "spans", "kept"], keep)
+
+
+def _without_repeats(docs: DataFrame, text: str, kept: list[str], length: int) -> DataFrame:
     whole = common.text_or_empty(text)
     keyed = common.for_python(docs).select(*kept, F.unhex(F.md5(whole)).alias("_node"), whole.alias("_text"))
     copied = keyed.groupBy("_node").agg(F.count("*").alias("n")).filter("n > 1").select("_node", F.lit(True).alias("_copied"))
