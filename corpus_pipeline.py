@@ -1,7 +1,7 @@
 """From documents to a tokenised mix: quality rules, shared lines, near copies, mixing, encoding.
 
 Every stage takes the documents its predecessor kept, and its decisions take effect: what it rejects is gone from its
-result. All stages but the last return the columns of ``documents``. Each result is written as Parquet to a shared
+result. All stages but the last return the columns of ``documents``, with their values whatever their names. Each result is written as Parquet to a shared
 folder and read again as the documents of the next one, so a lost executor costs no more than the stage at work.
 
 Documents that a stage leaves without a word hold nothing to train on. The quality rules reject those of the input, and
@@ -19,7 +19,9 @@ from clftally.sources import shared
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are like their language."""
-    return quality.judge(docs, keep=docs.columns).filter("kept").select(*docs.columns)
+    aside = common.Aside(docs)
+    judged = quality.judge(aside.rows, aside.name("text"), aside.name("lang"), keep=aside.rows.columns)
+    return aside.back(judged.filter("kept"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +29,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Copies of one text count for one source, so that they are left to the next stage, which keeps one of them.
     """
-    return _measured(lines.drop_shared_lines(docs).select(*docs.columns))
+    aside = common.Aside(docs)
+    return _measured(aside.back(lines.drop_shared_lines(aside.rows, aside.name("text"), aside.name("source"))))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +40,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; the last one of a source may be cut at the budget."""
-    return _measured(mixing.take(mixing.mix(docs)).select(*docs.columns))
+    aside = common.Aside(docs)
+    text, source, doc_id = (aside.name(column) for column in ("text", "source", "doc_id"))
+    return _measured(aside.back(mixing.take(mixing.mix(aside.rows, text, source, doc_id), text)))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
