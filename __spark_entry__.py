@@ -17,7 +17,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 import oracle  # noqa: E402
 from clftally import configure  # noqa: E402
 from clftally.operators import counts, parse, volume  # noqa: E402
-from clftally.plans import report  # noqa: E402
+from clftally.plans import report, rollup  # noqa: E402
 from clftally.sources import event_lines, parsed as parsed_table, shared, text  # noqa: E402
 from clftally.streaming import jobs, results, tables  # noqa: E402
 
@@ -227,6 +227,18 @@ def _slice(section: str) -> Query:
     )
 
 
+def _rollup_slice(section: str) -> Query:
+    """The same table, from counts per minute but for the first and the last one."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        table, store = shared.fresh_folder(spark, "table"), shared.fresh_folder(spark, "rollup")
+        parsed_table.write_parsed(parse.parse_access_log(_lines(spark, sf_dir)), table)
+        rollup.refresh(spark, table, store)
+        return rollup.slice_report(spark, table, store, *SLICE, sections=(section,))[section]
+
+    return query
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Share of each status in the log."""
     return queries()["status_share"](spark, "/root/testdata/sf0.001")
@@ -291,6 +303,10 @@ def log_queries() -> dict[str, Query]:
         "slice_status_share": _slice("status_share"),
         "slice_top_ips": _slice("top_ips"),
         "slice_top_requests": _slice("top_requests"),
+        "rollup_volume": _rollup_slice("volume"),
+        "rollup_status_share": _rollup_slice("status_share"),
+        "rollup_top_ips": _rollup_slice("top_ips"),
+        "rollup_top_requests": _rollup_slice("top_requests"),
         "sql_top_ips": _sql_top_ips,
         "stream_status_counts": _stream_status_counts,
         "stream_ip_counts": _on_stream_counts(

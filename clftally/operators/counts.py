@@ -31,8 +31,12 @@ def status_share(parsed: DataFrame) -> DataFrame:
     The total is a window over the counted statuses. Their number cannot exceed 1,000 (three digits), so
     this gathers no more rows than that.
     """
+    return share_of(count_by(parsed.filter(F.col("status").isNotNull()), "status", keep_malformed=True))
+
+
+def share_of(counts: DataFrame) -> DataFrame:
+    """The same from counted statuses: ``status`` and ``count``."""
     everything = Window.partitionBy()
-    counts = count_by(parsed.filter(F.col("status").isNotNull()), "status", keep_malformed=True)
     quarters = F.col("percent") * 4
     share = counts.withColumn(
         "percent", F.col("count") / F.sum("count").over(everything) * 100

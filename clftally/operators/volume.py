@@ -62,6 +62,11 @@ def volume(
         .agg(F.count("*").alias("requests"))
         .filter(F.col("_start").isNotNull())
     )
+    return volume_of(counts, width, fill_gaps, zone)
+
+
+def volume_of(counts: DataFrame, width: int, fill_gaps: bool = True, zone: str = "UTC") -> DataFrame:
+    """The same from counted buckets: ``_start``, as `buckets.start_second` gives it, and ``requests``."""
     if fill_gaps:
         series = _every_bucket(counts, width, zone)
         counts = series.join(counts, "_start", "left").select(

@@ -39,7 +39,7 @@ def report(
         "ip_counts": lambda: counts.ip_counts(parsed, keep_malformed),
         "avg_sizes": lambda: counts.avg_size_by_status(parsed, keep_malformed),
     }
-    return _named_sections(available, sections)
+    return named_sections(available, sections)
 
 
 def section_counts(parsed: DataFrame, keep_malformed: bool = False, position: str | None = None) -> DataFrame:
@@ -138,7 +138,7 @@ def slice_report(
         "top_ips": lambda: counts.top_ips(rows, top_n),
         "top_requests": lambda: counts.top_requests(rows, top_n),
     }
-    return _named_sections(available, sections)
+    return named_sections(available, sections)
 
 
 def register_view(parsed: DataFrame, name: str = "access_log") -> None:
@@ -146,7 +146,7 @@ def register_view(parsed: DataFrame, name: str = "access_log") -> None:
     parsed.createOrReplaceTempView(name)
 
 
-def _named_sections(
+def named_sections(
     available: dict[str, Callable[[], DataFrame]], sections: Sequence[str]
 ) -> dict[str, DataFrame]:
     unknown = set(sections) - set(available)

@@ -268,9 +268,13 @@ def build(slice_start: str, slice_end: str, lateness: str, lines_per_chunk: int)
         "access_report_by_first": _report_by_first(25),
         "summary_report": _summary("ok"),
         "slice_volume": _volume("5 minutes", within),
+        "rollup_volume": _volume("5 minutes", within),
         "slice_status_share": _share(within),
+        "rollup_status_share": _share(within),
         "slice_top_ips": _counts("ip", within, top=10),
+        "rollup_top_ips": _counts("ip", within, top=10),
         "slice_top_requests": _counts("request", within, top=10),
+        "rollup_top_requests": _counts("request", within, top=10),
         "sql_top_ips": _counts("ip", top=10),
         "stream_status_counts": status_any,
         "stream_ip_counts": _counts("ip", "true", anchored=False),
