@@ -53,7 +53,16 @@ def test_only_aggregated_rows_meet_in_one_partition(plans, name):
             assert "HashAggregate" in lines[place + 1], plans[name]
 
 
-@pytest.mark.parametrize("name", [name for name in BATCH if name not in ("scan_lines", "chunk_lines", "chunk_lines_in_order", "parsed_table", "valid_lines")])
+# These end in a read of rows that were parsed when they were stored.
+STORED = ["parsed_table", "rollup_volume", "rollup_status_share", "rollup_top_ips", "rollup_top_requests"]
+
+
+@pytest.mark.parametrize("name", STORED)
+def test_stored_rows_are_not_parsed_again(plans, name):
+    assert "FileScan parquet" in plans[name] and "regexp" not in plans[name] and "gettimestamp" not in plans[name]
+
+
+@pytest.mark.parametrize("name", [name for name in BATCH if name not in ("scan_lines", "chunk_lines", "chunk_lines_in_order", "valid_lines", *STORED)])
 def test_a_line_is_matched_once(plans, name):
     """The pattern runs in one generator; filters and projections use what it gives."""
     scans = plans[name].count("FileScan")
