@@ -28,6 +28,8 @@ ORDER = 4
 # block is a whole text, or a part of so many characters of a longer one.
 SAMPLE = 400
 SAMPLE_CHARS = 1 << 17
+# Blocks whose n-grams are counted together.
+COUNTED_BLOCKS = 25
 # Every so many-th block sets the rejection limits instead; a language with fewer blocks keeps the usual limits.
 CALIBRATION = 5
 # Languages and the hashes of chosen blocks are broadcast up to this many rows, and meet by a shuffle beyond.
@@ -171,13 +173,10 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: i
         .agg(F.any_value("text").alias("text"))
     )
     calibrate = F.col("rank") % CALIBRATION == 0
-    chosen = common.checkpointed(chosen.select("lang", "text", calibrate.alias("calibrate")))
+    group = F.floor(F.col("rank") / COUNTED_BLOCKS)
+    chosen = common.checkpointed(chosen.select("lang", "text", calibrate.alias("calibrate"), group.alias("group")))
     counts = (
-        chosen.filter(~F.col("calibrate"))
-        .mapInPandas(
-            lambda frames: (_count_grams(zip(f["lang"], f["text"])) for f in frames),
-            "lang string, n long, gram long, context long, shorter long, count long",
-        )
+        _group_counts(chosen.filter(~F.col("calibrate")))
         .groupBy("lang", "n", "gram")
         .agg(F.first("context").alias("context"), F.first("shorter").alias("shorter"), F.sum("count").alias("count"))
         .toArrow()
@@ -189,6 +188,14 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: i
     return models
 
 
+def _group_counts(blocks: DataFrame) -> DataFrame:
+    """N-gram counts of each group of blocks of a language; their number does not depend on how the rows are dealt."""
+    return blocks.groupBy("lang", "group").applyInPandas(
+        lambda frame: _count_grams(zip(frame["lang"], frame["text"])),
+        "lang string, n long, gram long, context long, shorter long, count long",
+    )
+
+
 def _meet(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     """Rows that the table has, with its columns; the rows stay where they are if the table is small."""
     table = common.checkpointed(table)

@@ -126,6 +126,21 @@ def test_the_sample_has_different_blocks_of_least_hash(spark, monkeypatch):
         assert all(map(np.array_equal, got.hashes, want.hashes)) and all(map(np.allclose, got.logs, want.logs))
 
 
+def test_counts_of_a_sample_do_not_multiply_with_its_partitions(spark):
+    """As many rows of n-gram counts from 1 partition as from 60, and the same sums, those of plain Python."""
+    texts = [f"banana {chr(97 + i % 26)} band canal {i}" for i in range(120)]
+    rows = [("aa" if i % 3 else "bb", t, i // 40) for i, t in enumerate(texts)]
+    blocks = spark.createDataFrame(rows, "lang string, text string, group long")
+    keys = ["lang", "n", "gram", "context", "shorter"]
+    few, many = (language._group_counts(blocks.repartition(n)).toPandas() for n in (1, 60))
+    assert len(few) == len(many) == sum(
+        len(language._count_grams((r[0], r[1]) for r in rows if (r[0], r[2]) == of)) for of in {(r[0], r[2]) for r in rows}
+    )
+    want = language._count_grams((r[0], r[1]) for r in rows).set_index(keys)["count"].sort_index()
+    for got in (few, many):
+        assert got.groupby(keys)["count"].sum().sort_index().equals(want)
+
+
 def test_odd_rows(spark):
     schema = "doc_id long, text string, lang string, score string"
     rows = [(1, None, "aa", "x"), (2, "", "aa", "x"), (None, "123 !", None, None), (3, "banana", "aa", None)]
