@@ -4,12 +4,18 @@ Words are counted over the whole training part of the corpus. The most frequent
 others share one symbol, and a log-bilinear model predicts each symbol from the two before it: the context vectors,
 each turned by a matrix of its place, add up to a predicted vector, and a symbol's score is that vector times its
 own, plus a bias. It is trained by noise-contrastive estimation on the counts of all symbol triples of the training
-part. Scores are then normalised over all symbols, for all contexts at once by one matrix product. A word that
-shares a symbol gets the symbol's probability times its own add-one share among such words.
+part. Scores are then normalised over all symbols, for all contexts at once by one matrix product.
+
+The words that share a symbol are told apart by two more models of the same kind, over classes that every word has by
+its bytes: one predicts the class of a word's beginning from the beginnings of the two words before, the other the
+class of its ending from that beginning and the ending before. A word's probability is that of the shared symbol, of
+its beginning and of its ending, times its own add-one share among the words of both classes. So the probabilities of
+all words, with one unknown word in each pair of classes, sum to one.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,13 +43,31 @@ FLUSH = 300_000
 # The end of a text as a word; no word holds a line feed. Other words share the first symbol.
 END = b"\n"
 _OTHER, _END = 0, 1
+# Symbols in each of the three tables of triples.
+_TABLE = SYMBOLS**3
+
+# Fixed value: bytes at either end of a word that its classes depend on.
+_PART = 2
 
+_BLANK = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
+@dataclass
+class Classes:
+    """log10 probabilities of beginnings and endings by triple code, and log10 of the shares by both classes."""
+
+    beginnings: np.ndarray
+    endings: np.ndarray
+    shares: np.ndarray
+
+
 @dataclass
 class Model:
-    """Word counts of symbols, totals, and log10 probability of each symbol after each two."""
+    """Word counts of symbols, totals, and log10 probability of each symbol after each two.
+
+    Without classes all words that share a symbol have one share in common.
+    """
 
     symbols: dict[bytes, int]
     counts: dict[bytes, int]
@@ -52,11 +76,46 @@ class Model:
     other_tokens: int
     other_kinds: int
     table: np.ndarray
+    classes: Classes | None = None
+
+
+def class_of(part: bytes) -> int:
+    """The class of a beginning or an ending: any symbol but that of the end."""
+    found = zlib.crc32(part) % (SYMBOLS - 1)
+    return found + (found >= _END)
+
+
+_classes: np.ndarray | None = None
+
+
+def _class_of_parts() -> np.ndarray:
+    """`class_of` each first byte (row) alone (column 0) and with each second one."""
+    global _classes
+    if _classes is None:
+        parts = ((bytes((a, b - 1)) if b else bytes((a,))) for a in range(256) for b in range(257))
+        _classes = np.array([class_of(part) for part in parts], np.int64).reshape(256, 257)
+    return _classes
+
+
+def word_classes(lowered: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of the beginnings and of the endings of a text's words; the end has its own symbol in both."""
+    codes = np.frombuffer(lowered + b" ", np.uint8)
+    edges = np.flatnonzero(np.diff(np.concatenate(([True], _BLANK[codes]))))
+    starts, last = edges[::2], edges[1::2] - 1
+    single, classes = starts == last, _class_of_parts()
+    behind = lambda at: np.where(single, 0, codes[at].astype(np.int64) + 1)
+    beginnings = classes[codes[starts], behind(starts + 1)]
+    endings = classes[codes[np.where(single, last, last - 1)], behind(last)]
+    return np.append(beginnings, _END), np.append(endings, _END)
+
+
+def lowered_bytes(text: str | None) -> bytes:
+    return (text or "").encode().translate(_LOWER)
 
 
 def words_of(text: str | None) -> list[bytes]:
     """Words with A-Z in lower case; white space is the six ASCII characters."""
-    return (text or "").encode().translate(_LOWER).split()
+    return lowered_bytes(text).split()
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -89,7 +148,8 @@ def _counted(counts: Counter) -> pa.RecordBatch:
 def train(training: DataFrame, counts: DataFrame, text: str = "text") -> Model:
     """The model of the training documents, of which ``counts`` are the `word_counts`.
 
-    The driver holds the most frequent words and the counts of symbol triples, both bounded by `SYMBOLS`.
+    The driver holds the most frequent words, the counts of triples and the totals by pair of classes, all bounded by
+    `SYMBOLS`.
     """
     tokens, kinds = counts.agg(F.sum("n"), F.count("*")).first()
     top = counts.filter(F.col("word") != F.lit(END)).orderBy(F.desc("n"), "word").limit(SYMBOLS - 2).collect()
@@ -97,7 +157,7 @@ def train(training: DataFrame, counts: DataFrame, text: str = "text") -> Model:
     frequent = {bytes(r.word): r.n for r in top}
     symbols = {END: _END} | {word: i for i, word in enumerate(frequent, 2)}
     known = frequent | ({END: ends.n} if ends else {})
-    triples = _triple_counts(training, symbols, text)
+    table, beginnings, endings = _triple_counts(training, symbols, text)
     return Model(
         symbols,
         known,
@@ -105,29 +165,60 @@ def train(training: DataFrame, counts: DataFrame, text: str = "text") -> Model:
         kinds or 0,
         (tokens or 0) - sum(known.values()),
         (kinds or 0) - len(known),
-        log_table(*fit(*triples)),
+        log_table(*fit(*table)),
+        Classes(_class_table(*beginnings), _class_table(*endings), _shares(counts, known)),
     )
 
 
-def _triple_counts(docs: DataFrame, symbols: dict[bytes, int], text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the symbol triples that occur, in order, and how often."""
+def _class_table(codes: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """log10 probability of classes by triple code; no word has the class of an end."""
+    *vectors, bias = fit(codes, number)
+    bias[_END] = -np.inf
+    return log_table(*vectors, bias)
+
+
+def _shares(counts: DataFrame, known: dict[bytes, int]) -> np.ndarray:
+    """log10 of one in how many each pair of classes is shared: its tokens and words without those ``known``, and one."""
+    totals = counts.groupBy(
+        _class_column(F.substring("word", 1, _PART)).alias("beginning"),
+        _class_column(F.substring("word", -_PART, _PART)).alias("ending"),
+    ).agg((F.sum("n") + F.count("*")).alias("total"))
+    shared = np.ones(SYMBOLS**2, np.int64)
+    for row in totals.collect():
+        shared[row.beginning * SYMBOLS + row.ending] += row.total
+    for word, n in known.items():
+        shared[class_of(word[:_PART]) * SYMBOLS + class_of(word[-_PART:])] -= n + 1
+    return -np.log10(shared)
+
+
+def _class_column(part: Column) -> Column:
+    """`class_of` as a column."""
+    found = F.pmod(F.crc32(part), F.lit(SYMBOLS - 1))
+    return found + (found >= _END).cast("int")
+
+
+def _triple_counts(docs: DataFrame, symbols: dict[bytes, int], text: str) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Codes of the triples that occur, in order, and how often: of symbols, of beginnings, of endings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(SYMBOLS**3, np.int64)
+        found = np.zeros(3 * _TABLE, np.int64)
         for batch in batches:
             for t in batch.column(0):
-                codes = triple_codes(symbol_ids(words_of(t.as_py()), symbols))
-                kept, number = np.unique(codes, return_counts=True)
-                found[kept] += number
-        codes = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(found[codes])], ["code", "n"])
+                lowered = lowered_bytes(t.as_py())
+                ids = symbol_ids(lowered.split(), symbols)
+                for place, codes in enumerate(all_triples(ids, *word_classes(lowered))):
+                    np.add.at(found, codes + place * _TABLE, 1)
+        kept = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(kept), pa.array(found[kept])], ["code", "n"])
 
     table = (
         common.for_python(docs.select(text)).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     )
     codes, number = table["code"].to_numpy(), table["n"].to_numpy()
     order = np.argsort(codes)
-    return codes[order], number[order]
+    codes, number = codes[order], number[order]
+    cuts = np.searchsorted(codes, [_TABLE, 2 * _TABLE])
+    return [(c % _TABLE, n) for c, n in zip(np.split(codes, cuts), np.split(number, cuts))]
 
 
 def symbol_ids(words: list[bytes], symbols: dict[bytes, int]) -> np.ndarray:
@@ -136,6 +227,17 @@ def symbol_ids(words: list[bytes], symbols: dict[bytes, int]) -> np.ndarray:
     return np.array([*[get(w, _OTHER) for w in words], _END], np.int64)
 
 
+def all_triples(ids: np.ndarray, beginnings: np.ndarray, endings: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Triple codes of all symbols, and those of the beginnings and endings of words that share a symbol."""
+    other = ids == _OTHER
+    before = np.concatenate(([_END], endings[:-1]))
+    return (
+        triple_codes(ids),
+        triple_codes(beginnings)[other],
+        ((before * SYMBOLS + beginnings) * SYMBOLS + endings)[other],
+    )
+
+
 def triple_codes(ids: np.ndarray) -> np.ndarray:
     """Each symbol with the two before it as one number; ends stand before the first."""
     padded = np.concatenate(([_END, _END], ids))
@@ -247,15 +349,21 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, doc_id: str = "doc_i
 
 def score_text(model: Model, known: dict[bytes, int], text: str | None) -> tuple[int, int, float, float]:
     """Tokens, known tokens, base score and model score of one text, with the counts of its words."""
-    words = words_of(text)
+    lowered = lowered_bytes(text)
+    words = lowered.split()
     get = known.get
     seen = np.array([*[get(w, 0) for w in words], get(END, 0)], np.float64)
     logs = np.log10(seen + 1)
     base = logs.sum() - len(seen) * np.log10(model.tokens + model.kinds + 1)
-    ids = symbol_ids(words, model.symbols)
+    ids, (beginnings, endings) = symbol_ids(words, model.symbols), word_classes(lowered)
+    triples, first, second = all_triples(ids, beginnings, endings)
     other = ids == _OTHER
-    share = logs[other].sum() - other.sum() * np.log10(model.other_tokens + model.other_kinds + 1)
-    total = model.table[triple_codes(ids)].sum(dtype=np.float64) + share
+    total = model.table[triples].sum(dtype=np.float64) + logs[other].sum()
+    if model.classes is None:
+        total -= other.sum() * np.log10(model.other_tokens + model.other_kinds + 1)
+    else:
+        total += model.classes.beginnings[first].sum(dtype=np.float64) + model.classes.endings[second].sum(dtype=np.float64)
+        total += model.classes.shares[(beginnings * SYMBOLS + endings)[other]].sum()
     return len(seen), int((seen > 0).sum()), float(base), float(total)
 
 

@@ -101,3 +101,50 @@ def test_scores_use_the_frequent_words(spark):
     rows = [(i, "a b c d " * 50) for i in range(40)]
     found = scoring.score_documents(spark.createDataFrame(rows, SCHEMA)).collect()
     assert all(r.score > r.base_score for r in found)
+
+
+def test_words_beyond_the_frequent_ones_are_predicted_from_their_context(spark):
+    """200 words of equal counts, none of them a symbol of its own: one kind always follows on the other."""
+    rng = np.random.default_rng(1)
+    frequent = " ".join(f"{chr(97 + i % 26)}{i}" for i in range(scoring.SYMBOLS)) + " "
+    pair = lambda: f"ka{rng.integers(10)}{rng.integers(10)}ra zu{rng.integers(10)}{rng.integers(10)}mo"
+    rows = [(i, " ".join(pair() for _ in range(200)) if i % 2 else frequent * 30) for i in range(100)]
+    rows += [(200, "ka11ra zu22mo ka33ra zu44mo"), (201, "ka11ra ka33ra zu44mo zu22mo"), (202, "zu22mo zu44mo ka33ra ka11ra")]
+    found = {r.doc_id: r for r in scoring.score_documents(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found[200].base_score == pytest.approx(found[201].base_score) == pytest.approx(found[202].base_score)
+    assert found[200].score > max(found[201].score, found[202].score) + 1
+
+
+def test_words_of_all_classes_sum_to_one(spark):
+    """All known words after the beginning, and one unknown word of each pair of classes."""
+    words = [f"{a}{b}{c}" for a in "abcdefghijkl" for b in "ä中xyz" for c in "mnopqé"] + ["x", "é", "中"]
+    rows = [(i, " ".join(words[i % 7 :: 1 + i % 5])) for i in range(60)]
+    training = spark.createDataFrame(rows, SCHEMA)
+    counts = scoring.word_counts(training)
+    model = scoring.train(training, counts)
+    known = {bytes(r.word): r.n for r in counts.collect()}
+    totals = Counter()
+    for word in known.keys() - model.counts.keys():
+        totals[scoring.class_of(word[:2]), scoring.class_of(word[-2:])] += known[word] + 1
+    assert len(totals) > 20
+    size, classes = scoring.SYMBOLS, model.classes
+    shares = classes.shares.reshape(size, size)
+    for first in range(size):
+        assert shares[first] == pytest.approx([-math.log10(totals[first, last] + 1) for last in range(size)])
+    start, end = scoring.triple_codes(np.array([1]))[0] // size * size, lambda s: model.table[(size + s) * size + 1]
+    after = {w: end(model.symbols.get(w, 0)) for w in known if w != scoring.END}
+    total = sum(10 ** (scoring.score_text(model, known, w.decode())[3] - after[w]) for w in after)
+    total += 10 ** model.table[start + 1]
+    endings = classes.endings.reshape(size, size, size)[1]
+    unknown = classes.beginnings[start : start + size][:, None] + endings + shares
+    total += 10 ** model.table[start] * (10**unknown).sum()
+    assert total == pytest.approx(1, rel=1e-3)
+
+
+def test_classes_of_words():
+    text = "Ab c  \x0bé 中文\x85x\tlonger\n"
+    words = scoring.words_of(text)
+    beginnings, endings = scoring.word_classes(scoring.lowered_bytes(text))
+    assert beginnings.tolist() == [*[scoring.class_of(w[:2]) for w in words], 1]
+    assert endings.tolist() == [*[scoring.class_of(w[-2:]) for w in words], 1]
+    assert [c.tolist() for c in scoring.word_classes(b"")] == [c.tolist() for c in scoring.word_classes(b" \n")] == [[1], [1]]
