@@ -4,10 +4,15 @@ Every distinct sequence of first turns is a node. A turn is known by 128 bits of
 the exclusive or of those of its turns, each mixed with its place, so sequences can be put together in blocks and a
 conversation with most of the turns is spread over tasks.
 
-The tour enters and leaves each node once. Its arcs are linked, each to the next, and the list is ranked: randomly
-chosen arcs are stops, all others jump along their links, doubling their step each round, until they see a stop; the
-stops form a list that is shorter by `STEP`, which is ranked the same way. Running sums over the ranked arcs then give
-the leaves and the savings of a node's subtree as a difference between its two arcs.
+The tour enters and leaves each node once. Children follow each other by their least conversations, so it goes down the
+path of a node's least conversation first, and up again until it comes to another child. The arcs that it takes on such
+a path without leaving it are a stretch, known by the first of them. There are two stretches at most for each end of a
+conversation, and more only where a path is cut into pieces of `PIECE_DEPTHS`.
+
+Stretches are linked, each to the next, and the list is ranked: randomly chosen arcs are stops, all others jump along
+their links, doubling their step each round, until they see a stop; the stops form a list that is shorter by `STEP`,
+which is ranked the same way. Running sums over the ranked stretches then give the leaves and the savings of a node's
+subtree as a difference between its two arcs.
 """
 
 from __future__ import annotations
@@ -28,6 +33,8 @@ from clftally.operators import numbering
 STEP = 64
 # A list of at most so many arcs is ranked in one task.
 SHORT = 4096
+# Depths of a path that are put together into stretches in one place.
+PIECE_DEPTHS = 1 << 12
 # The children of a node are linked within so many groups, and then the groups.
 GROUPS = 1024
 # Conversation ids whose list makes one piece of a digest's input.
@@ -121,19 +128,24 @@ def trie(turns: DataFrame) -> DataFrame:
     ``depth``, ``parent_conv_id``, ``n_convs``, ``n_children``, ``n_leaves``, ``saved_tokens`` and ``ends_sha256``.
     """
     prefixes = common.checkpointed(_prefixes(turns))
-    nodes = common.checkpointed(_nodes(prefixes))
-    linked = common.checkpointed(_linked(nodes))
-    tour = _tour(linked)
+    placed = common.checkpointed(_placed(_linked(common.checkpointed(_nodes(prefixes)))))
+    tour = common.checkpointed(_tour(placed))
     ranks = common.checkpointed(ranked(tour.select("arc", "next")))
-    measured = tour.select("arc", "leaf", "saved").join(ranks, "arc")
-    sums = numbering.running_sums(measured, "rank", {"leaves": "leaf", "savings": "saved"})
-    # Ranks count from the end: what begins at a node's entry, less what begins at its exit, is its subtree.
-    sign = F.when(F.col("arc.out"), F.lit(-1)).otherwise(F.lit(1))
-    subtrees = sums.groupBy(F.col("arc.a").alias("a"), F.col("arc.b").alias("b")).agg(
-        F.sum(sign * F.col("leaves")).alias("n_leaves"), F.sum(sign * F.col("savings")).alias("saved_tokens")
+    # Ranks count from the end, so sums are of what begins at a stretch.
+    sums = numbering.running_sums(tour.join(ranks, "arc"), "rank", {"leaves": "leaf", "savings": "saved"})
+    of_path = sums.groupBy("conv_id", "piece").agg(
+        F.sort_array(F.collect_list(F.struct("stretch", "leaves", "savings"))).alias("sums")
     )
+    # What begins at a node's entry, less what begins at its exit, is its subtree.
+    entry, leaving = F.col("sums")[0], F.col("sums")[F.col("stretch").cast("int")]
+    only = F.col("stretch") == 0
     return (
-        linked.join(subtrees, ["a", "b"])
+        placed.join(of_path, ["conv_id", "piece"])
+        .withColumn("n_leaves", F.when(only, F.lit(1).cast("bigint")).otherwise(entry["leaves"] - leaving["leaves"]))
+        .withColumn(
+            "saved_tokens",
+            F.when(only, F.col("saved_in_all")).otherwise(entry["savings"] - leaving["savings"]) - F.col("saved_above"),
+        )
         .join(_ends(prefixes), ["a", "b"], "left")
         .select(
             "a", "b", "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
@@ -190,20 +202,21 @@ def _linked(nodes: DataFrame) -> DataFrame:
     """Nodes with their parent's conversation, ``n_children``, their first child and their next sibling.
 
     Siblings are linked in groups dealt by hash, and the groups of a parent through their first members, so that the
-    children of one node spread over tasks. Any order of siblings will do.
+    children of one node spread over tasks. The first child is that of the least conversation; any order of the others
+    will do.
     """
-    this = F.struct("a", "b")
+    this = F.struct("conv_id", "a", "b")
     group = F.pmod(F.xxhash64("a", "b"), F.lit(GROUPS)).cast("int")
     children = nodes.filter("qa IS NOT NULL").withColumn("group", group)
     keys = ["qa", "qb", "group"]
     heads = children.groupBy(*keys).agg(F.min(this).alias("head"), F.count("*").alias("number"))
     parents = nodes.select(F.col("a").alias("qa"), F.col("b").alias("qb"), F.col("conv_id").alias("parent_conv_id"))
-    of_parent = Window.partitionBy("qa", "qb").orderBy("group")
+    of_parent = Window.partitionBy("qa", "qb").orderBy("head")
     heads = heads.withColumn("next_head", F.lead("head").over(of_parent)).join(parents, ["qa", "qb"])
     families = heads.groupBy(F.col("qa").alias("a"), F.col("qb").alias("b")).agg(
-        F.sum("number").alias("n_children"), F.min_by("head", "group").alias("first_child")
+        F.sum("number").alias("n_children"), F.min("head").alias("first_child")
     )
-    in_group = Window.partitionBy(*keys).orderBy("a", "b")
+    in_group = Window.partitionBy(*keys).orderBy("conv_id")
     siblings = (
         children.select(*keys, "a", "b", F.lead(this).over(in_group).alias("beside"))
         .join(heads, keys)
@@ -216,33 +229,84 @@ def _linked(nodes: DataFrame) -> DataFrame:
     )
 
 
-def _tour(linked: DataFrame) -> DataFrame:
-    """Two arcs per node, each with the one that follows; a node's values stand on the arc that enters it."""
-    arc = lambda a, b, out: F.struct(a.alias("a"), b.alias("b"), F.lit(out).alias("out"))
-    of = lambda node: (F.col(f"{node}.a"), F.col(f"{node}.b"))
-    a, b, nothing = F.col("a"), F.col("b"), _zero()
-    leaf = F.col("first_child").isNull()
-    enter = F.struct(
-        arc(a, b, False).alias("arc"),
-        F.when(leaf, arc(a, b, True)).otherwise(arc(*of("first_child"), False)).alias("next"),
-        leaf.cast("bigint").alias("leaf"),
-        ((F.col("n_convs") - 1) * F.col("chars")).alias("saved"),
+def _arc(node: Column, out: bool) -> Column:
+    return F.struct(node["a"].alias("a"), node["b"].alias("b"), F.lit(out).alias("out"))
+
+
+def _placed(linked: DataFrame) -> DataFrame:
+    """Nodes with the number of the stretch, within their piece of a path, that their exit is in.
+
+    The nodes of one least conversation follow each other by depth, and all but the last one's first child is the next.
+    So their entries are the beginning of stretch 0. It turns round at a leaf; below another node, or at the end of the
+    piece, it goes on elsewhere (``down``, in the uppermost row). Exits follow each other up to one that has a sibling,
+    or the uppermost; there the stretch ends (``onward`` is its next arc). ``saved_above`` counts the nodes above in the
+    piece, and ``saved_in_all`` and ``top`` (the uppermost node, where stretch 0 ends) are of the piece.
+    """
+    here = F.struct("a", "b")
+    path = Window.partitionBy("conv_id", "piece")
+    above = path.orderBy("depth")
+    deeper = path.orderBy(F.desc("depth")).rowsBetween(Window.unboundedPreceding, -1)
+    following = (
+        F.when(F.col("sibling").isNotNull(), _arc(F.col("sibling"), False))
+        .when(F.col("qa").isNotNull(), _arc(F.struct(F.col("qa").alias("a"), F.col("qb").alias("b")), True))
+    )
+    return (
+        linked.withColumns({
+            "piece": F.floor(F.col("depth") / PIECE_DEPTHS),
+            "saved": (F.col("n_convs") - 1) * F.col("chars"),
+        })
+        .select(
+            "*",
+            F.lag("depth").over(above).isNull().alias("uppermost"),
+            F.max_by("first_child", "depth").over(path).alias("down"),
+            F.min_by(here, "depth").over(path).alias("top"),
+            F.sum("saved").over(path).alias("saved_in_all"),
+            F.coalesce(F.sum("saved").over(above.rowsBetween(Window.unboundedPreceding, -1)), _zero()).alias("saved_above"),
+        )
+        .withColumn("ends", F.col("uppermost") | F.col("sibling").isNotNull())
+        .withColumn("ended", F.coalesce(F.sum(F.col("ends").cast("bigint")).over(deeper), _zero()))
+        .withColumn("stretch", F.col("down").isNotNull().cast("bigint") + F.col("ended"))
+        .select(
+            "a", "b", "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "piece", "stretch", "saved_above",
+            "saved_in_all", F.when(F.col("uppermost"), F.col("down")).alias("down"), "uppermost",
+            F.when(F.col("ends") & (F.col("stretch") == 0), F.col("top")).alias("top"),
+            F.when(F.col("ends"), following).alias("onward"),
+        )
+    )
+
+
+def _tour(placed: DataFrame) -> DataFrame:
+    """The stretches: ``arc`` (the first one), ``next`` (the first one of the next stretch), and what is on the way.
+
+    A node's values stand on the arc that enters it, so all are in the first stretch of a piece.
+    """
+    here, first = F.struct("a", "b"), F.col("stretch") == 0
+    last = lambda c: F.min_by(c, "depth")
+    back = placed.groupBy("conv_id", "piece", "stretch").agg(
+        F.max_by(here, "depth").alias("deepest"), last("onward").alias("next"), last("top").alias("top"),
+        last("saved_in_all").alias("saved"),
+    )
+    back = back.select(
+        "conv_id", "piece", "stretch",
+        F.when(first, _arc(F.col("top"), False)).otherwise(_arc(F.col("deepest"), True)).alias("arc"),
+        "next",
+        first.cast("bigint").alias("leaf"),
+        F.when(first, F.col("saved")).otherwise(_zero()).alias("saved"),
     )
-    leave = F.struct(
-        arc(a, b, True).alias("arc"),
-        F.when(F.col("sibling").isNotNull(), arc(*of("sibling"), False))
-        .when(F.col("qa").isNotNull(), arc(F.col("qa"), F.col("qb"), True))
-        .alias("next"),
-        nothing.alias("leaf"),
-        nothing.alias("saved"),
+    away = placed.filter(F.col("uppermost") & F.col("down").isNotNull()).select(
+        "conv_id", "piece", _zero().alias("stretch"), _arc(here, False).alias("arc"),
+        _arc(F.col("down"), False).alias("next"), _zero().alias("leaf"), F.col("saved_in_all").alias("saved"),
     )
-    return linked.select(F.inline(F.array(enter, leave)))
+    return back.unionByName(away)
 
 
 def ranked(links: DataFrame, step: int = STEP, short: int = SHORT) -> DataFrame:
     """``arc`` and ``rank``, the number of arcs that follow it in the list; the last one's ``next`` is NULL.
 
     With a ``weight``, the rank is the sum of the weights on the way to the end.
+
+    A round is no join: Spark takes the size of a join for the product of its sides' sizes and keeps that with a
+    checkpoint, so the number would have twice as many digits after each round, until the driver cannot hold it.
     """
     if "weight" not in links.columns:
         links = links.withColumn("weight", F.col("next").isNotNull().cast("bigint"))
@@ -253,17 +317,7 @@ def ranked(links: DataFrame, step: int = STEP, short: int = SHORT) -> DataFrame:
     there = F.col("next").isNull() | stop(F.col("next"))
     seen = common.checkpointed(links.withColumn("there", there))
     while not seen.filter(~F.col("there")).isEmpty():
-        ahead = seen.select(
-            F.col("arc").alias("next"), F.col("next").alias("far"), F.col("weight").alias("more"),
-            F.col("there").alias("then"),
-        )
-        jumped = (
-            seen.filter(~F.col("there"))
-            .join(ahead, "next")
-            .select("arc", F.col("far").alias("next"), (F.col("weight") + F.col("more")).alias("weight"),
-                    F.col("then").alias("there"))
-        )
-        seen = common.checkpointed(seen.filter("there").unionByName(jumped))
+        seen = common.checkpointed(_jumped(seen))
     # The stops take another step size, so that those of the next round are others.
     stops = ranked(seen.filter(stop(F.col("arc"))).select("arc", "next", "weight"), step + 1, short)
     onward = stops.select(F.col("arc").alias("next"), F.col("rank").alias("onward"))
@@ -272,6 +326,29 @@ def ranked(links: DataFrame, step: int = STEP, short: int = SHORT) -> DataFrame:
     )
 
 
+def _jumped(seen: DataFrame) -> DataFrame:
+    """Arcs that are not ``there`` yet with the next one's next, and all others as they are.
+
+    Every arc tells what it has at its own place, and those that are not there ask at the place of their next.
+    """
+    kind = seen.schema["arc"].dataType
+    row = lambda at, asks, arc, next: F.struct(
+        at.alias("at"), F.lit(asks).alias("asks"), arc.alias("arc"), next.alias("next"), "weight", "there"
+    )
+    arc, next, nothing = F.col("arc"), F.col("next"), F.lit(None).cast(kind)
+    tells, asks = row(arc, False, nothing, next), row(next, True, arc, nothing)
+    rows = seen.select(F.inline(F.when(F.col("there"), F.array(tells)).otherwise(F.array(tells, asks))))
+    told = F.first(F.when(~F.col("asks"), F.struct("next", "weight", "there")))
+    rows = rows.withColumn("told", told.over(Window.partitionBy("at").orderBy("asks")))
+    of = lambda own, name, onward: F.when(F.col("asks"), onward).otherwise(own).alias(name)
+    return rows.filter(F.col("there") | F.col("asks") & F.col("told").isNotNull()).select(
+        F.coalesce("arc", "at").alias("arc"),
+        of(F.col("next"), "next", F.col("told.next")),
+        of(F.col("weight"), "weight", F.col("weight") + F.col("told.weight")),
+        of(F.col("there"), "there", F.col("told.there")),
+    )
+
+
 def _ranked_here(links: DataFrame) -> DataFrame:
     """Rank a list of at most `SHORT` arcs in one task."""
     schema = links.select("arc", F.col("weight").alias("rank")).schema

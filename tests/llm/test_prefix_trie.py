@@ -111,6 +111,37 @@ def test_long_lists_are_ranked(spark):
     assert got == {arc(i): len(order) - 1 - i for i in range(len(order))}
 
 
+def test_rounds_do_not_multiply_sizes(spark):
+    """The size that Spark expects of a rank list has a few digits more after each round, not twice as many."""
+    rows = [((i, 0, False), (i + 1, 0, False) if i < 2999 else None) for i in range(3000)]
+    kind = "struct<a: long, b: long, out: boolean>"
+    got = prefix_trie.ranked(spark.createDataFrame(rows, f"arc {kind}, next {kind}"), step=8, short=40)
+    expected = got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert expected.bit_length() < 2000
+    assert {row.arc.a: row.rank for row in got.collect()} == {i: 2999 - i for i in range(3000)}
+
+
+@pytest.mark.parametrize("depths", [1, 3])
+def test_paths_in_pieces(spark, monkeypatch, depths):
+    monkeypatch.setattr(prefix_trie, "PIECE_DEPTHS", depths)
+    rows = some_conversations(7, 40, 9)
+    # Long paths that part at several depths, and one that ends inside another.
+    rows += [(1000 + c, t, "user", f"{t if t < 5 * c else (c, t)}") for c in range(6) for t in range(30)]
+    rows += [(900, t, "user", f"{t}") for t in range(13)]
+    turns = prefix_trie.turns_of(spark.createDataFrame(rows, SCHEMA))
+    assert nodes(prefix_trie.rebuilt(turns)) == brute_nodes(brute_rebuilt(original(rows)))
+    assert nodes(prefix_trie.plain(turns)) == brute_nodes(original(rows))
+
+
+def test_tour_is_linked_by_stretches(spark):
+    """The list to rank grows with the ends of conversations, not with their turns."""
+    rows = [(c, t, "user", "same" if t < 40 + c else f"{c} {t}") for c in range(5) for t in range(60)]
+    turns = prefix_trie.plain(prefix_trie.turns_of(spark.createDataFrame(rows, SCHEMA)))
+    found = prefix_trie._nodes(prefix_trie._prefixes(turns))
+    assert found.count() == 1 + 44 + 16 + 17 + 18 + 19 + 20
+    assert prefix_trie._tour(prefix_trie._placed(prefix_trie._linked(found))).count() <= 2 * 5 + 1
+
+
 def test_odd_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert nodes(prefix_trie.rebuilt(prefix_trie.turns_of(empty))) == []
